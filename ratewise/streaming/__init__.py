@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference is batch only: one file in, one file out, no streams,
+watermarks or state. Nothing is built here; a streaming source of claims
+would be priced by running ``ratewise.plans.pipeline.price`` per batch.
+"""
