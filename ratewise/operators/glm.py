@@ -128,15 +128,17 @@ def newton_fit(family: str, X: np.ndarray, n: np.ndarray, sy: np.ndarray,
 
 # ------------------------------------------------------------ grouped fit ---
 
-def _fit_group(key, cells: pd.DataFrame, levels: pd.DataFrame, factors, freq_family: str) -> pd.DataFrame:
+def _fit_group(key, cells: pd.DataFrame, levels: pd.DataFrame, factors, freq_family: str,
+               min_claims: float = MIN_CLAIMS_FOR_FREQ_FACTORS,
+               min_pos: float = MIN_POS_FOR_SEV_FACTORS) -> pd.DataFrame:
     coverage, model_id, part = key
     family = freq_family if part == "freq" else "gamma"
     n = cells["n"].to_numpy(dtype=float) if len(cells) else np.zeros(0)
     sy = cells["sy"].to_numpy(dtype=float) if len(cells) else np.zeros(0)
     if part == "freq":
-        thin = float(sy.sum()) < MIN_CLAIMS_FOR_FREQ_FACTORS
+        thin = float(sy.sum()) < min_claims
     else:
-        thin = float(n.sum()) < MIN_POS_FOR_SEV_FACTORS
+        thin = float(n.sum()) < min_pos
     use = [] if thin else list(factors)
 
     lv = {f: sorted(levels.loc[levels["factor"] == f, "level"].dropna().unique().tolist()) for f in use}
@@ -175,13 +177,17 @@ def _fit_group(key, cells: pd.DataFrame, levels: pd.DataFrame, factors, freq_fam
     return df
 
 
-def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family: str) -> DataFrame:
+def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family: str,
+               min_claims: float = MIN_CLAIMS_FOR_FREQ_FACTORS,
+               min_pos: float = MIN_POS_FOR_SEV_FACTORS) -> DataFrame:
     """All (coverage, model_id, part) fits as one cogrouped ``applyInPandas``.
 
     cells         (coverage, model_id, part, factors..., n, sy, sy2)
     model_levels  (coverage, model_id, factor, level): levels of each model's
                   training rows; the severity part uses them too, so a level
                   without claimants is aliased (coefficient 0), not unseen.
+    min_claims    frequency falls back to intercept only below this many claims
+    min_pos       severity falls back to intercept only below this many claimants
     Returns the long coefficient table ``COEF_SCHEMA``.
     """
     factors = list(factors)
@@ -190,6 +196,6 @@ def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family:
     left = cells.select(*keys, *factors, "n", "sy")
 
     def fn(key, l_pdf, r_pdf):
-        return _fit_group(key, l_pdf, r_pdf, factors, freq_family)
+        return _fit_group(key, l_pdf, r_pdf, factors, freq_family, min_claims, min_pos)
 
     return left.groupBy(*keys).cogroup(lv.groupBy(*keys)).applyInPandas(fn, schema=COEF_SCHEMA)
