@@ -11,7 +11,7 @@ ATTRS_ALL = ("risk_tier", "gpa", "greek", "off_campus", "distance_to_campus", "s
              "gender", "holdout")
 
 
-def exposure_rollup(claims: DataFrame, mode: str = "total", with_gpa: bool = True) -> DataFrame:
+def exposure_rollup(claims: DataFrame, mode: str = "count", with_gpa: bool = True) -> DataFrame:
     """Group by (student_id, coverage): attributes of the first record, summed amount.
 
     'First' follows ``row_id`` and keeps a null first value (``min_by`` on one

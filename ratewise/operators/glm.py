@@ -191,9 +191,13 @@ def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family:
     Returns the long coefficient table ``COEF_SCHEMA``.
     """
     factors = list(factors)
-    lv = model_levels.withColumn("part", F.explode(F.array(F.lit("freq"), F.lit("sev"))))
     keys = ["coverage", "model_id", "part"]
-    left = cells.select(*keys, *factors, "n", "sy")
+    # fresh column ids on both sides: the levels are derived from the cells
+    lv = model_levels.select(
+        F.col("coverage").alias("coverage"), F.col("model_id").alias("model_id"),
+        F.explode(F.array(F.lit("freq"), F.lit("sev"))).alias("part"),
+        F.col("factor").alias("factor"), F.col("level").alias("level"))
+    left = cells.select(*[F.col(c).alias(c) for c in keys + factors + ["n", "sy"]])
 
     def fn(key, l_pdf, r_pdf):
         return _fit_group(key, l_pdf, r_pdf, factors, freq_family, min_claims, min_pos)

@@ -48,20 +48,39 @@ def score_cells(cells: DataFrame, coefs: DataFrame, params: DataFrame, factors,
     return mu.withColumn("pure", F.col("mu_freq") * F.col("mu_sev") * F.col("uncap_adj"))
 
 
-def score_pure_premium(rows: DataFrame, coefs: DataFrame, params: DataFrame, factors,
-                       freq_family: str, model_id=0, out: str = "pred_loss") -> DataFrame:
-    """Adds ``out`` to ``rows``: the pure premium of model ``model_id``
-    (an int, or a column name such as 'fold' for out-of-fold scoring)."""
+def score_table(parts, coefs: DataFrame, params: DataFrame, factors, freq_family: str) -> DataFrame:
+    """Scored cells for several row sets at once.
+
+    parts: (rows, model_id) pairs, model_id an int or a column name (such as
+    'fold' for out-of-fold scoring). One distinct-cell pass over all of them,
+    written to the scratch folder; returns (coverage, model_id, factors...,
+    pure) ready for ``attach_score``.
+    """
+    factors = list(factors)
+    cells = None
+    for rows, model_id in parts:
+        mid = F.lit(model_id).cast("int") if isinstance(model_id, int) else F.col(model_id).cast("int")
+        c = rows.select("coverage", mid.alias("model_id"), *factors)
+        cells = c if cells is None else cells.unionByName(c)
+    scored = score_cells(cells.distinct(), coefs, params, factors, freq_family)
+    return materialize(scored.select("coverage", "model_id", *factors, "pure"), "scored_cells")
+
+
+def attach_score(rows: DataFrame, table: DataFrame, factors, model_id=0, out: str = "pred_loss") -> DataFrame:
+    """Left-join the pure premium of model ``model_id`` onto ``rows`` (null-safe keys)."""
     factors = list(factors)
+    keys = ["coverage", "model_id", *factors]
     mid = F.lit(model_id).cast("int") if isinstance(model_id, int) else F.col(model_id).cast("int")
     tagged = rows.withColumn("_mid", mid)
-    cells = tagged.select("coverage", F.col("_mid").alias("model_id"), *factors).distinct()
-    scored = score_cells(cells, coefs, params, factors, freq_family)
-    keys = ["coverage", "model_id", *factors]
-    right = materialize(scored.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("pure").alias(out)),
-                        "scored_cells")
-    right = small(right)
+    right = small(table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("pure").alias(out)))
     cond = [tagged["_mid"].eqNullSafe(right["_k_model_id"])] + [
         tagged[k].eqNullSafe(right[f"_k_{k}"]) for k in keys if k != "model_id"]
-    joined = tagged.join(right, on=cond, how="left")
-    return joined.select(*rows.columns, out)
+    return tagged.join(right, on=cond, how="left").select(*rows.columns, out)
+
+
+def score_pure_premium(rows: DataFrame, coefs: DataFrame, params: DataFrame, factors,
+                       freq_family: str, model_id=0, out: str = "pred_loss") -> DataFrame:
+    """Adds ``out`` to ``rows``: the pure premium of model ``model_id``
+    (an int, or a column name such as 'fold' for out-of-fold scoring)."""
+    table = score_table([(rows, model_id)], coefs, params, factors, freq_family)
+    return attach_score(rows, table, factors, model_id, out)

@@ -5,7 +5,8 @@ window on (coverage, hash bucket); everything else on the big tables is
 map-side (broadcast joins to size-checked lookup tables, partial aggregates
 of small outputs), apart from (3) the student totals. Lineage is cut with
 parquet in the shared scratch folder at the exposure table, the folds, the
-fitted coefficients and the scored training rows.
+fitted coefficients, the scored cells and the scored training rows; the
+small per-coverage/per-tier tables downstream of those are cached.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from ratewise.operators.exposure import claim_indicator, exposure_rollup
 from ratewise.operators.folds import assign_folds, fold_membership
 from ratewise.operators.glm import fit_models
 from ratewise.operators.levels import align_levels, factor_levels, split_holdout
-from ratewise.operators.scoring import score_pure_premium
+from ratewise.operators.scoring import attach_score, score_table
 from ratewise.operators.severity import severity_params
-from ratewise.session import materialize
+from ratewise.session import keep, materialize
 
 
 @dataclass
@@ -60,7 +61,12 @@ class PricingRun:
     dispersion: DataFrame | None
 
 
-def build_exposure(claims: DataFrame, v: Variant) -> DataFrame:
+def build_exposure(claims: DataFrame, v: Variant | None = None) -> DataFrame:
+    """The exposure table. Without a variant it carries every column any
+    variant needs (gpa, claim_n, avg_paid, has_claim), so one rollup serves
+    all three."""
+    if v is None:
+        return claim_indicator(exposure_rollup(claims, "count", True))
     return claim_indicator(exposure_rollup(claims, v.rollup_mode, v.with_gpa))
 
 
@@ -73,45 +79,43 @@ def prepare(df: DataFrame, v: Variant) -> DataFrame:
 def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> PricingRun:
     spark = claims.sparkSession
     if exposure is None:
-        exposure = materialize(build_exposure(claims, v), "exposure")
+        exposure = materialize(build_exposure(claims), "exposure")
     train, test = split_holdout(exposure)
     train, test = prepare(train, v), prepare(test, v)
-    levels = materialize(factor_levels(train, v.align_cols), "levels")
+    levels = keep(factor_levels(train, v.align_cols))
     test = align_levels(test, levels, v.align_cols)
 
     folds = materialize(assign_folds(train, v.k_folds, v.fold_seed), "folds")
     member = fold_membership(spark, v.k_folds)
-    params = materialize(
-        severity_params(folds, member, v.sev_response, v.pos_column, direct_max=v.quantile_direct_max),
-        "sev_params")
-    cells = materialize(design_cells(folds, member, params, v.factors, v.freq_response,
-                                     v.sev_response, v.pos_column), "cells")
+    params = keep(
+        severity_params(folds, member, v.sev_response, v.pos_column, direct_max=v.quantile_direct_max))
+    cells = keep(design_cells(folds, member, params, v.factors, v.freq_response,
+                              v.sev_response, v.pos_column))
     coefs = materialize(fit_models(cells, model_levels(cells, v.factors), v.factors, v.freq_family),
                         "coefs")
 
-    oof = score_pure_premium(folds, coefs, params, v.factors, v.freq_family, model_id="fold",
-                             out="oof_pred")
-    calib = materialize(cal.calibration_factor(oof), "calibration")
+    # one scored-cell table serves the out-of-fold, training and test scoring
+    table = score_table([(folds, "fold"), (folds, 0), (test, 0)], coefs, params, v.factors,
+                        v.freq_family)
+    oof = attach_score(folds, table, v.factors, model_id="fold", out="oof_pred")
+    calib = keep(cal.calibration_factor(oof))
 
-    pred_train = cal.apply_calibration(
-        score_pure_premium(folds, coefs, params, v.factors, v.freq_family, 0), calib)
-    pred_test = cal.apply_calibration(
-        score_pure_premium(test, coefs, params, v.factors, v.freq_family, 0), calib)
+    pred_train = cal.apply_calibration(attach_score(folds, table, v.factors, 0), calib)
+    pred_test = cal.apply_calibration(attach_score(test, table, v.factors, 0), calib)
     pred_train = materialize(pred_train, "pred_train_cal")
 
-    caps = materialize(cal.prediction_cap(pred_train, v.min_n_mode, direct_max=v.quantile_direct_max),
-                       "pred_caps")
+    caps = keep(cal.prediction_cap(pred_train, v.min_n_mode, direct_max=v.quantile_direct_max))
     pred_train = cal.apply_prediction_cap(pred_train, caps)
     pred_test = cal.apply_prediction_cap(pred_test, caps)
-    tmeans = materialize(cal.tier_mean(pred_train), "tier_means")
+    tmeans = keep(cal.tier_mean(pred_train))
     pred_train = materialize(cal.blend_to_tier(pred_train, tmeans), "scored_train")
     pred_test = cal.blend_to_tier(pred_test, tmeans)
 
     hold = rt.holdout_check(pred_test)
-    tbase = materialize(rt.tier_base(pred_train), "tier_base")
+    tbase = keep(rt.tier_base(pred_train))
     cmean = rt.coverage_mean(pred_train)
     base = rt.credibility_smooth(tbase, cmean, on=v.cred_smooth)
-    ptable = materialize(rt.pricing_table(base), "pricing_table")
+    ptable = keep(rt.pricing_table(base))
     priced = rt.row_premiums(rt.relativity(pred_train, tbase), ptable)
     totals = rt.student_totals(priced)
     disp = (dispersion_table(cells, coefs, params, v.factors, v.freq_family)
@@ -127,9 +131,11 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> P
 
 
 def compare_variants(claims: DataFrame, variants) -> DataFrame:
-    """Holdout ratio per coverage and variant, one union of the three checks."""
+    """Holdout ratio per coverage and variant, one union of the three checks
+    (one rollup shared by the variants)."""
+    exposure = materialize(build_exposure(claims), "exposure")
     out = None
     for v in variants:
-        h = price(claims, v).holdout_check.withColumn("variant", F.lit(v.name))
+        h = price(claims, v, exposure=exposure).holdout_check.withColumn("variant", F.lit(v.name))
         out = h if out is None else out.unionByName(h)
     return out

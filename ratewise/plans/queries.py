@@ -27,7 +27,7 @@ from ratewise.operators.levels import _stack, factor_levels, split_holdout
 from ratewise.operators.scoring import score_cells
 from ratewise.plans import oracle as O
 from ratewise.plans.pipeline import PricingRun, build_exposure, compare_variants, prepare, price
-from ratewise.session import scratch_dir
+from ratewise.session import materialize, scratch_dir
 from ratewise.sources.claims import NUMBER_PATTERN, fixture_claims, load_claims, parse_amount_col
 
 ONE = ("risk_tier",)
@@ -39,10 +39,19 @@ def variant_of(key: str) -> C.Variant:
     return base.with_factors(ONE) if key.endswith("_1f") else base
 
 
+def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One materialised rollup per (session, data folder), shared by all variants."""
+    k = (id(spark), os.path.abspath(sf_dir), "exposure")
+    if k not in _RUNS:
+        _RUNS[k] = materialize(build_exposure(fixture_claims(spark, sf_dir)), "exposure")
+    return _RUNS[k]
+
+
 def run(spark: SparkSession, sf_dir: str, key: str) -> PricingRun:
     k = (id(spark), os.path.abspath(sf_dir), key)
     if k not in _RUNS:
-        _RUNS[k] = price(fixture_claims(spark, sf_dir), variant_of(key))
+        claims = fixture_claims(spark, sf_dir)
+        _RUNS[k] = price(claims, variant_of(key), exposure=exposure(spark, sf_dir))
     return _RUNS[k]
 
 

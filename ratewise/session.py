@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,10 +72,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    t = time.time()
     df.write.mode("overwrite").parquet(path)
+    if os.environ.get("RATEWISE_TRACE"):
+        print(f"[materialize] {name}: {time.time() - t:.2f}s", file=sys.stderr)
     return spark.read.parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a small, deterministic summary table and compute it now.
+
+    Used for per-coverage/per-tier tables whose inputs are already cut by
+    ``materialize``: a lost executor recomputes them cheaply from those files.
+    """
+    df = df.cache()
+    df.count()
+    return df
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint behind a row-count check.
 
