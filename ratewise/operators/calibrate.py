@@ -30,7 +30,7 @@ def calibration_factor(oof: DataFrame, k: float = C.CAL_CLAIM_K, lo: float = C.C
 
 def apply_calibration(scored: DataFrame, cal: DataFrame, pred: str = "pred_loss",
                       out: str = "pred_loss_cal") -> DataFrame:
-    j = scored.join(small(cal.select("coverage", "cal_factor")), on="coverage", how="left")
+    j = scored.join(small(cal).select("coverage", "cal_factor"), on="coverage", how="left")
     return j.withColumn(out, F.col(pred) * F.col("cal_factor"))
 
 
@@ -59,7 +59,7 @@ def prediction_cap(scored_train: DataFrame, min_n_mode: str, min_n: int = C.MIN_
 
 def apply_prediction_cap(scored: DataFrame, caps: DataFrame, pred: str = "pred_loss_cal",
                          out: str = "pred_loss_cap") -> DataFrame:
-    j = scored.join(small(caps.select("coverage", "pred_cap")), on="coverage", how="left")
+    j = scored.join(small(caps).select("coverage", "pred_cap"), on="coverage", how="left")
     return j.withColumn(out, least_strict(pred, "pred_cap"))
 
 

@@ -16,6 +16,10 @@ Here the two order statistics are found by narrowing a value band:
 3. the band's distinct values with their counts are ranked by a window
    whose partitions hold at most ``direct_max`` distinct values.
 
+Groups that hold at most ``direct_max`` values from the start skip 2-3 and
+use Spark's exact ``percentile`` aggregate (the same type-7 rule), whose
+buffer is then bounded by ``direct_max``; the group sizes come from step 1.
+
 The result is exact whatever the sketch's error: a narrowing that fails the
 count check is not taken.
 """
@@ -59,11 +63,11 @@ def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000
     key_schema = [f for f in stats.schema.fields if f.name in keys]
     bschema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema)
     bschema += (", _n bigint, _h double, _lo bigint, _hi bigint, _L double, _U double,"
-                " _below bigint, _band bigint")
+                " _below bigint, _band bigint, _p double")
 
     def bounds_df(rs):
         data = [tuple(r[k] for k in keys) + (r["_n"], r["_h"], r["_lo"], r["_hi"], r["_L"], r["_U"],
-                                              r["_below"], r["_band"]) for r in rs]
+                                              r["_below"], r["_band"], float(r["_p"])) for r in rs]
         return F.broadcast(spark.createDataFrame(data, bschema))
 
     def band_rows(rs):
@@ -116,8 +120,34 @@ def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000
             else:
                 r["_stuck"] = True
 
-    b = bounds_df(rows)
-    cand = band_rows(rows).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    direct = [r for r in rows if r["_band"] == r["_n"] and r["_n"] <= direct_max]
+    banded = [r for r in rows if not (r["_band"] == r["_n"] and r["_n"] <= direct_max)]
+    parts = []
+    if direct:
+        parts.append(_direct_percentile(base, keys, direct, bounds_df(direct), out))
+    if banded or not parts:
+        parts.append(_band_pick(base, keys, banded, bounds_df(banded), band_rows(banded), out))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+def _direct_percentile(base: DataFrame, keys, rows, b: DataFrame, out: str) -> DataFrame:
+    """Exact ``percentile`` for groups known to hold at most ``direct_max`` values."""
+    probs = sorted({float(r["_p"]) for r in rows})
+    idx = F.lit(1)
+    for i, p in enumerate(probs, start=1):
+        idx = F.when(F.col("_p") == F.lit(p), F.lit(i)).otherwise(idx)
+    vals = base.join(b.select(*keys), on=keys).groupBy(*keys).agg(
+        F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"), F.first("_p").alias("_p"))
+    vals = vals.select(*keys, F.element_at("_qs", idx).alias(out))
+    return b.join(vals, on=keys, how="left").select(*keys, F.col("_n").alias("n"), out)
+
+
+def _band_pick(base: DataFrame, keys, rows, b: DataFrame, band: DataFrame, out: str) -> DataFrame:
+    """Rank the band's distinct values with a window and interpolate."""
+    cand = band.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cand = cand.withColumn("_cum", F.sum("_c").over(w))
     cand = cand.join(b, on=keys).withColumn("_start", F.col("_below") + F.col("_cum") - F.col("_c")) \
@@ -128,9 +158,8 @@ def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000
         F.max(F.when((F.col("_start") <= F.col("_hi")) & (F.col("_end") >= F.col("_hi")),
                      F.col("_v"))).alias("_xhi"),
     )
-    res = b.join(picked, on=keys, how="left").select(
+    return b.join(picked, on=keys, how="left").select(
         *keys,
         F.col("_n").alias("n"),
         (F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))).alias(out),
     )
-    return res

@@ -52,7 +52,7 @@ def pricing_table(base_loss: DataFrame) -> DataFrame:
 
 def relativity(scored: DataFrame, tier_avg: DataFrame, pred: str = "pred_loss_final") -> DataFrame:
     """(pred / tier average)^alpha, clamped; x/0 → null where R gives Inf/NaN."""
-    ta = small(tier_avg.select("coverage", "risk_tier", F.col("base_loss").alias("tier_pred_avg")))
+    ta = small(tier_avg).select("coverage", "risk_tier", F.col("base_loss").alias("tier_pred_avg"))
     j = scored.join(ta, on=["coverage", "risk_tier"], how="left")
     raw = safe_div(pred, "tier_pred_avg")
     return (j.withColumn("relativity_raw", raw)
@@ -62,7 +62,7 @@ def relativity(scored: DataFrame, tier_avg: DataFrame, pred: str = "pred_loss_fi
 
 
 def row_premiums(rel: DataFrame, pricing: DataFrame) -> DataFrame:
-    pb = small(pricing.select("coverage", "risk_tier", "prem_renew", "prem_new"))
+    pb = small(pricing).select("coverage", "risk_tier", "prem_renew", "prem_new")
     j = rel.join(pb, on=["coverage", "risk_tier"], how="left")
     return (j.withColumn("final_prem_renew", F.col("prem_renew") * F.col("relativity_cap"))
             .withColumn("final_prem_new", F.col("prem_new") * F.col("relativity_cap")))

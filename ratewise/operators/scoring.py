@@ -63,19 +63,24 @@ def score_table(parts, coefs: DataFrame, params: DataFrame, factors, freq_family
         c = rows.select("coverage", mid.alias("model_id"), *factors)
         cells = c if cells is None else cells.unionByName(c)
     scored = score_cells(cells.distinct(), coefs, params, factors, freq_family)
-    return materialize(scored.select("coverage", "model_id", *factors, "pure"), "scored_cells")
+    return small(materialize(scored.select("coverage", "model_id", *factors, "mu_freq", "mu_sev", "pure"),
+                             "scored_cells"))
 
 
-def attach_score(rows: DataFrame, table: DataFrame, factors, model_id=0, out: str = "pred_loss") -> DataFrame:
-    """Left-join the pure premium of model ``model_id`` onto ``rows`` (null-safe keys)."""
+def attach_score(rows: DataFrame, table: DataFrame, factors, model_id=0, out: str = "pred_loss",
+                 parts: bool = False) -> DataFrame:
+    """Left-join the pure premium of model ``model_id`` onto ``rows`` (null-safe
+    keys); with ``parts`` also the frequency and severity means."""
     factors = list(factors)
     keys = ["coverage", "model_id", *factors]
     mid = F.lit(model_id).cast("int") if isinstance(model_id, int) else F.col(model_id).cast("int")
     tagged = rows.withColumn("_mid", mid)
-    right = small(table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("pure").alias(out)))
+    extra = ["mu_freq", "mu_sev"] if parts else []
+    right = small(table).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("pure").alias(out),
+                                *extra)
     cond = [tagged["_mid"].eqNullSafe(right["_k_model_id"])] + [
         tagged[k].eqNullSafe(right[f"_k_{k}"]) for k in keys if k != "model_id"]
-    return tagged.join(right, on=cond, how="left").select(*rows.columns, out)
+    return tagged.join(right, on=cond, how="left").select(*rows.columns, out, *extra)
 
 
 def score_pure_premium(rows: DataFrame, coefs: DataFrame, params: DataFrame, factors,

@@ -43,6 +43,7 @@ class PricingRun:
     cells: DataFrame
     coefs: DataFrame
     oof: DataFrame
+    scored_parts: DataFrame
     calibration: DataFrame
     pred_caps: DataFrame
     tier_means: DataFrame
@@ -98,6 +99,7 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> P
     table = score_table([(folds, "fold"), (folds, 0), (test, 0)], coefs, params, v.factors,
                         v.freq_family)
     oof = attach_score(folds, table, v.factors, model_id="fold", out="oof_pred")
+    scored_parts = attach_score(folds, table, v.factors, 0, parts=True)
     calib = keep(cal.calibration_factor(oof))
 
     pred_train = cal.apply_calibration(attach_score(folds, table, v.factors, 0), calib)
@@ -113,7 +115,7 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> P
 
     hold = rt.holdout_check(pred_test)
     tbase = keep(rt.tier_base(pred_train))
-    cmean = rt.coverage_mean(pred_train)
+    cmean = keep(rt.coverage_mean(pred_train))
     base = rt.credibility_smooth(tbase, cmean, on=v.cred_smooth)
     ptable = keep(rt.pricing_table(base))
     priced = rt.row_premiums(rt.relativity(pred_train, tbase), ptable)
@@ -122,7 +124,7 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> P
             if v.with_dispersion else None)
     return PricingRun(
         variant=v, exposure=exposure, train=train, test=test, levels=levels, folds=folds,
-        params=params, cells=cells, coefs=coefs, oof=oof, calibration=calib, pred_caps=caps,
+        params=params, cells=cells, coefs=coefs, oof=oof, scored_parts=scored_parts, calibration=calib, pred_caps=caps,
         tier_means=tmeans, scored_train=pred_train, scored_test=pred_test, holdout_check=hold,
         tier_base=tbase, coverage_mean=cmean, base_loss=base, pricing_table=ptable, priced=priced,
         cap_stats=rt.cap_stats(priced), student_totals=totals,

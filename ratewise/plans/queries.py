@@ -332,6 +332,28 @@ def q_fit_gamma_m1(spark, sf):
     return _score_sums(run(spark, sf, "m1"), "sev")
 
 
+def _row_score_sql() -> str:
+    un = " UNION ALL ".join(
+        f"SELECT coverage, '{f}' AS factor, {f} AS level, yf AS t FROM mrows WHERE model_id = 0" for f in FM2)
+    return O.pipeline_sql("m2", f"""
+SELECT coverage, factor, level, count(*) AS n, round(sum(t), 4) AS score_sum FROM ({un})
+WHERE coverage IN (SELECT coverage FROM fstat WHERE model_id = 0 AND sy >= 20)
+GROUP BY 1, 2, 3""")
+
+
+@query("score_multifactor", _row_score_sql())
+def q_score_multifactor(spark, sf):
+    """Row-level scoring of the multi-factor model 0: per level, the scored
+    frequencies of the training rows add up to the observed claims."""
+    rn = run(spark, sf, "m2")
+    thin = rn.coefs.filter((F.col("factor") == INTERCEPT) & (F.col("part") == "freq")
+                           & (F.col("model_id") == 0)).select("coverage", "thin")
+    rows = rn.scored_parts.join(F.broadcast(thin), "coverage").filter(~F.col("thin"))
+    long = _stack(rows, FM2, keep=("coverage", "mu_freq"))
+    return long.groupBy("coverage", "factor", "level").agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("mu_freq"), 4, "score_sum"))
+
+
 @query("thin_data_fallback", O.pipeline_sql("m2", """
 SELECT coverage, model_id, 'freq' AS part, round(sy / n, 4) AS mu FROM fstat
 UNION ALL

@@ -79,22 +79,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cache a small, deterministic summary table and compute it now.
+def _checked(df: DataFrame, n: int, max_rows: int) -> DataFrame:
+    out = F.broadcast(df) if n <= max_rows else df
+    out._rw_rows = n  # the check is done; ``small`` will not count again
+    return out
+
+
+def keep(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Cache a small, deterministic summary table, compute it now, and mark it
+    for broadcast when its row count is within the bound.
 
     Used for per-coverage/per-tier tables whose inputs are already cut by
     ``materialize``: a lost executor recomputes them cheaply from those files.
+    The broadcast hint survives later ``select``/``filter`` calls.
     """
     df = df.cache()
-    df.count()
-    return df
+    return _checked(df, df.count(), max_rows)
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint behind a row-count check.
 
     Callers pass lookup tables that are already materialised, so the count is
-    a cheap metadata-sized job. Above the bound the table is returned as is.
+    a cheap job; tables from ``keep``/``small`` carry their count already.
+    Above the bound the table is returned unhinted and the planner decides
+    (sort-merge join, or AQE's runtime size check).
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if getattr(df, "_rw_rows", None) is not None:
+        return df
+    return _checked(df, df.count(), max_rows)
