@@ -198,6 +198,16 @@ def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family:
         F.explode(F.array(F.lit("freq"), F.lit("sev"))).alias("part"),
         F.col("factor").alias("factor"), F.col("level").alias("level"))
     left = cells.select(*[F.col(c).alias(c) for c in keys + factors + ["n", "sy"]])
+    # The cell tables are tiny, so AQE would coalesce them into one partition
+    # and run every fit in one Python worker; an explicit partition count
+    # (not coalesced) spreads the models over the cluster's cores.
+    spark = cells.sparkSession
+    try:
+        parts = max(1, int(spark.sparkContext.defaultParallelism))
+    except Exception:  # Spark Connect
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+    left = left.repartition(parts, *keys)
+    lv = lv.repartition(parts, *keys)
 
     def fn(key, l_pdf, r_pdf):
         return _fit_group(key, l_pdf, r_pdf, factors, freq_family, min_claims, min_pos)

@@ -16,36 +16,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.operators.glm import INTERCEPT
-from ratewise.operators.levels import _stack
 from ratewise.session import materialize, small
 
 
 def score_cells(cells: DataFrame, coefs: DataFrame, params: DataFrame, factors,
                 freq_family: str) -> DataFrame:
-    """cells (coverage, model_id, factors...) → + mu_freq, mu_sev, pure."""
+    """cells (coverage, model_id, factors...) → + mu_freq, mu_sev, pure.
+
+    Per part, the intercept and each factor's coefficient are looked up with
+    left joins against slices of the coefficient table (size-checked
+    broadcast), so the cells stream through one map-side stage. A missing
+    coefficient for a factor the model uses means an unseen level → null.
+    """
     factors = list(factors)
-    keys = ["coverage", "model_id", *factors]
-    models = coefs.filter(F.col("factor") == INTERCEPT).select(
-        "coverage", "model_id", "part", F.col("beta").alias("b0"), "n_factors")
-    betas = coefs.filter(F.col("factor") != INTERCEPT).select(
-        "coverage", "model_id", "part", "factor", "level", "beta")
-    with_parts = cells.join(models, on=["coverage", "model_id"])
-    long = _stack(with_parts, factors, keep=keys + ["part", "b0", "n_factors"])
-    eta = (long.join(betas, on=["coverage", "model_id", "part", "factor", "level"], how="left")
-           .groupBy(*keys, "part")
-           .agg(F.first("b0").alias("b0"), F.first("n_factors").alias("nf"),
-                F.sum("beta").alias("sb"), F.count("beta").alias("matched")))
-    eta = eta.withColumn("eta", F.when(F.col("matched") == F.col("nf"),
-                                       F.col("b0") + F.coalesce(F.col("sb"), F.lit(0.0))))
-    freq_mu = (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("eta")))) if freq_family == "binomial" \
-        else F.exp(F.col("eta"))
-    eta = eta.withColumn("mu", F.when(F.col("part") == "freq", freq_mu).otherwise(F.exp(F.col("eta"))))
-    mu = eta.groupBy(*keys).agg(
-        F.max(F.when(F.col("part") == "freq", F.col("mu"))).alias("mu_freq"),
-        F.max(F.when(F.col("part") == "sev", F.col("mu"))).alias("mu_sev"))
-    mu = mu.join(F.broadcast(params.select("coverage", "model_id", "uncap_adj")),
-                 on=["coverage", "model_id"], how="left")
-    return mu.withColumn("pure", F.col("mu_freq") * F.col("mu_sev") * F.col("uncap_adj"))
+    co = small(coefs)
+    out = cells.join(small(params).select("coverage", "model_id", "uncap_adj"),
+                     on=["coverage", "model_id"], how="left")
+    for part in ("freq", "sev"):
+        b0 = co.filter((F.col("factor") == INTERCEPT) & (F.col("part") == part)).select(
+            "coverage", "model_id", F.col("beta").alias(f"_b0_{part}"), F.col("n_factors").alias(f"_nf_{part}"))
+        out = out.join(b0, on=["coverage", "model_id"], how="left")
+        eta = F.col(f"_b0_{part}")
+        matched = F.lit(0)
+        for f in factors:
+            bf = co.filter((F.col("factor") == f) & (F.col("part") == part)).select(
+                "coverage", "model_id", F.col("level").alias(f), F.col("beta").alias(f"_b_{part}_{f}"))
+            out = out.join(bf, on=["coverage", "model_id", f], how="left")
+            beta = F.col(f"_b_{part}_{f}")
+            eta = eta + F.coalesce(beta, F.lit(0.0))
+            matched = matched + beta.isNotNull().cast("int")
+        eta = F.when(matched == F.col(f"_nf_{part}"), eta)
+        if part == "freq" and freq_family == "binomial":
+            mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+        else:
+            mu = F.exp(eta)
+        out = out.withColumn(f"mu_{part}", mu)
+    out = out.withColumn("pure", F.col("mu_freq") * F.col("mu_sev") * F.col("uncap_adj"))
+    return out.select("coverage", "model_id", *factors, "mu_freq", "mu_sev", "uncap_adj", "pure")
 
 
 def score_table(parts, coefs: DataFrame, params: DataFrame, factors, freq_family: str) -> DataFrame:

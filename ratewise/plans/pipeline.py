@@ -28,7 +28,7 @@ from ratewise.operators.glm import fit_models
 from ratewise.operators.levels import align_levels, factor_levels, split_holdout
 from ratewise.operators.scoring import attach_score, score_table
 from ratewise.operators.severity import severity_params
-from ratewise.session import keep, materialize
+from ratewise.session import keep, materialize, small
 
 
 @dataclass
@@ -92,8 +92,8 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> P
         severity_params(folds, member, v.sev_response, v.pos_column, direct_max=v.quantile_direct_max))
     cells = keep(design_cells(folds, member, params, v.factors, v.freq_response,
                               v.sev_response, v.pos_column))
-    coefs = materialize(fit_models(cells, model_levels(cells, v.factors), v.factors, v.freq_family),
-                        "coefs")
+    coefs = small(materialize(fit_models(cells, model_levels(cells, v.factors), v.factors, v.freq_family),
+                              "coefs"))
 
     # one scored-cell table serves the out-of-fold, training and test scoring
     table = score_table([(folds, "fold"), (folds, 0), (test, 0)], coefs, params, v.factors,
