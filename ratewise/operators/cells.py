@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ratewise.operators.levels import factor_levels
 from ratewise.operators.severity import capped_severity
+from ratewise.session import small
 
 
 def _stats(y: F.Column):
@@ -31,7 +32,7 @@ def design_cells(folds: DataFrame, membership: DataFrame, params: DataFrame, fac
             .join(membership, on="fold")
             .groupBy("coverage", "model_id", *factors).agg(*_sum_stats())
             .withColumn("part", F.lit("freq")))
-    caps = F.broadcast(params.select("coverage", "model_id", "cap"))
+    caps = small(params).select("coverage", "model_id", "cap")
     ycap = capped_severity(sev_y, pos_col)
     sev = (folds.filter(F.col(pos_col) > 0).select("coverage", "fold", *factors, sev_y, pos_col)
            .join(membership, on="fold").join(caps, on=["coverage", "model_id"])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewise.session import small
+from ratewise.session import known_small, small
 
 
 def fold_hash(student_col: str = "student_id", seed: int = 1) -> F.Column:
@@ -45,4 +45,4 @@ def fold_membership(spark, k: int = 5) -> DataFrame:
     """
     rows = [(0, f) for f in range(1, k + 1)] + [
         (m, f) for m in range(1, k + 1) for f in range(1, k + 1) if f != m]
-    return F.broadcast(spark.createDataFrame(rows, "model_id int, fold int"))
+    return known_small(spark.createDataFrame(rows, "model_id int, fold int"), len(rows))

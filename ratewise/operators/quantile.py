@@ -31,6 +31,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewise.session import known_small
+
 GRID = 1000
 ACCURACY = 10_000
 
@@ -68,7 +70,7 @@ def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000
     def bounds_df(rs):
         data = [tuple(r[k] for k in keys) + (r["_n"], r["_h"], r["_lo"], r["_hi"], r["_L"], r["_U"],
                                               r["_below"], r["_band"], float(r["_p"])) for r in rs]
-        return F.broadcast(spark.createDataFrame(data, bschema))
+        return known_small(spark.createDataFrame(data, bschema), len(data))
 
     def band_rows(rs):
         b = bounds_df(rs)
@@ -96,11 +98,12 @@ def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000
             proposals.append(dict(r, _newL=new_l, _newU=new_u))
         # exact counts for the proposed band, inside the old band
         pb = bounds_df(todo)
+        nb_rows = [tuple(p[k] for k in keys) + (p["_newL"], p["_newU"]) for p in proposals]
         nb = spark.createDataFrame(
-            [tuple(p[k] for k in keys) + (p["_newL"], p["_newU"]) for p in proposals],
-            ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema)
+            nb_rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema)
             + ", _nL double, _nU double")
-        cnt = (base.join(pb, on=keys).join(F.broadcast(nb), on=keys)
+        nb = known_small(nb, len(nb_rows))
+        cnt = (base.join(pb, on=keys).join(nb, on=keys)
                .filter((F.col("_v") >= F.col("_L")) & (F.col("_v") <= F.col("_U")))
                .groupBy(*keys)
                .agg(F.count_if(F.col("_v") < F.col("_nL")).alias("_add"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ratewise import config as C
 from ratewise.functions.nulls import least_strict, safe_div
 from ratewise.operators.quantile import exact_quantile
+from ratewise.session import keep, small
 
 
 def by_coverage(coverage_col, gm, liab, other) -> F.Column:
@@ -46,7 +47,8 @@ def severity_params(folds: DataFrame, membership: DataFrame, y: str, pos_col: st
     caps = counts.join(q, on=["coverage", "model_id"], how="left").withColumn(
         "capped", F.col("n_pos") >= min_pos).withColumn(
         "cap", F.when(F.col("capped"), F.col("_q")).otherwise(F.lit(float("inf")))).drop("_q")
-    means = pos.join(F.broadcast(caps.select("coverage", "model_id", "cap")),
+    caps = keep(caps)
+    means = pos.join(small(caps).select("coverage", "model_id", "cap"),
                      on=["coverage", "model_id"]).groupBy("coverage", "model_id").agg(
         F.avg(y).alias("_m"), F.avg(least_strict(y, "cap")).alias("_mc"))
     out = caps.join(means, on=["coverage", "model_id"], how="left")

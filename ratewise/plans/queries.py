@@ -27,7 +27,7 @@ from ratewise.operators.levels import _stack, factor_levels, split_holdout
 from ratewise.operators.scoring import score_cells
 from ratewise.plans import oracle as O
 from ratewise.plans.pipeline import PricingRun, build_exposure, compare_variants, prepare, price
-from ratewise.session import materialize, scratch_dir
+from ratewise.session import keep, materialize, scratch_dir, small
 from ratewise.sources.claims import NUMBER_PATTERN, fixture_claims, load_claims, parse_amount_col
 
 ONE = ("risk_tier",)
@@ -289,7 +289,7 @@ def _score_sums(rn: PricingRun, part: str) -> DataFrame:
     j = j.withColumn("_t", term)
     thin = rn.coefs.filter((F.col("factor") == INTERCEPT) & (F.col("part") == part)).select(
         "coverage", "model_id", "thin")
-    j = j.join(F.broadcast(thin), ["coverage", "model_id"]).filter(~F.col("thin"))
+    j = j.join(small(thin), ["coverage", "model_id"]).filter(~F.col("thin"))
     long = _stack(j, fac, keep=("coverage", "model_id", "n", "_t"))
     return long.groupBy("coverage", "model_id", "factor", "level").agg(
         F.sum("n").alias("n"), r(F.sum("_t"), 4, "score_sum"))
@@ -348,7 +348,7 @@ def q_score_multifactor(spark, sf):
     rn = run(spark, sf, "m2")
     thin = rn.coefs.filter((F.col("factor") == INTERCEPT) & (F.col("part") == "freq")
                            & (F.col("model_id") == 0)).select("coverage", "thin")
-    rows = rn.scored_parts.join(F.broadcast(thin), "coverage").filter(~F.col("thin"))
+    rows = rn.scored_parts.join(small(thin), "coverage").filter(~F.col("thin"))
     long = _stack(rows, FM2, keep=("coverage", "mu_freq"))
     return long.groupBy("coverage", "factor", "level").agg(
         F.count(F.lit(1)).alias("n"), r(F.sum("mu_freq"), 4, "score_sum"))
@@ -571,7 +571,7 @@ def _cells_chain(spark, sf):
         return _RUNS[k]
     train = run(spark, sf, "m2_1f").train
     means = train.groupBy("coverage", "risk_tier", "dist_band").agg(F.avg("total_paid").alias("pred_loss_cal"))
-    pred = train.join(F.broadcast(means), ["coverage", "risk_tier", "dist_band"])
+    pred = train.join(keep(means), ["coverage", "risk_tier", "dist_band"])
     caps = cal.prediction_cap(pred, "honoured")
     capped = cal.apply_prediction_cap(pred, caps)
     tm = cal.tier_mean(capped)

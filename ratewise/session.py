@@ -85,6 +85,11 @@ def _checked(df: DataFrame, n: int, max_rows: int) -> DataFrame:
     return out
 
 
+def known_small(df: DataFrame, n: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint for a table built on the driver from ``n`` rows."""
+    return _checked(df, n, max_rows)
+
+
 def keep(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Cache a small, deterministic summary table, compute it now, and mark it
     for broadcast when its row count is within the bound.
