@@ -56,12 +56,18 @@ def test_score_equations_hold(family):  # SCORE oracle rule, per level
                 assert abs((grp.n * grp.m).sum() - grp.sy.sum()) < 1e-7 * max(1, grp.sy.sum())
 
 
-def test_matches_row_level_glm_of_spark_ml(spark):  # second implementation
+@pytest.mark.parametrize("family,link", [("poisson", "log"), ("gamma", "log"), ("binomial", "logit")])
+def test_matches_row_level_glm_of_spark_ml(spark, family, link):  # second implementation
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     df, rng = make_rows(1, 3000)
-    y = rng.poisson(np.exp(df.eta)).astype(float)
+    if family == "poisson":
+        y = rng.poisson(np.exp(df.eta)).astype(float)
+    elif family == "gamma":
+        y = rng.gamma(2.0, np.exp(df.eta) * 100 / 2.0)
+    else:
+        y = (rng.random(len(df)) < 1 / (1 + np.exp(-df.eta))).astype(float)
     sdf = spark.createDataFrame(df[["a", "b", "c"]].assign(y=y))
     idx = [StringIndexer(inputCol=f, outputCol=f + "_i", stringOrderType="alphabetAsc") for f in "abc"]
     for s in idx:
@@ -79,11 +85,13 @@ def test_matches_row_level_glm_of_spark_ml(spark):  # second implementation
     flat = sdf.select("a", "b", "c", "y", *cols)
     feats = [c for c in flat.columns if c not in ("a", "b", "c", "y")]
     flat = VectorAssembler(inputCols=feats, outputCol="features").transform(flat)
-    glr = GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", tol=1e-12, maxIter=100)
+    glr = GeneralizedLinearRegression(family=family, link=link, labelCol="y", tol=1e-12, maxIter=100)
     pred = glr.fit(flat).transform(flat).select("a", "b", "c", "prediction").distinct().toPandas()
     cells = cells_of(df, y)
-    coefs = _fit_group(("cov", 0, "freq"), cells, levels_of(df, ["a", "b", "c"]), ["a", "b", "c"], "poisson")
-    ours = cells.assign(m=fitted(coefs, cells, "poisson")).merge(pred, on=["a", "b", "c"])
+    part = "sev" if family == "gamma" else "freq"
+    coefs = _fit_group(("cov", 0, part), cells, levels_of(df, ["a", "b", "c"]), ["a", "b", "c"],
+                       "binomial" if family == "binomial" else "poisson")
+    ours = cells.assign(m=fitted(coefs, cells, family)).merge(pred, on=["a", "b", "c"])
     assert np.max(np.abs(ours.m / ours.prediction - 1)) < 1e-8
 
 
