@@ -37,12 +37,6 @@ COEF_SCHEMA = (
 
 # ---------------------------------------------------------------- numerics ---
 
-def _inv_link(family: str, eta: np.ndarray) -> np.ndarray:
-    if family == "binomial":
-        return 1.0 / (1.0 + np.exp(-eta))
-    return np.exp(eta)
-
-
 def _loglik(family, eta, n, sy):
     if family == "poisson":
         return float(np.sum(sy * eta - n * np.exp(eta)))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewise.config import Variant
+from ratewise.config import M1, M2, M3, Variant
 from ratewise.functions.features import band_distance, band_gpa, clean_category
 from ratewise.operators import calibrate as cal
 from ratewise.operators import rating as rt
@@ -71,25 +71,47 @@ def build_exposure(claims: DataFrame, v: Variant | None = None) -> DataFrame:
     return claim_indicator(exposure_rollup(claims, v.rollup_mode, v.with_gpa))
 
 
-def prepare(df: DataFrame, v: Variant) -> DataFrame:
-    """Clean categories to 'Unknown' and add the bands."""
-    out = band_distance(clean_category(df, v.clean_cols))
-    return band_gpa(out) if v.with_gpa else out
+def prepare(df: DataFrame, v: Variant | None = None) -> DataFrame:
+    """Clean categories to 'Unknown' and add the bands.
 
+    Without a variant, every column any variant cleans is cleaned and both
+    bands are added: the columns a variant does not use are never read by
+    it, so one prepared training table (and its folds) serves all variants.
+    """
+    cols = v.clean_cols if v is not None else tuple(dict.fromkeys(
+        c for var in (M1, M2, M3) for c in var.clean_cols))
+    out = band_distance(clean_category(df, cols))
+    return band_gpa(out) if (v is None or v.with_gpa) else out
 
-def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> PricingRun:
+
+def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
+          shared: dict | None = None) -> PricingRun:
+    """The whole pricing job for variant ``v``.
+
+    ``shared`` (optional dict) lets runs on the same exposure table reuse
+    the folds and, for the same severity response, the severity parameters.
+    """
     spark = claims.sparkSession
+    shared = {} if shared is None else shared
     if exposure is None:
-        exposure = materialize(build_exposure(claims), "exposure")
+        if shared.get("exposure") is None:
+            shared["exposure"] = materialize(build_exposure(claims), "exposure")
+        exposure = shared["exposure"]
     train, test = split_holdout(exposure)
-    train, test = prepare(train, v), prepare(test, v)
+    train, test = prepare(train), prepare(test)
     levels = keep(factor_levels(train, v.align_cols))
     test = align_levels(test, levels, v.align_cols)
 
-    folds = materialize(assign_folds(train, v.k_folds, v.fold_seed), "folds")
+    fkey = ("folds", id(exposure), v.k_folds, v.fold_seed)
+    if fkey not in shared:
+        shared[fkey] = materialize(assign_folds(train, v.k_folds, v.fold_seed), "folds")
+    folds = shared[fkey]
     member = fold_membership(spark, v.k_folds)
-    params = keep(
-        severity_params(folds, member, v.sev_response, v.pos_column, direct_max=v.quantile_direct_max))
+    pkey = ("params", fkey, v.sev_response, v.pos_column, v.quantile_direct_max)
+    if pkey not in shared:
+        shared[pkey] = keep(severity_params(folds, member, v.sev_response, v.pos_column,
+                                            direct_max=v.quantile_direct_max))
+    params = shared[pkey]
     cells = keep(design_cells(folds, member, params, v.factors, v.freq_response,
                               v.sev_response, v.pos_column))
     coefs = small(materialize(fit_models(cells, model_levels(cells, v.factors), v.factors, v.freq_family),
@@ -135,9 +157,9 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None) -> P
 def compare_variants(claims: DataFrame, variants) -> DataFrame:
     """Holdout ratio per coverage and variant, one union of the three checks
     (one rollup shared by the variants)."""
-    exposure = materialize(build_exposure(claims), "exposure")
+    shared: dict = {}
     out = None
     for v in variants:
-        h = price(claims, v, exposure=exposure).holdout_check.withColumn("variant", F.lit(v.name))
+        h = price(claims, v, shared=shared).holdout_check.withColumn("variant", F.lit(v.name))
         out = h if out is None else out.unionByName(h)
     return out

@@ -26,7 +26,7 @@ from ratewise.operators.glm import INTERCEPT, fit_models
 from ratewise.operators.levels import _stack, factor_levels, split_holdout
 from ratewise.operators.scoring import score_cells
 from ratewise.plans import oracle as O
-from ratewise.plans.pipeline import PricingRun, build_exposure, compare_variants, prepare, price
+from ratewise.plans.pipeline import PricingRun, build_exposure, price
 from ratewise.session import keep, materialize, scratch_dir, small
 from ratewise.sources.claims import NUMBER_PATTERN, fixture_claims, load_claims, parse_amount_col
 
@@ -51,7 +51,9 @@ def run(spark: SparkSession, sf_dir: str, key: str) -> PricingRun:
     k = (id(spark), os.path.abspath(sf_dir), key)
     if k not in _RUNS:
         claims = fixture_claims(spark, sf_dir)
-        _RUNS[k] = price(claims, variant_of(key), exposure=exposure(spark, sf_dir))
+        sk = (id(spark), os.path.abspath(sf_dir), "shared")
+        shared = _RUNS.setdefault(sk, {"exposure": exposure(spark, sf_dir)})
+        _RUNS[k] = price(claims, variant_of(key), shared=shared)
     return _RUNS[k]
 
 
@@ -647,6 +649,3 @@ def q_totals_cells(spark, sf):
     return rt.student_totals(_cells_chain(spark, sf)["priced"]).select(
         "student_id", "risk_tier", r("total_renew", 4), r("total_new", 4))
 
-
-# unused import guard for linters
-_ = (compare_variants, prepare)
