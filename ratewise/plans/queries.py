@@ -39,19 +39,28 @@ def variant_of(key: str) -> C.Variant:
     return base.with_factors(ONE) if key.endswith("_1f") else base
 
 
+def _sk(spark: SparkSession):
+    """Session key: the object id alone may be reused after a session stops."""
+    try:
+        app = spark.conf.get("spark.app.id", None)
+    except Exception:
+        app = None
+    return (id(spark), app)
+
+
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One materialised rollup per (session, data folder), shared by all variants."""
-    k = (id(spark), os.path.abspath(sf_dir), "exposure")
+    k = (_sk(spark), os.path.abspath(sf_dir), "exposure")
     if k not in _RUNS:
         _RUNS[k] = materialize(build_exposure(fixture_claims(spark, sf_dir)), "exposure")
     return _RUNS[k]
 
 
 def run(spark: SparkSession, sf_dir: str, key: str) -> PricingRun:
-    k = (id(spark), os.path.abspath(sf_dir), key)
+    k = (_sk(spark), os.path.abspath(sf_dir), key)
     if k not in _RUNS:
         claims = fixture_claims(spark, sf_dir)
-        sk = (id(spark), os.path.abspath(sf_dir), "shared")
+        sk = (_sk(spark), os.path.abspath(sf_dir), "shared")
         shared = _RUNS.setdefault(sk, {"exposure": exposure(spark, sf_dir)})
         _RUNS[k] = price(claims, variant_of(key), shared=shared)
     return _RUNS[k]
@@ -568,7 +577,7 @@ def q_compare(spark, sf):
 # (coverage, risk_tier, dist_band) over the training rows.
 
 def _cells_chain(spark, sf):
-    k = (id(spark), os.path.abspath(sf), "cells_chain")
+    k = (_sk(spark), os.path.abspath(sf), "cells_chain")
     if k in _RUNS:
         return _RUNS[k]
     train = run(spark, sf, "m2_1f").train

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # join is left to the planner (sort-merge, or AQE's own size check).
 BROADCAST_MAX_ROWS = 200_000
 
-_LOCAL_SCRATCH: dict[int, str] = {}
+_LOCAL_SCRATCH: dict = {}
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
@@ -53,7 +53,7 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this job")
-        key = id(spark)
+        key = (id(spark), spark.conf.get("spark.app.id", None))
         if key not in _LOCAL_SCRATCH:
             _LOCAL_SCRATCH[key] = tempfile.mkdtemp(prefix="ratewise-", dir="/tmp")
         path = _LOCAL_SCRATCH[key]

@@ -131,3 +131,30 @@ def test_row_order_irrelevant(spark, runs):
     assert j.count() == a.count()
     diff = j.select(F.max(F.abs(a.total_renew - b.total_renew))).first()[0]
     assert diff < 1e-9
+
+
+def test_oof_sums_finite_and_cap_above_median(runs):
+    for v in runs.values():
+        for r in v.calibration.collect():
+            assert r.p is not None and math.isfinite(r.p) and r.p >= 0
+        med = {r.coverage: r.m for r in v.scored_train.groupBy("coverage").agg(
+            F.median("pred_loss_cal").alias("m")).collect()}
+        for r in v.pred_caps.collect():
+            if med.get(r.coverage) is not None:
+                assert r.pred_cap >= med[r.coverage]
+
+
+def test_sketch_path_gives_same_caps(spark, runs):
+    """The band-narrowing quantile path (forced with a tiny bound) gives the same caps."""
+    from dataclasses import replace
+    claims = build(spark)
+    forced = price(claims, replace(M2, quantile_direct_max=5))
+    a = {(r.coverage, r.model_id): r.cap for r in runs["m2"].params.collect()}
+    b = {(r.coverage, r.model_id): r.cap for r in forced.params.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == b[k] or abs(a[k] - b[k]) <= 1e-9 * abs(a[k])
+    pa = {r.coverage: r.pred_cap for r in runs["m2"].pred_caps.collect()}
+    pb = {r.coverage: r.pred_cap for r in forced.pred_caps.collect()}
+    for k in pa:
+        assert pa[k] == pb[k] or abs(pa[k] - pb[k]) <= 1e-9 * abs(pa[k])
