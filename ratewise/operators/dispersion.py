@@ -15,11 +15,11 @@ from ratewise.operators.scoring import score_cells
 
 
 def dispersion_table(cells: DataFrame, coefs: DataFrame, params: DataFrame, factors,
-                     freq_family: str, model_id: int = 0) -> DataFrame:
+                     freq_family: str, model_id: int = 0, lookup: DataFrame | None = None) -> DataFrame:
     factors = list(factors)
     c0 = cells.filter(F.col("model_id") == model_id)
     mu = score_cells(c0.select("coverage", "model_id", *factors).distinct(), coefs, params,
-                     factors, freq_family)
+                     factors, freq_family, lookup)
     j = c0.join(mu, on=["coverage", "model_id", *factors], how="left")
     m = F.when(F.col("part") == "freq", F.col("mu_freq")).otherwise(F.col("mu_sev"))
     ss = F.col("sy2") - 2 * m * F.col("sy") + F.col("n") * m * m

@@ -16,46 +16,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.operators.glm import INTERCEPT
-from ratewise.session import materialize, small
+from ratewise.session import keep, materialize, small
+
+SEP = "\u0001"
+
+
+def coefficient_lookup(coefs: DataFrame) -> DataFrame:
+    """One row per (coverage, model_id): each part's intercept and factor
+    count, and a map 'part|factor|level' → beta holding that model's
+    coefficients (a few dozen entries; the coefficient table is size-checked
+    by the caller)."""
+    fac, part = F.col("factor"), F.col("part")
+    key = F.concat(part, F.lit(SEP), fac, F.lit(SEP), F.col("level"))
+    aggs = []
+    for p in ("freq", "sev"):
+        icpt = (fac == INTERCEPT) & (part == p)
+        aggs += [F.max(F.when(icpt, F.col("beta"))).alias(f"_b0_{p}"),
+                 F.max(F.when(icpt, F.col("n_factors"))).alias(f"_nf_{p}"),
+                 F.max(F.when(icpt, F.lit(1))).alias(f"_has_{p}")]
+    aggs.append(F.map_from_entries(F.collect_list(
+        F.when(fac != INTERCEPT, F.struct(key.alias("k"), F.col("beta").alias("v"))))).alias("_coef"))
+    return coefs.groupBy("coverage", "model_id").agg(*aggs)
 
 
 def score_cells(cells: DataFrame, coefs: DataFrame, params: DataFrame, factors,
-                freq_family: str) -> DataFrame:
+                freq_family: str, lookup: DataFrame | None = None) -> DataFrame:
     """cells (coverage, model_id, factors...) → + mu_freq, mu_sev, pure.
 
-    Per part, the intercept and each factor's coefficient are looked up with
-    left joins against slices of the coefficient table (size-checked
-    broadcast), so the cells stream through one map-side stage. A missing
-    coefficient for a factor the model uses means an unseen level → null.
+    One left join to the per-model coefficient lookup (broadcast) and map
+    lookups per factor, all inside one map-side stage. A coefficient missing
+    for a factor the model uses means an unseen or null level → null.
     """
     factors = list(factors)
-    co = small(coefs)
+    lk = small(lookup if lookup is not None else keep(coefficient_lookup(coefs)))
     out = cells.join(small(params).select("coverage", "model_id", "uncap_adj"),
-                     on=["coverage", "model_id"], how="left")
+                     on=["coverage", "model_id"], how="left").join(lk, on=["coverage", "model_id"], how="left")
+    cols = {}
     for part in ("freq", "sev"):
-        b0 = co.filter((F.col("factor") == INTERCEPT) & (F.col("part") == part)).select(
-            "coverage", "model_id", F.col("beta").alias(f"_b0_{part}"), F.col("n_factors").alias(f"_nf_{part}"))
-        out = out.join(b0, on=["coverage", "model_id"], how="left")
         eta = F.col(f"_b0_{part}")
         matched = F.lit(0)
         for f in factors:
-            bf = co.filter((F.col("factor") == f) & (F.col("part") == part)).select(
-                "coverage", "model_id", F.col("level").alias(f), F.col("beta").alias(f"_b_{part}_{f}"))
-            out = out.join(bf, on=["coverage", "model_id", f], how="left")
-            beta = F.col(f"_b_{part}_{f}")
+            beta = F.try_element_at(F.col("_coef"), F.concat(F.lit(part + SEP + f + SEP), F.col(f)))
             eta = eta + F.coalesce(beta, F.lit(0.0))
             matched = matched + beta.isNotNull().cast("int")
         eta = F.when(matched == F.col(f"_nf_{part}"), eta)
         if part == "freq" and freq_family == "binomial":
-            mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+            cols[f"mu_{part}"] = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
         else:
-            mu = F.exp(eta)
-        out = out.withColumn(f"mu_{part}", mu)
+            cols[f"mu_{part}"] = F.exp(eta)
+    out = out.withColumns(cols)
     out = out.withColumn("pure", F.col("mu_freq") * F.col("mu_sev") * F.col("uncap_adj"))
     return out.select("coverage", "model_id", *factors, "mu_freq", "mu_sev", "uncap_adj", "pure")
 
 
-def score_table(parts, coefs: DataFrame, params: DataFrame, factors, freq_family: str) -> DataFrame:
+def score_table(parts, coefs: DataFrame, params: DataFrame, factors, freq_family: str,
+                lookup: DataFrame | None = None) -> DataFrame:
     """Scored cells for several row sets at once.
 
     parts: (rows, model_id) pairs, model_id an int or a column name (such as
@@ -69,7 +84,7 @@ def score_table(parts, coefs: DataFrame, params: DataFrame, factors, freq_family
         mid = F.lit(model_id).cast("int") if isinstance(model_id, int) else F.col(model_id).cast("int")
         c = rows.select("coverage", mid.alias("model_id"), *factors)
         cells = c if cells is None else cells.unionByName(c)
-    scored = score_cells(cells.distinct(), coefs, params, factors, freq_family)
+    scored = score_cells(cells.distinct(), coefs, params, factors, freq_family, lookup)
     return small(materialize(scored.select("coverage", "model_id", *factors, "mu_freq", "mu_sev", "pure"),
                              "scored_cells"))
 

@@ -12,6 +12,7 @@ small per-coverage/per-tier tables downstream of those are cached.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from ratewise.operators.exposure import claim_indicator, exposure_rollup
 from ratewise.operators.folds import assign_folds, fold_membership
 from ratewise.operators.glm import fit_models
 from ratewise.operators.levels import align_levels, factor_levels, split_holdout
-from ratewise.operators.scoring import attach_score, score_table
+from ratewise.operators.scoring import attach_score, coefficient_lookup, score_table
 from ratewise.operators.severity import severity_params
 from ratewise.session import keep, materialize, small
 
@@ -55,11 +56,29 @@ class PricingRun:
     base_loss: DataFrame
     pricing_table: DataFrame
     priced: DataFrame
-    cap_stats: DataFrame
     student_totals: DataFrame
-    tier_summary: DataFrame
-    quality: DataFrame
-    dispersion: DataFrame | None
+    lookup: DataFrame
+
+    # report tables: built on first use only
+    @cached_property
+    def cap_stats(self) -> DataFrame:
+        return rt.cap_stats(self.priced)
+
+    @cached_property
+    def tier_summary(self) -> DataFrame:
+        return rt.tier_premium_summary(self.student_totals)
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return rt.quality_gate(self.student_totals, self.priced)
+
+    @cached_property
+    def dispersion(self) -> DataFrame | None:
+        v = self.variant
+        if not v.with_dispersion:
+            return None
+        return dispersion_table(self.cells, self.coefs, self.params, v.factors, v.freq_family,
+                                lookup=self.lookup)
 
 
 def build_exposure(claims: DataFrame, v: Variant | None = None) -> DataFrame:
@@ -118,8 +137,9 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
                               "coefs"))
 
     # one scored-cell table serves the out-of-fold, training and test scoring
+    lookup = keep(coefficient_lookup(coefs))
     table = score_table([(folds, "fold"), (folds, 0), (test, 0)], coefs, params, v.factors,
-                        v.freq_family)
+                        v.freq_family, lookup)
     oof = attach_score(folds, table, v.factors, model_id="fold", out="oof_pred")
     scored_parts = attach_score(folds, table, v.factors, 0, parts=True)
     calib = keep(cal.calibration_factor(oof))
@@ -142,16 +162,12 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
     ptable = keep(rt.pricing_table(base))
     priced = rt.row_premiums(rt.relativity(pred_train, tbase), ptable)
     totals = rt.student_totals(priced)
-    disp = (dispersion_table(cells, coefs, params, v.factors, v.freq_family)
-            if v.with_dispersion else None)
     return PricingRun(
         variant=v, exposure=exposure, train=train, test=test, levels=levels, folds=folds,
         params=params, cells=cells, coefs=coefs, oof=oof, scored_parts=scored_parts, calibration=calib, pred_caps=caps,
         tier_means=tmeans, scored_train=pred_train, scored_test=pred_test, holdout_check=hold,
         tier_base=tbase, coverage_mean=cmean, base_loss=base, pricing_table=ptable, priced=priced,
-        cap_stats=rt.cap_stats(priced), student_totals=totals,
-        tier_summary=rt.tier_premium_summary(totals), quality=rt.quality_gate(totals, priced),
-        dispersion=disp)
+        student_totals=totals, lookup=lookup)
 
 
 def compare_variants(claims: DataFrame, variants) -> DataFrame:

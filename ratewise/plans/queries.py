@@ -294,7 +294,7 @@ def _score_sums(rn: PricingRun, part: str) -> DataFrame:
     fac = list(v.factors)
     cells = rn.cells.filter(F.col("part") == part)
     mu = score_cells(cells.select("coverage", "model_id", *fac).distinct(), rn.coefs, rn.params, fac,
-                     v.freq_family)
+                     v.freq_family, rn.lookup)
     j = cells.join(mu, on=["coverage", "model_id", *fac])
     term = (F.col("n") * F.col("mu_freq")) if part == "freq" else (F.col("sy") / F.col("mu_sev"))
     j = j.withColumn("_t", term)
