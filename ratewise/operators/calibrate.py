@@ -9,7 +9,7 @@ from ratewise import config as C
 from ratewise.functions.nulls import clamp_strict, greatest_strict, least_strict, zero_sum
 from ratewise.operators.quantile import exact_quantile
 from ratewise.operators.severity import by_coverage
-from ratewise.session import small
+from ratewise.session import keep, small
 
 
 def calibration_factor(oof: DataFrame, k: float = C.CAL_CLAIM_K, lo: float = C.CAL_CAP_LOW,
@@ -46,9 +46,13 @@ def prediction_cap(scored_train: DataFrame, min_n_mode: str, min_n: int = C.MIN_
     (model 1): the percentile is used whatever n, as the reference's
     ``is.finite`` test on Inf/NA always falls through to the quantile.
     """
-    n = scored_train.groupBy("coverage").agg(F.count(F.lit(1)).alias("n"))
+    v = F.col(pred)
+    n = keep(scored_train.groupBy("coverage").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(v.isNotNull() & ~F.isnan(v)).alias("_n"),
+        F.first(pred_cap_prob()).alias("_p")))
     q = exact_quantile(scored_train, ["coverage"], pred, pred_cap_prob(), direct_max=direct_max,
-                       out="_q").drop("n")
+                       out="_q", group_stats=n).drop("n")
+    n = n.drop("_n", "_p")
     out = n.join(q, on="coverage", how="left").withColumn("p_cap", pred_cap_prob())
     if min_n_mode == "honoured":
         cap = F.when(F.col("n") < min_n, F.lit(float("inf"))).otherwise(F.col("_q"))

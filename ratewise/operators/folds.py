@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewise.session import known_small, small
+from ratewise.session import keep, known_small
 
 
 def fold_hash(student_col: str = "student_id", seed: int = 1) -> F.Column:
@@ -33,7 +33,7 @@ def assign_folds(train: DataFrame, k: int = 5, seed: int = 1, by: str = "coverag
     offsets = counts.select(by, "_b", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(by, "_b").orderBy("_h", "student_id")
     ranked = df.withColumn("_r", F.row_number().over(w_in))
-    out = ranked.join(small(offsets), on=[by, "_b"], how="inner")
+    out = ranked.join(keep(offsets), on=[by, "_b"], how="inner")  # one pass for the counts
     rank = F.col("_off") + F.col("_r")
     return out.withColumn("fold", ((rank - 1) % k + 1).cast("int")).drop("_h", "_b", "_r", "_off")
 

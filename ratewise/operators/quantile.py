@@ -43,11 +43,13 @@ def _lit_prob(prob):
 
 def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000,
                    grid: int = GRID, accuracy: int = ACCURACY, max_rounds: int = 8,
-                   out: str = "q") -> DataFrame:
+                   out: str = "q", group_stats: DataFrame | None = None) -> DataFrame:
     """One row per group: keys, ``n`` (non-null values) and the quantile ``out``.
 
     ``prob`` is a number or a Column built from the key columns (constant
     within a group). Nulls are skipped (``na.rm = TRUE``); no values → null.
+    ``group_stats`` (keys, ``_n`` non-null count, ``_p`` probability), when
+    the caller has it from an aggregate of its own, saves the counting pass.
     """
     keys = list(keys)
     spark = df.sparkSession
@@ -55,7 +57,10 @@ def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000
     base = df.select(*keys, v.cast("double").alias("_v"), _lit_prob(prob).cast("double").alias("_p"))
     base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_p").alias("_p"))
+    if group_stats is None:
+        stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_p").alias("_p"))
+    else:
+        stats = group_stats.filter(F.col("_n") > 0).select(*keys, "_n", "_p")
     rows = [r.asDict() for r in stats.collect()]  # one small row per group
     for r in rows:
         h = (r["_n"] - 1) * r["_p"]

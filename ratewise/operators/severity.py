@@ -39,11 +39,15 @@ def severity_params(folds: DataFrame, membership: DataFrame, y: str, pos_col: st
     pos_col  claimants are rows with pos_col > 0
     """
     rep = folds.select("coverage", "fold", y, pos_col).join(membership, on="fold")
-    counts = rep.groupBy("coverage", "model_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(pos_col) > 0).alias("n_pos"))
-    pos = rep.filter(F.col(pos_col) > 0)
+    ispos = F.col(pos_col) > 0
+    counts = keep(rep.groupBy("coverage", "model_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ispos).alias("n_pos"),
+        F.count_if(ispos & F.col(y).isNotNull() & ~F.isnan(y)).alias("_n"),
+        F.first(sev_cap_prob()).alias("_p")))
+    pos = rep.filter(ispos)
     q = exact_quantile(pos, ["coverage", "model_id"], y, sev_cap_prob(), direct_max=direct_max,
-                       out="_q").drop("n")
+                       out="_q", group_stats=counts).drop("n")
+    counts = counts.drop("_n", "_p")
     caps = counts.join(q, on=["coverage", "model_id"], how="left").withColumn(
         "capped", F.col("n_pos") >= min_pos).withColumn(
         "cap", F.when(F.col("capped"), F.col("_q")).otherwise(F.lit(float("inf")))).drop("_q")
