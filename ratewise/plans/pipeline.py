@@ -118,7 +118,11 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
         exposure = shared["exposure"]
     train, test = split_holdout(exposure)
     train, test = prepare(train), prepare(test)
-    levels = keep(factor_levels(train, v.align_cols))
+    lkey = ("levels", id(exposure))
+    if lkey not in shared:  # levels of every column any variant aligns, one pass
+        shared[lkey] = keep(factor_levels(train, tuple(dict.fromkeys(
+            c for var in (M1, M2, M3) for c in var.align_cols))))
+    levels = keep(shared[lkey].filter(F.col("factor").isin(list(v.align_cols))))
     test = align_levels(test, levels, v.align_cols)
 
     fkey = ("folds", id(exposure), v.k_folds, v.fold_seed)
@@ -140,13 +144,14 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
     lookup = keep(coefficient_lookup(coefs))
     table = score_table([(folds, "fold"), (folds, 0), (test, 0)], coefs, params, v.factors,
                         v.freq_family, lookup)
-    oof = attach_score(folds, table, v.factors, model_id="fold", out="oof_pred")
+    # out-of-fold and model-0 predictions of the training rows in one pass
+    oof = materialize(attach_score(attach_score(folds, table, v.factors, model_id="fold", out="oof_pred"),
+                                   table, v.factors, 0), "pred_train")
     scored_parts = attach_score(folds, table, v.factors, 0, parts=True)
     calib = keep(cal.calibration_factor(oof))
 
-    pred_train = cal.apply_calibration(attach_score(folds, table, v.factors, 0), calib)
+    pred_train = cal.apply_calibration(oof.drop("oof_pred"), calib)
     pred_test = cal.apply_calibration(attach_score(test, table, v.factors, 0), calib)
-    pred_train = materialize(pred_train, "pred_train_cal")
 
     caps = keep(cal.prediction_cap(pred_train, v.min_n_mode, direct_max=v.quantile_direct_max))
     pred_train = cal.apply_prediction_cap(pred_train, caps)
