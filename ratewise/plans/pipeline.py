@@ -116,6 +116,7 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
         if shared.get("exposure") is None:
             shared["exposure"] = materialize(build_exposure(claims), "exposure")
         exposure = shared["exposure"]
+    shared[("ref", id(exposure))] = exposure  # keeps the id-based keys below unambiguous
     train, test = split_holdout(exposure)
     train, test = prepare(train), prepare(test)
     lkey = ("levels", id(exposure))
@@ -169,8 +170,8 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
     totals = rt.student_totals(priced)
     return PricingRun(
         variant=v, exposure=exposure, train=train, test=test, levels=levels, folds=folds,
-        params=params, cells=cells, coefs=coefs, oof=oof, scored_parts=scored_parts, calibration=calib, pred_caps=caps,
-        tier_means=tmeans, scored_train=pred_train, scored_test=pred_test, holdout_check=hold,
+        params=params, cells=cells, coefs=coefs, oof=oof, scored_parts=scored_parts, calibration=calib,
+        pred_caps=caps, tier_means=tmeans, scored_train=pred_train, scored_test=pred_test, holdout_check=hold,
         tier_base=tbase, coverage_mean=cmean, base_loss=base, pricing_table=ptable, priced=priced,
         student_totals=totals, lookup=lookup)
 
