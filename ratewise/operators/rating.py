@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratewise import config as C
 from ratewise.functions.nulls import clamp_strict, mean_strict, safe_div, zero_sum
-from ratewise.session import small
+from ratewise.session import keep, small
 
 
 def holdout_check(scored_test: DataFrame, pred: str = "pred_loss_final") -> DataFrame:
@@ -27,6 +27,17 @@ def coverage_mean(scored_train: DataFrame, pred: str = "pred_loss_final") -> Dat
     return scored_train.groupBy("coverage").agg(mean_strict(pred).alias("cov_mean"))
 
 
+def tier_and_coverage_means(scored_train: DataFrame, pred: str = "pred_loss_final"):
+    """``tier_base`` and ``coverage_mean`` from one pass: a rollup over
+    (coverage, risk_tier) computes both grouping levels in one aggregate."""
+    g = scored_train.rollup("coverage", "risk_tier").agg(
+        F.count(F.lit(1)).alias("n"), mean_strict(pred).alias("m"), F.grouping_id().alias("_gid"))
+    g = keep(g.filter(F.col("_gid") < 2))  # drop the grand total
+    tb = g.filter(F.col("_gid") == 0).select("coverage", "risk_tier", "n", F.col("m").alias("base_loss"))
+    cm = g.filter(F.col("_gid") == 1).select("coverage", F.col("m").alias("cov_mean"))
+    return tb, cm
+
+
 def credibility_smooth(base: DataFrame, cov_mean: DataFrame, k: float = C.CRED_K,
                        on: bool = C.USE_CRED_TIER_SMOOTH) -> DataFrame:
     """w = n/(n+K); base = w · tier mean + (1 - w) · coverage mean (or as is when off)."""

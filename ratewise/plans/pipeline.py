@@ -162,8 +162,8 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
     pred_test = cal.blend_to_tier(pred_test, tmeans)
 
     hold = rt.holdout_check(pred_test)
-    tbase = keep(rt.tier_base(pred_train))
-    cmean = keep(rt.coverage_mean(pred_train))
+    tb, cm = rt.tier_and_coverage_means(pred_train)
+    tbase, cmean = keep(tb), keep(cm)
     base = rt.credibility_smooth(tbase, cmean, on=v.cred_smooth)
     ptable = keep(rt.pricing_table(base))
     priced = rt.row_premiums(rt.relativity(pred_train, tbase), ptable)
