@@ -44,6 +44,8 @@ class Params:
     seed: int = 7
     #: Least rows of each class for a language to have a threshold of its own.
     least: int = 20
+    #: What rejecting a share of clean rows costs against missing the same share of toxic ones.
+    clean_weight: float = 3.0
     #: Words that the forward pass holds at a time.
     piece: int = 20_000
 
@@ -144,6 +146,7 @@ class Network:
                 seen[int(label), np.unique(t[k])] += 1
             totals = np.array([[(y == 0).sum()], [(y == 1).sum()]])
             odds = np.log((seen[1] + 0.1) / (totals[1] + 0.2)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
+            odds -= np.sqrt(1 / (seen[1] + 0.1) + 1 / (seen[0] + 0.5))  # less its standard error
             self.embed[k, :, 0] = np.where(seen.sum(axis=0) >= 2, np.maximum(odds, 0), 0)
         self.embed[:, p.buckets] = 0
         for w, width in enumerate(p.widths):
@@ -195,8 +198,8 @@ class Network:
     def calibrate(self, logits, labels, langs):
         """A cut for each language with enough rows of both classes, and one ("") for the others.
 
-        The cut is the middle of the best gap: the logit that makes the fewest
-        errors, classes weighed alike.
+        The cut is the middle of the best gap: the logit of least cost, where a
+        raised clean share weighs ``clean_weight`` times a missed share.
         """
         import numpy as np
 
@@ -209,7 +212,7 @@ class Network:
             z, y = z[order], y[order]
             missed = np.concatenate([[0], np.cumsum(y)]) / y.sum()
             raised = np.concatenate([[0], np.cumsum(1 - y)]) / (len(y) - y.sum())
-            cost = missed + 1 - raised
+            cost = missed + self.p.clean_weight * (1 - raised)
             at = np.flatnonzero(cost <= cost.min() + 1e-12)
             k = int(at[len(at) // 2])
             low, high = (z[k - 1] if k else z[0] - 1), (z[k] if k < len(z) else z[-1] + 1)
