@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, cnn_toxicity, mixing, popcount_simhash, segment_bpe
+from . import block_naming, cnn_toxicity, mixing, popcount_simhash, segment_bpe, url_markov, warc_chunks
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,67 @@ def byte_bpe(docs: DataFrame) -> DataFrame:
 @register("op10_segment_bpe")
 def op10_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"))
+
+
+@register("op1_warc_chunks")
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.revisit_table(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+#: (host, path, verdict)
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def _url_sql(order: int = 4) -> str:
+    levels = []
+    for k in range(order + 1):
+        prior = f"p{k - 1}.qa" if k else "1.0 / 256"
+        prior_b = f"p{k - 1}.qb" if k else "1.0 / 256"
+        join = f"JOIN p{k - 1} ON p{k - 1}.s = right(l.s, {k})" if k else ""
+        levels.append(f"""c{k} AS (SELECT right(gram, {k + 1}) AS s, left(right(gram, {k + 1}), {k}) AS ctx, sum(a) AS a, sum(b) AS b FROM counts GROUP BY ALL),
+p{k} AS (
+  SELECT l.s, CASE WHEN n.na > 0 THEN (l.a + n.ta * {prior}) / (n.na + n.ta) ELSE {prior} END::DOUBLE AS qa,
+              CASE WHEN n.nb > 0 THEN (l.b + n.tb * {prior_b}) / (n.nb + n.tb) ELSE {prior_b} END::DOUBLE AS qb
+  FROM c{k} l JOIN (SELECT ctx, sum(a) AS na, sum(b) AS nb, sum((a > 0)::INT) AS ta, sum((b > 0)::INT) AS tb FROM c{k} GROUP BY ctx) n USING (ctx) {join}
+)""")
+    return rf"""
+WITH parts AS (
+  SELECT DISTINCT coalesce(url, '') AS url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, substr(md5(url), 1, 1) IN ('0', '1', '2') AS held
+  FROM parts
+), r AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u
+), ruled AS (
+  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r
+), grams AS (
+  SELECT url, ruled, held, substr(repeat(chr(2), {order}) || url || chr(3), i, {order + 1}) AS gram
+  FROM (SELECT *, unnest(generate_series(1, length(url) + 1)) AS i FROM ruled)
+), counts AS (
+  SELECT gram, sum((NOT held AND ruled IS NOT DISTINCT FROM 'allow')::INT)::BIGINT AS a, sum((NOT held AND ruled IS NOT DISTINCT FROM 'block')::INT)::BIGINT AS b FROM grams GROUP BY gram
+), {", ".join(levels)}, scores AS (
+  SELECT url, avg(ln(qa) - ln(qb)) AS score FROM grams JOIN p{order} ON s = gram GROUP BY url
+), bins AS (
+  SELECT floor(score / 0.01) AS bin, sum((ruled = 'allow')::INT) AS a, sum((ruled = 'block')::INT) AS b
+  FROM ruled JOIN scores USING (url) WHERE held AND ruled IS NOT NULL GROUP BY ALL
+), tried AS (
+  SELECT bin, sum(a) OVER () AS good, sum(b) OVER () AS bad,
+         sum(a) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
+         coalesce(sum(b) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under
+  FROM bins
+), cut AS (
+  SELECT coalesce((SELECT bin * 0.01 FROM tried WHERE good > 0 AND bad > 0 ORDER BY above / good + under / bad DESC, bin LIMIT 1), 0) AS cut
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM pages JOIN ruled ON ruled.url = coalesce(pages.url, '') JOIN scores ON scores.url = ruled.url, cut
+"""
+
+
+@register("op3_url_markov", _url_sql())
+def op3_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judge(table(spark, sf_dir, "pages"), URL_RULES, order=4).drop("score")
