@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, cnn_toxicity, mixing, popcount_simhash, segment_bpe, url_markov, warc_chunks
+from . import block_naming, cnn_toxicity, flat_graph, license_tfidf, mixing, pii_surrogates, popcount_simhash, segment_bpe, url_markov, warc_chunks
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,41 @@ FROM pages JOIN ruled ON ruled.url = coalesce(pages.url, '') JOIN scores ON scor
 @register("op3_url_markov", _url_sql())
 def op3_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_markov.judge(table(spark, sf_dir, "pages"), URL_RULES, order=4).drop("score")
+
+
+@register("op4_flat_graph", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_sum([abs(x) for x in embedding]) > 0
+    AND len([1 for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION
+  SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.u = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.u = e.vec_id
+""")
+def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_graph.near_duplicates(table(spark, sf_dir, "embeddings")).drop("audited_recall")
+
+
+@register("op5_pii_surrogates")
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.pseudonymise(table(spark, sf_dir, "documents"), key=b"ratewise-surrogates")
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as a tree of files: source/thousands/fifties/doc_id.txt; the first of each directory is its licence file."""
+    i = F.coalesce(F.col("doc_id"), F.lit(-1))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(i / 1000).cast("string"), F.floor(i / 50).cast("string"))
+    path = F.when(i % 50 == 0, F.concat(folder, F.lit("/LICENSE"))).otherwise(F.concat(folder, F.lit("/"), i.cast("string"), F.lit(".txt")))
+    path = F.when(i % 1000 == 1, F.concat(F.regexp_extract(folder, "^(.*)/[^/]*$", 1), F.lit("/LICENSE"))).otherwise(path)
+    return docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+
+
+@register("op6_license_tfidf")
+def op6_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_tfidf.scan(as_files(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
