@@ -87,7 +87,7 @@ class Network:
         from xxhash import xxh3_64_intdigest
 
         h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-        return (h % np.uint64(self.p.buckets)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(self.p.buckets)).astype(np.int64)
+        return (h % np.uint64(self.p.buckets)).astype(np.int32), ((h >> np.uint64(32)) % np.uint64(self.p.buckets)).astype(np.int32)
 
     def maxima(self, ids, starts):
         """Per text the maximum of each filter, and where it lies. ids: both hashes of the padded texts in a row."""
@@ -112,7 +112,7 @@ class Network:
         """Texts (pairs of hash arrays) in a row, each followed by padding as wide as the widest filter."""
         import numpy as np
 
-        gap = np.full(max(self.p.widths), self.p.buckets, np.int64)
+        gap = np.full(max(self.p.widths), self.p.buckets, np.int32)
         ids = [np.concatenate([part for t in texts for part in (t[k], gap)]) for k in (0, 1)]
         starts = np.concatenate([[0], np.cumsum([len(t[0]) + len(gap) for t in texts])[:-1]]).astype(np.int64)
         return ids, starts
@@ -255,12 +255,13 @@ def train(rows: list[tuple[str, int]], p: Params = Params()) -> Network:
     """Fit on four fifths of the sample and set the thresholds on the other fifth."""
     import numpy as np
 
-    words = [tokens(t) for t, _ in rows]
     sets = {k: [w.encode() for w in v] for k, v in FUNCTION_WORDS.items()}
-    langs = [guess(w, sets) for w in words]
     y = np.array([label for _, label in rows], int)
-    net = Network(p)
-    texts = [net.hashed(w) for w in words]
+    net, langs, texts = Network(p), [], []
+    for text, _ in rows:
+        words = tokens(text)
+        langs.append(guess(words, sets))
+        texts.append(net.hashed(words))
     apart = np.arange(len(rows)) % 5 == 0
     net.fit([t for t, a in zip(texts, apart) if not a], y[~apart])
     held = [i for i in range(len(rows)) if apart[i]]

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 #: Longest piece, in bytes, that is merged in a batch of trees.
 SHORT = 64
 #: Pieces a Python worker remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Characters of texts that are encoded together (a longer text is encoded alone).
-CHARS = 2_000_000
+CHARS = 1_000_000
 
 
 def load_ranks(path: str) -> list[bytes]:
