@@ -96,7 +96,10 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         return F.filter(F.array(*up), lambda x: x.isNotNull())
 
     own = counts.select("fp", "counts", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), cell(g).alias("cell")) for g in range(groups)])).alias("c"))
-    up = counts.select("fp", "counts", F.explode(F.flatten(F.array(*[F.transform(raised(g), lambda x, g=g: F.struct(F.lit(g).alias("g"), x.alias("cell"))) for g in range(groups)]))).alias("c"))
+    def raised_cells(g):
+        return F.transform(raised(g), lambda x: F.struct(F.lit(g).alias("g"), x.alias("cell")))
+
+    up = counts.select("fp", "counts", F.explode(F.flatten(F.array(*[raised_cells(g) for g in range(groups)]))).alias("c"))
     probe = own.withColumn("up", F.lit(False)).unionByName(up.withColumn("up", F.lit(True)))
     a = probe.select(F.col("fp").alias("u"), F.col("counts").alias("cu"), "up", "c.g", "c.cell")
     b = own.select(F.col("fp").alias("v"), F.col("counts").alias("cv"), "c.g", "c.cell")
