@@ -30,7 +30,7 @@ _NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]{1,30}"
 PATTERN = "|".join([
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5})",
     r"(?P<aws_key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)",
-    r"""(?P<secret>\b(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_+/.-]{6,128}))""",
+    r"""(?P<secret>\b(?:password|passwd|token|secret|api_key)[ \t]{0,3}[=:][ \t]{0,3}["']?(?P<value>[A-Za-z0-9_+/.-]{6,128}))""",
     r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
     r"(?P<ipv4>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))",
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
@@ -40,6 +40,27 @@ PATTERN = "|".join([
 ])
 
 
+#: Every entity has one of these characters or strings, and none spans lines.
+_CHARS = r"[\d@=:]"
+_STRINGS = ("AKIA", "ASIA", *(t for v in TITLES.values() for t in v))
+
+
+def finder():
+    """finditer of the pattern over the lines that can hold an entity."""
+    match, some = re.compile(PATTERN).finditer, re.compile(_CHARS).search
+
+    def find(text):
+        if not (some(text) or any(x in text for x in _STRINGS)):
+            return
+        at = 0
+        for line in text.split("\n"):
+            if some(line) or any(x in line for x in _STRINGS):
+                yield from match(text, at, at + len(line))
+            at += len(line) + 1
+
+    return find
+
+
 def luhn(digits: str) -> bool:
     odd = [int(d) for d in digits[-1::-2]]
     even = [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
@@ -190,7 +211,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     def scan(batches):
         import pyarrow as pa
 
-        find = re.compile(PATTERN).finditer
+        find = finder()
         item = pa.list_(pa.struct([("type", pa.string()), ("norm", pa.string())]))
         for batch in batches:
             ents = [[{"type": k, "norm": n} for _, _, k, n in detect(t, find)] if t else [] for t in batch.column(1).to_pylist()]
@@ -205,7 +226,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     def rewrite(batches):
         import pyarrow as pa
 
-        find = re.compile(PATTERN).finditer
+        find = finder()
         for batch in batches:
             out = []
             for text, pairs_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
