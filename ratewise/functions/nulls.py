@@ -19,7 +19,8 @@ def _col(c) -> Column:
 
 
 def _any_null(cols) -> Column:
-    return reduce(lambda a, b: a | b, [c.isNull() for c in cols])
+    """NaN counts as null: R's NA rules hold for both."""
+    return reduce(lambda a, b: a | b, [c.isNull() | F.isnan(c) for c in cols])
 
 
 def least_strict(*cols) -> Column:
@@ -39,8 +40,8 @@ def clamp_strict(x, lo, hi) -> Column:
 
 
 def mean_strict(x) -> Column:
-    """Aggregate: ``mean(x)`` that is null as soon as one input is null."""
-    c = _col(x)
+    """Aggregate: ``mean(x)`` that is null as soon as one input is null or NaN."""
+    c = nan_to_null(x)
     return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
 
 

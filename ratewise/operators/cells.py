@@ -44,5 +44,5 @@ def design_cells(folds: DataFrame, membership: DataFrame, params: DataFrame, fac
 
 
 def model_levels(cells: DataFrame, factors) -> DataFrame:
-    """Levels of each model's training rows: every row is in a frequency cell."""
-    return factor_levels(cells.filter(F.col("part") == "freq"), factors, by=("coverage", "model_id"))
+    """Levels each fit has seen: of all training rows for frequency, of claimants for severity."""
+    return factor_levels(cells, factors, by=("coverage", "model_id", "part"))

@@ -85,7 +85,7 @@ def kept_columns(X: np.ndarray, tol: float = 1e-7) -> list[int]:
 
 
 def newton_fit(family: str, X: np.ndarray, n: np.ndarray, sy: np.ndarray,
-               max_iter: int = 100, tol: float = 1e-9):
+               max_iter: int = 200, tol: float = 1e-9):
     """Returns (beta, iterations, converged) for a full-rank X."""
     p = X.shape[1]
     beta = np.zeros(p)
@@ -177,9 +177,9 @@ def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family:
     """All (coverage, model_id, part) fits as one cogrouped ``applyInPandas``.
 
     cells         (coverage, model_id, part, factors..., n, sy, sy2)
-    model_levels  (coverage, model_id, factor, level): levels of each model's
-                  training rows; the severity part uses them too, so a level
-                  without claimants is aliased (coefficient 0), not unseen.
+    model_levels  (coverage, model_id, part, factor, level): the levels each fit
+                  has seen; a level without claimants is unseen by the severity
+                  fit, so its severity (and pure premium) is null.
     min_claims    frequency falls back to intercept only below this many claims
     min_pos       severity falls back to intercept only below this many claimants
     Returns the long coefficient table ``COEF_SCHEMA``.
@@ -189,7 +189,7 @@ def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family:
     # fresh column ids on both sides: the levels are derived from the cells
     lv = model_levels.select(
         F.col("coverage").alias("coverage"), F.col("model_id").alias("model_id"),
-        F.explode(F.array(F.lit("freq"), F.lit("sev"))).alias("part"),
+        F.col("part").alias("part"),
         F.col("factor").alias("factor"), F.col("level").alias("level"))
     left = cells.select(*[F.col(c).alias(c) for c in keys + factors + ["n", "sy"]])
     # The cell tables are tiny, so AQE would coalesce them into one partition
@@ -207,3 +207,11 @@ def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family:
         return _fit_group(key, l_pdf, r_pdf, factors, freq_family, min_claims, min_pos)
 
     return left.groupBy(*keys).cogroup(lv.groupBy(*keys)).applyInPandas(fn, schema=COEF_SCHEMA)
+
+
+def check_fits(coefs: DataFrame) -> None:
+    """Raise if a model that has data ran out of steps: its prices would be unfinished."""
+    bad = (coefs.filter((F.col("factor") == INTERCEPT) & ~F.col("converged") & ~F.isnan("beta"))
+           .select("coverage", "model_id", "part").limit(20).collect())
+    if bad:
+        raise ValueError(f"fits that did not converge: {[tuple(b) for b in bad]}")

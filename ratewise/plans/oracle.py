@@ -136,20 +136,8 @@ FROM sevcap s LEFT JOIN (
 SELECT coverage, model_id, count(*) AS n2, avg(y_cap) AS mean2 FROM mrows2 WHERE y_cap > 0 GROUP BY 1, 2"""),
         ("stier", """
 SELECT coverage, model_id, risk_tier, avg(y_cap) AS mu FROM mrows2 WHERE y_cap > 0 GROUP BY 1, 2, 3"""),
-        # a training level without claimants is aliased in the severity fit: it takes
-        # the intercept, i.e. the base level's mean, or the last level's when the base
-        # level has no claimants either
-        ("sfb", """
-SELECT b.coverage, b.model_id, coalesce(bt.mu, mx.mu) AS mu_fb
-FROM (SELECT coverage, model_id, min(risk_tier) AS base FROM mrows GROUP BY 1, 2) b
-LEFT JOIN stier bt ON bt.coverage = b.coverage AND bt.model_id = b.model_id AND bt.risk_tier = b.base
-LEFT JOIN (SELECT coverage, model_id, arg_max(mu, risk_tier) AS mu FROM stier GROUP BY 1, 2) mx
-  ON mx.coverage = b.coverage AND mx.model_id = b.model_id"""),
-        ("smu", """
-SELECT l.coverage, l.model_id, l.risk_tier, coalesce(t.mu, f.mu_fb) AS mu
-FROM (SELECT DISTINCT coverage, model_id, risk_tier FROM mrows) l
-LEFT JOIN stier t ON t.coverage = l.coverage AND t.model_id = l.model_id AND t.risk_tier = l.risk_tier
-LEFT JOIN sfb f ON f.coverage = l.coverage AND f.model_id = l.model_id"""),
+        # a level without claimants is unseen by the severity fit: it has no mean
+        ("smu", "SELECT coverage, model_id, risk_tier, mu FROM stier"),
         ("oof", score("folds", "r.fold")),
         ("cal0", """
 SELECT coverage, count(*) FILTER (WHERE total_paid > 0) AS n_claim,

@@ -25,7 +25,7 @@ from ratewise.operators.cells import design_cells, model_levels
 from ratewise.operators.dispersion import dispersion_table
 from ratewise.operators.exposure import claim_indicator, exposure_rollup
 from ratewise.operators.folds import assign_folds, fold_membership
-from ratewise.operators.glm import fit_models
+from ratewise.operators.glm import check_fits, fit_models
 from ratewise.operators.levels import align_levels, factor_levels, split_holdout
 from ratewise.operators.scoring import attach_score, coefficient_lookup, score_table
 from ratewise.operators.severity import severity_params
@@ -141,6 +141,8 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
     coefs = small(materialize(fit_models(cells, model_levels(cells, v.factors), v.factors, v.freq_family),
                               "coefs"))
 
+    check_fits(coefs)
+
     # one scored-cell table serves the out-of-fold, training and test scoring
     lookup = keep(coefficient_lookup(coefs))
     table = score_table([(folds, "fold"), (folds, 0), (test, 0)], coefs, params, v.factors,

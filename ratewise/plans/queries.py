@@ -28,6 +28,7 @@ from ratewise.operators.scoring import score_cells
 from ratewise.plans import oracle as O
 from ratewise.plans.pipeline import PricingRun, build_exposure, price
 from ratewise.session import keep, materialize, scratch_dir, small
+from ratewise.sources import write_premiums
 from ratewise.sources.claims import NUMBER_PATTERN, fixture_claims, load_claims, parse_amount_col
 
 ONE = ("risk_tier",)
@@ -132,6 +133,36 @@ def q_load_claims(spark, sf):
     return load_claims(spark, path, "csv")
 
 
+def _csv_copy(spark, claims: DataFrame) -> DataFrame:
+    """``claims`` written as CSV to the scratch folder and loaded again."""
+    path = os.path.join(scratch_dir(spark), f"claims-csv-{uuid.uuid4().hex[:12]}")
+    claims.write.option("header", True).csv(path)
+    return load_claims(spark, path, "csv")
+
+
+@query("load_claims_reordered", O.base_sql(f"SELECT {CLAIM_COLS} FROM claims"))
+def q_load_claims_reordered(spark, sf):
+    """Columns in another order, with others between them, are found by name."""
+    c = fixture_claims(spark, sf)
+    return _csv_copy(spark, c.select(F.lit("x").alias("note"), *reversed(c.columns), F.lit(1).alias("year")))
+
+
+@query("load_claims_text_ids", O.base_sql(
+    "SELECT " + CLAIM_COLS.replace("student_id", "'S' || student_id AS student_id") + " FROM claims"))
+def q_load_claims_text_ids(spark, sf):
+    """Text student ids stay text."""
+    return _csv_copy(spark, fixture_claims(spark, sf).withColumn("student_id", F.concat(F.lit("S"), "student_id")))
+
+
+@query("load_claims_no_row_id", O.base_sql(
+    "SELECT " + CLAIM_COLS.removeprefix("row_id, ") + ", count(*) OVER () AS n_row_ids FROM claims"))
+def q_load_claims_no_row_id(spark, sf):
+    """Without row_id the file order is taken: every row has its own."""
+    got = _csv_copy(spark, fixture_claims(spark, sf).drop("row_id"))
+    ids = got.agg(F.countDistinct("row_id").alias("n_row_ids"))
+    return got.drop("row_id").crossJoin(F.broadcast(ids))  # one row
+
+
 @query("parse_amount", O.base_sql(
     f"SELECT row_id, amount_text, CASE WHEN regexp_full_match(amount_text, '{NUMBER_PATTERN}') "
     "THEN TRY_CAST(trim(amount_text) AS DOUBLE) END AS amount_num FROM claims"))
@@ -560,6 +591,18 @@ QUERIES["price_m2"] = _totals("m2")
 QUERIES["price_m3"] = _totals("m3")
 
 
+@query("write_premiums")
+def q_write_premiums(spark, sf):
+    """Student totals written as the premium file and read back."""
+    path = os.path.join(scratch_dir(spark), f"premiums-{uuid.uuid4().hex[:12]}")
+    write_premiums(run(spark, sf, "m2_1f").student_totals, path)
+    back = spark.read.schema("student_id bigint, risk_tier string, total_renew double, total_new double").option("header", True).csv(path)
+    return back.select("student_id", "risk_tier", r("total_renew", 4), r("total_new", 4))
+
+
+SQL["write_premiums"] = SQL["student_totals"]
+
+
 @query("compare_variants")
 def q_compare(spark, sf):
     out = None

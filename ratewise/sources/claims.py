@@ -11,8 +11,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ratewise.functions.nulls import nan_to_null
+from ratewise.session import materialize
 
 CLAIMS_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType(), False),
@@ -56,8 +58,38 @@ def _holdout_flag(c: F.Column, dtype: T.DataType) -> F.Column:
     return F.when(d == 1, F.lit(True)).when(d == 0, F.lit(False))
 
 
+#: Columns without which claims can't be priced; the rating factors may be absent and are then null.
+REQUIRED = ("student_id", "coverage", "risk_tier", "holdout", "amount")
+_WHOLE_NUMBER = r"^[+-]?[0-9]{1,18}$"
+
+
+def _require(df: DataFrame, names) -> None:
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise ValueError(f"claims lack the columns {', '.join(missing)}; found {', '.join(df.columns)}")
+
+
+def _never_null(c: F.Column, name: str) -> F.Column:
+    return F.when(c.isNull(), F.raise_error(F.lit(f"a claim has no {name}"))).otherwise(c)
+
+
+def _id_type(df: DataFrame) -> T.DataType:
+    """Integral ids are bigint; text ids are bigint only if every one is a whole number, else they stay text."""
+    t = df.schema["student_id"].dataType
+    if not isinstance(t, T.StringType):
+        return T.LongType() if isinstance(t, T.IntegralType) else T.StringType()
+    odd = df.filter(F.col("student_id").isNotNull() & ~F.col("student_id").rlike(_WHOLE_NUMBER))
+    return T.LongType() if odd.isEmpty() else T.StringType()
+
+
 def conform_claims(df: DataFrame) -> DataFrame:
-    """Cast any claims-like frame to ``CLAIMS_SCHEMA``."""
+    """Select the claims columns by name and cast them to ``CLAIMS_SCHEMA``.
+
+    Raises if a required column or ``row_id`` is absent, and when run if a
+    ``row_id`` or ``student_id`` is null. Text student ids that are not all
+    whole numbers stay text. Other columns are ignored.
+    """
+    _require(df, ("row_id", *REQUIRED))
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for f in CLAIMS_SCHEMA.fields:
@@ -70,6 +102,10 @@ def conform_claims(df: DataFrame) -> DataFrame:
         elif f.name == "amount":
             c = parse_amount_col(c) if isinstance(t, T.StringType) else c.cast("double")
             c = nan_to_null(c)
+        elif f.name == "student_id":
+            c = _never_null(c.cast(_id_type(df)), f.name)
+        elif f.name == "row_id":
+            c = _never_null(c.try_cast("bigint"), f.name)
         elif isinstance(f.dataType, T.DoubleType):
             c = nan_to_null(c.try_cast("double"))
         else:
@@ -78,26 +114,35 @@ def conform_claims(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def with_file_order(df: DataFrame) -> DataFrame:
+    """``row_id`` from the place of each row: file by path, split by offset, position in the split.
+
+    The scan is written once, so that places can't change between uses. The
+    table of splits is as long as the scan has tasks, which bounds its broadcast.
+    """
+    placed = materialize(df.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at")), "claims")
+    splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"))
+    splits = splits.withColumn("_nth", F.row_number().over(Window.orderBy("_file", "_start")).cast("bigint"))
+    row_id = F.shiftleft(F.col("_nth"), 33) + F.col("_at") - F.col("_first")
+    return (placed.join(F.broadcast(splits), ["_file", "_start"]).withColumn("row_id", row_id)
+            .drop("_file", "_start", "_at", "_first", "_nth"))
+
+
 def load_claims(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read claims into the fixed schema (CSV with header, or Parquet).
+    """Read claims (CSV with header, or Parquet) into the fixed schema, by column name.
 
-    CSV is read with every column as text so that bad numbers become null
-    instead of failing the scan; Parquet keeps its own types and is cast.
+    CSV is read as text under the file's own header, which every file of the
+    folder must share; bad numbers become null instead of failing the scan.
+    Without a ``row_id`` column the order of the rows in the files is taken.
     """
     if fmt == "csv":
-        text_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
-                                    for f in CLAIMS_SCHEMA.fields])
-        raw = spark.read.schema(text_schema).option("header", True).csv(path)
-        typed = raw.select(
-            *[
-                (F.col(f.name) if isinstance(f.dataType, (T.StringType, T.BooleanType))
-                 or f.name == "amount"
-                 else F.col(f.name).try_cast(f.dataType)).alias(f.name)
-                for f in CLAIMS_SCHEMA.fields
-            ]
-        )
-        return conform_claims(typed)
-    return conform_claims(spark.read.parquet(path))
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    else:
+        raw = spark.read.parquet(path)
+    _require(raw, REQUIRED)
+    return conform_claims(raw if "row_id" in raw.columns else with_file_order(raw))
 
 
 # ---------------------------------------------------------------------------

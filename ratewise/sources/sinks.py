@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_premiums(totals: DataFrame, path: str, fmt: str = "csv") -> None:
     """Sorted by (student, tier) with a header, as the reference's CSV.
 
     The sort is a range-partitioned distributed sort; the files come out in
-    key order part by part, no single task holds the table.
+    key order part by part, no single task holds the table. Null totals stop
+    the job before anything is written, as the reference's assertion does.
     """
+    if not totals.filter(F.col("total_renew").isNull() | F.col("total_new").isNull()).isEmpty():
+        raise ValueError("null student totals")
     out = totals.orderBy("student_id", "risk_tier")
     w = out.write.mode("overwrite")
     if fmt == "csv":

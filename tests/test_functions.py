@@ -47,3 +47,15 @@ def test_clean_category(spark):
     got = [tuple(r) for r in clean_category(df, ["a", "b"]).collect()]
     assert got == [("Unknown", "true"), ("Y", "Unknown")]
     assert not math.isnan(0.0)
+
+
+def test_nan_counts_as_null_in_strict_rules(spark):
+    from pyspark.sql import functions as F
+
+    from ratewise.functions.nulls import clamp_strict, greatest_strict, least_strict, mean_strict
+
+    df = spark.createDataFrame([(float("nan"), 1.0), (2.0, 3.0)], "a double, b double")
+    got = df.select(least_strict("a", "b"), greatest_strict("b", "a"), clamp_strict("a", 0.7, 1.5)).collect()
+    assert [tuple(x) for x in got] == [(None, None, None), (2.0, 3.0, 1.5)]
+    assert df.agg(mean_strict("a")).first()[0] is None and df.agg(mean_strict("b")).first()[0] == 2.0
+    assert df.select(F.lit(1)).count() == 2

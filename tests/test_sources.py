@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ratewise.sources import CLAIMS_SCHEMA, fixture_claims, load_claims, parse_amount_col, write_premiums
@@ -33,8 +35,8 @@ def test_load_claims_csv_fixed_schema(spark):
 
 def test_load_claims_parquet_numeric_holdout(spark):
     d = tempfile.mkdtemp(dir="/tmp")
-    src = spark.createDataFrame([(1, 5, 0, 10.0), (2, 5, 1, float("nan"))],
-                                "row_id long, student_id long, holdout int, amount double")
+    src = spark.createDataFrame([(1, 5, "A", "x", 0, 10.0), (2, 5, "A", "x", 1, float("nan"))],
+                                "row_id long, student_id long, coverage string, risk_tier string, holdout int, amount double")
     src.write.parquet(os.path.join(d, "p"))
     got = {r.row_id: r for r in load_claims(spark, os.path.join(d, "p")).collect()}
     assert got[1].holdout is False and got[2].holdout is True
@@ -56,3 +58,40 @@ def test_write_premiums_round_trip(spark):  # O02
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["student_id", "risk_tier", "total_renew", "total_new"]
     assert [(r.student_id, r.risk_tier) for r in back.collect()] == [("1", "A"), ("1", "B"), ("2", "B")]
+
+
+HEAD = "risk_tier,note,student_id,amount,coverage,holdout"
+
+
+def _csv(text):
+    path = os.path.join(tempfile.mkdtemp(dir="/tmp"), "claims.csv")
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_columns_by_name_text_ids_and_file_order(spark):
+    df = load_claims(spark, _csv(HEAD + "\nA,x,S1,5,Liability,0\nB,y,S2,7,Liability,1\nA,z,S1,9,Liability,0\n"), "csv")
+    got = [(r.student_id, r.risk_tier, r.amount, r.holdout) for r in df.orderBy("row_id").collect()]
+    assert got == [("S1", "A", 5.0, False), ("S2", "B", 7.0, True), ("S1", "A", 9.0, False)]
+    ids = load_claims(spark, _csv("row_id," + HEAD + "\n1,A,x,8,5,Liability,0\n"), "csv")
+    assert dict(ids.dtypes)["student_id"] == "bigint" and ids.first().student_id == 8
+
+
+@pytest.mark.parametrize("gone", ["student_id", "coverage", "risk_tier", "amount", "holdout"])
+def test_missing_required_column_raises(spark, gone):
+    cols = [c for c in HEAD.split(",") if c != gone]
+    with pytest.raises(ValueError, match=gone):
+        load_claims(spark, _csv(",".join(cols) + "\n" + ",".join("1" for _ in cols) + "\n"), "csv")
+
+
+def test_null_id_raises(spark):
+    df = load_claims(spark, _csv("row_id," + HEAD + "\n1,A,x,,5,Liability,0\n"), "csv")
+    with pytest.raises(Exception, match="no student_id"):
+        df.collect()
+
+
+def test_null_totals_are_not_written(spark):
+    totals = spark.createDataFrame([(2, "B", None, 4.0)], "student_id long, risk_tier string, total_renew double, total_new double")
+    with pytest.raises(ValueError):
+        write_premiums(totals, os.path.join(tempfile.mkdtemp(dir="/tmp"), "t"))

@@ -153,7 +153,8 @@ def price(claims: pd.DataFrame, v: C.Variant) -> dict:
             yf = d[yf_col].astype(float).to_numpy()
             fm = fit_part(fam, d, yf, v.factors, levels, yf.sum() < 20)
             p2 = d[ycap > 0]
-            sm = fit_part("gamma", p2, ycap[ycap > 0], v.factors, levels, len(p2) < 30)
+            seen = {f: sorted(p2[f].unique()) for f in v.factors}
+            sm = fit_part("gamma", p2, ycap[ycap > 0], v.factors, seen, len(p2) < 30)
             models[(cov, m)] = (fm, sm, uncap)
 
     def score(rows, mids):
