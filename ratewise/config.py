@@ -87,8 +87,6 @@ class Variant:
     k_folds: int = K_FOLDS
     fold_seed: int = FOLD_SEED
     cred_smooth: bool = USE_CRED_TIER_SMOOTH
-    # exact quantiles switch to the sketch-bracketed path above this many rows
-    quantile_direct_max: int = 1_000_000
 
     def with_factors(self, factors) -> "Variant":
         return replace(self, factors=tuple(factors), name=f"{self.name}_" + "_".join(factors))

@@ -39,7 +39,7 @@ def pred_cap_prob(c="coverage"):
 
 
 def prediction_cap(scored_train: DataFrame, min_n_mode: str, min_n: int = C.MIN_N_FOR_PRED_CAP,
-                   pred: str = "pred_loss_cal", direct_max: int = 1_000_000) -> DataFrame:
+                   pred: str = "pred_loss_cal") -> DataFrame:
     """Per coverage: n rows, p_cap, pred_cap.
 
     min_n_mode 'honoured': no cap (+inf) below ``min_n`` rows; 'ignored'
@@ -50,8 +50,7 @@ def prediction_cap(scored_train: DataFrame, min_n_mode: str, min_n: int = C.MIN_
     n = keep(scored_train.groupBy("coverage").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(v.isNotNull() & ~F.isnan(v)).alias("_n"),
         F.first(pred_cap_prob()).alias("_p")))
-    q = exact_quantile(scored_train, ["coverage"], pred, pred_cap_prob(), direct_max=direct_max,
-                       out="_q", group_stats=n).drop("n")
+    q = exact_quantile(scored_train, ["coverage"], pred, pred_cap_prob(), out="_q", group_stats=n).drop("n")
     n = n.drop("_n", "_p")
     out = n.join(q, on="coverage", how="left").withColumn("p_cap", pred_cap_prob())
     if min_n_mode == "honoured":

@@ -6,167 +6,70 @@ h = (n - 1) p. Spark's exact ``percentile`` aggregate keeps every distinct
 value of a group in one buffer, which does not scale when one coverage holds
 a third of the rows, and ``percentile_approx`` is not exact.
 
-Here the two order statistics are found by narrowing a value band:
-
-1. per group: n and the target ranks (one small aggregate);
-2. while a group's band holds more than ``direct_max`` values: a
-   ``percentile_approx`` sketch of the band (partial aggregation, bounded
-   memory) gives a narrower band that still contains both ranks, checked by
-   exact counts; each round shrinks the band by about ``grid / 4``;
-3. the band's distinct values with their counts are ranked by a window
-   whose partitions hold at most ``direct_max`` distinct values.
-
-Groups that hold at most ``direct_max`` values from the start skip 2-3 and
-use Spark's exact ``percentile`` aggregate (the same type-7 rule), whose
-buffer is then bounded by ``direct_max``; the group sizes come from step 1.
-
-The result is exact whatever the sketch's error: a narrowing that fails the
-count check is not taken.
+One path serves groups of every size:
+
+1. distinct values are counted (partial aggregate; a tie of any weight is one
+   row) and sorted into ranges of (keys, value), which are written once;
+2. the counts of each (group, range) and their prefix sums show which range
+   holds each of the two order statistics;
+3. only those ranges are ranked, each in a window partition of its own.
+
+A task holds one range at most, and nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewise.session import known_small
-
-GRID = 1000
-ACCURACY = 10_000
+from ratewise.session import materialize
 
 
 def _lit_prob(prob):
     return F.lit(float(prob)) if isinstance(prob, (int, float)) else prob
 
 
-def exact_quantile(df: DataFrame, keys, value, prob, direct_max: int = 1_000_000,
-                   grid: int = GRID, accuracy: int = ACCURACY, max_rounds: int = 8,
-                   out: str = "q", group_stats: DataFrame | None = None) -> DataFrame:
+def exact_quantile(df: DataFrame, keys, value, prob, out: str = "q",
+                   group_stats: DataFrame | None = None) -> DataFrame:
     """One row per group: keys, ``n`` (non-null values) and the quantile ``out``.
 
     ``prob`` is a number or a Column built from the key columns (constant
-    within a group). Nulls are skipped (``na.rm = TRUE``); no values → null.
-    ``group_stats`` (keys, ``_n`` non-null count, ``_p`` probability), when
-    the caller has it from an aggregate of its own, saves the counting pass.
+    within a group). Nulls are skipped (``na.rm = TRUE``); a group without
+    values has no row. ``group_stats`` (keys, ``_n`` non-null count, ``_p``
+    probability), when the caller has it from an aggregate of its own, saves
+    the counting pass.
     """
     keys = list(keys)
-    spark = df.sparkSession
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, v.cast("double").alias("_v"), _lit_prob(prob).cast("double").alias("_p"))
     base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
     if group_stats is None:
         stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_p").alias("_p"))
     else:
         stats = group_stats.filter(F.col("_n") > 0).select(*keys, "_n", "_p")
-    rows = [r.asDict() for r in stats.collect()]  # one small row per group
-    for r in rows:
-        h = (r["_n"] - 1) * r["_p"]
-        r.update(_h=h, _lo=int(math.floor(h)), _hi=int(math.ceil(h)), _L=-math.inf,
-                 _U=math.inf, _below=0, _band=r["_n"], _stuck=False)
-
-    key_schema = [f for f in stats.schema.fields if f.name in keys]
-    bschema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema)
-    bschema += (", _n bigint, _h double, _lo bigint, _hi bigint, _L double, _U double,"
-                " _below bigint, _band bigint, _p double")
-
-    def bounds_df(rs):
-        data = [tuple(r[k] for k in keys) + (r["_n"], r["_h"], r["_lo"], r["_hi"], r["_L"], r["_U"],
-                                              r["_below"], r["_band"], float(r["_p"])) for r in rs]
-        return known_small(spark.createDataFrame(data, bschema), len(data))
-
-    def band_rows(rs):
-        b = bounds_df(rs)
-        return base.join(b, on=keys, how="inner").filter(
-            (F.col("_v") >= F.col("_L")) & (F.col("_v") <= F.col("_U")))
-
-    fractions = [i / grid for i in range(grid + 1)]
-    for _ in range(max_rounds):
-        todo = [r for r in rows if r["_band"] > direct_max and not r["_stuck"]]
-        if not todo:
-            break
-        sk = band_rows(todo).groupBy(*keys).agg(
-            F.percentile_approx("_v", fractions, accuracy).alias("_s")).collect()
-        sketch = {tuple(s[k] for k in keys): s["_s"] for s in sk}
-        proposals = []
-        for r in todo:
-            s = sketch.get(tuple(r[k] for k in keys))
-            bn = r["_band"]
-            rl, rh = r["_lo"] - r["_below"], r["_hi"] - r["_below"]
-            slack = 2.0 / accuracy
-            ia = math.floor((rl / bn - slack) * grid) - 1
-            ib = math.ceil(((rh + 1) / bn + slack) * grid) + 1
-            new_l = r["_L"] if (s is None or ia <= 0) else float(s[ia])
-            new_u = r["_U"] if (s is None or ib >= grid) else float(s[ib])
-            proposals.append(dict(r, _newL=new_l, _newU=new_u))
-        # exact counts for the proposed band, inside the old band
-        pb = bounds_df(todo)
-        nb_rows = [tuple(p[k] for k in keys) + (p["_newL"], p["_newU"]) for p in proposals]
-        nb = spark.createDataFrame(
-            nb_rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema)
-            + ", _nL double, _nU double")
-        nb = known_small(nb, len(nb_rows))
-        cnt = (base.join(pb, on=keys).join(nb, on=keys)
-               .filter((F.col("_v") >= F.col("_L")) & (F.col("_v") <= F.col("_U")))
-               .groupBy(*keys)
-               .agg(F.count_if(F.col("_v") < F.col("_nL")).alias("_add"),
-                    F.count_if((F.col("_v") >= F.col("_nL")) & (F.col("_v") <= F.col("_nU")))
-                    .alias("_nb"))
-               .collect())
-        counts = {tuple(c[k] for k in keys): (c["_add"], c["_nb"]) for c in cnt}
-        by_key = {tuple(r[k] for k in keys): r for r in rows}
-        for p in proposals:
-            key = tuple(p[k] for k in keys)
-            add, nband = counts.get(key, (0, 0))
-            r = by_key[key]
-            below = r["_below"] + add
-            ok = below <= r["_lo"] and below + nband - 1 >= r["_hi"] and nband < r["_band"]
-            if ok:
-                r.update(_L=p["_newL"], _U=p["_newU"], _below=below, _band=nband)
-            else:
-                r["_stuck"] = True
-
-    direct = [r for r in rows if r["_band"] == r["_n"] and r["_n"] <= direct_max]
-    banded = [r for r in rows if not (r["_band"] == r["_n"] and r["_n"] <= direct_max)]
-    parts = []
-    if direct:
-        parts.append(_direct_percentile(base, keys, direct, bounds_df(direct), out))
-    if banded or not parts:
-        parts.append(_band_pick(base, keys, banded, bounds_df(banded), band_rows(banded), out))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
-
-
-def _direct_percentile(base: DataFrame, keys, rows, b: DataFrame, out: str) -> DataFrame:
-    """Exact ``percentile`` for groups known to hold at most ``direct_max`` values."""
-    probs = sorted({float(r["_p"]) for r in rows})
-    idx = F.lit(1)
-    for i, p in enumerate(probs, start=1):
-        idx = F.when(F.col("_p") == F.lit(p), F.lit(i)).otherwise(idx)
-    vals = base.join(b.select(*keys), on=keys).groupBy(*keys).agg(
-        F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"), F.first("_p").alias("_p"))
-    vals = vals.select(*keys, F.element_at("_qs", idx).alias(out))
-    return b.join(vals, on=keys, how="left").select(*keys, F.col("_n").alias("n"), out)
-
-
-def _band_pick(base: DataFrame, keys, rows, b: DataFrame, band: DataFrame, out: str) -> DataFrame:
-    """Rank the band's distinct values with a window and interpolate."""
-    cand = band.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    cand = cand.join(b, on=keys).withColumn("_start", F.col("_below") + F.col("_cum") - F.col("_c")) \
-        .withColumn("_end", F.col("_below") + F.col("_cum") - 1)
-    picked = cand.groupBy(*keys).agg(
-        F.max(F.when((F.col("_start") <= F.col("_lo")) & (F.col("_end") >= F.col("_lo")),
-                     F.col("_v"))).alias("_xlo"),
-        F.max(F.when((F.col("_start") <= F.col("_hi")) & (F.col("_end") >= F.col("_hi")),
-                     F.col("_v"))).alias("_xhi"),
-    )
-    return b.join(picked, on=keys, how="left").select(
+    stats = stats.withColumn("_h", (F.col("_n") - 1) * F.col("_p")).select(
+        *keys, "_n", "_h", F.floor("_h").alias("_lo"), F.ceil("_h").alias("_hi"))
+
+    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = counted.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
+    values = materialize(ranged.withColumn("_range", F.spark_partition_id()), "values")
+
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = values.groupBy(*keys, "_range").agg(F.sum("_c").alias("_s"))
+    sums = sums.withColumn("_below", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+
+    def holds(rank):
+        return (F.col("_below") <= F.col(rank)) & (F.col(rank) < F.col("_below") + F.col("_s"))
+
+    wanted = sums.join(stats, on=keys).filter(holds("_lo") | holds("_hi")).drop("_s")
+    upto = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.join(wanted, on=[*keys, "_range"]).withColumn("_end", F.col("_below") + F.sum("_c").over(upto))
+
+    def at(rank):
+        return F.max(F.when((F.col("_end") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_v")))
+
+    picked = ranked.groupBy(*keys, "_n", "_h", "_lo").agg(at("_lo").alias("_xlo"), at("_hi").alias("_xhi"))
+    return picked.select(
         *keys,
         F.col("_n").alias("n"),
         (F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))).alias(out),

@@ -32,7 +32,7 @@ def uncap_alpha(c="coverage"):
 
 
 def severity_params(folds: DataFrame, membership: DataFrame, y: str, pos_col: str,
-                    min_pos: int = C.MIN_POS_FOR_CAP, direct_max: int = 1_000_000) -> DataFrame:
+                    min_pos: int = C.MIN_POS_FOR_CAP) -> DataFrame:
     """(coverage, model_id): n, n_pos, capped, cap (+inf when not capped), uncap_adj.
 
     y        severity column (total_paid or avg_paid)
@@ -45,8 +45,7 @@ def severity_params(folds: DataFrame, membership: DataFrame, y: str, pos_col: st
         F.count_if(ispos & F.col(y).isNotNull() & ~F.isnan(y)).alias("_n"),
         F.first(sev_cap_prob()).alias("_p")))
     pos = rep.filter(ispos)
-    q = exact_quantile(pos, ["coverage", "model_id"], y, sev_cap_prob(), direct_max=direct_max,
-                       out="_q", group_stats=counts).drop("n")
+    q = exact_quantile(pos, ["coverage", "model_id"], y, sev_cap_prob(), out="_q", group_stats=counts).drop("n")
     counts = counts.drop("_n", "_p")
     caps = counts.join(q, on=["coverage", "model_id"], how="left").withColumn(
         "capped", F.col("n_pos") >= min_pos).withColumn(

@@ -131,10 +131,9 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
         shared[fkey] = materialize(assign_folds(train, v.k_folds, v.fold_seed), "folds")
     folds = shared[fkey]
     member = fold_membership(spark, v.k_folds)
-    pkey = ("params", fkey, v.sev_response, v.pos_column, v.quantile_direct_max)
+    pkey = ("params", fkey, v.sev_response, v.pos_column)
     if pkey not in shared:
-        shared[pkey] = keep(severity_params(folds, member, v.sev_response, v.pos_column,
-                                            direct_max=v.quantile_direct_max))
+        shared[pkey] = keep(severity_params(folds, member, v.sev_response, v.pos_column))
     params = shared[pkey]
     cells = keep(design_cells(folds, member, params, v.factors, v.freq_response,
                               v.sev_response, v.pos_column))
@@ -156,7 +155,7 @@ def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
     pred_train = cal.apply_calibration(oof.drop("oof_pred"), calib)
     pred_test = cal.apply_calibration(attach_score(test, table, v.factors, 0), calib)
 
-    caps = keep(cal.prediction_cap(pred_train, v.min_n_mode, direct_max=v.quantile_direct_max))
+    caps = keep(cal.prediction_cap(pred_train, v.min_n_mode))
     pred_train = cal.apply_prediction_cap(pred_train, caps)
     pred_test = cal.apply_prediction_cap(pred_test, caps)
     tmeans = keep(cal.tier_mean(pred_train))

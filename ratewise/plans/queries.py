@@ -516,6 +516,11 @@ _reg_1f("price_m2_onefactor", "m2_1f", "student_totals",
         "SELECT student_id, risk_tier, round(total_renew, 4) AS total_renew, round(total_new, 4) AS total_new "
         "FROM totals")
 
+_reg_1f("price_m3_onefactor", "m3_1f", "student_totals",
+        ["student_id", "risk_tier", ("total_renew", 4), ("total_new", 4)],
+        "SELECT student_id, risk_tier, round(total_renew, 4) AS total_renew, round(total_new, 4) AS total_new "
+        "FROM totals", "m3")
+
 
 @query("credibility_off", O.pipeline_sql("m2", "SELECT coverage, risk_tier, round(base_loss, 4) AS base_loss "
                                                "FROM base", smooth=False))
@@ -567,10 +572,12 @@ def q_dispersion(spark, sf):
     + O.pipeline_sql("m1", "SELECT 'm1_risk_tier' AS variant, coverage, round(ratio, 6) AS ratio FROM hold")
     + ") UNION ALL SELECT * FROM ("
     + O.pipeline_sql("m2", "SELECT 'm2_risk_tier' AS variant, coverage, round(ratio, 6) AS ratio FROM hold")
+    + ") UNION ALL SELECT * FROM ("
+    + O.pipeline_sql("m3", "SELECT 'm3_risk_tier' AS variant, coverage, round(ratio, 6) AS ratio FROM hold")
     + ")"))
 def q_compare_1f(spark, sf):
     out = None
-    for key in ("m1_1f", "m2_1f"):
+    for key in ("m1_1f", "m2_1f", "m3_1f"):
         rn = run(spark, sf, key)
         h = rn.holdout_check.select(F.lit(rn.variant.name).alias("variant"), "coverage", r("ratio", 6))
         out = h if out is None else out.unionByName(h)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratewise.config import M1, M2
+from ratewise.operators.calibrate import prediction_cap
 from ratewise.plans.pipeline import price
 
 SCHEMA = ("row_id long, student_id long, coverage string, risk_tier string, gpa double, greek string, "
@@ -144,17 +145,13 @@ def test_oof_sums_finite_and_cap_above_median(runs):
                 assert r.pred_cap >= med[r.coverage]
 
 
-def test_sketch_path_gives_same_caps(spark, runs):
-    """The band-narrowing quantile path (forced with a tiny bound) gives the same caps."""
-    from dataclasses import replace
-    claims = build(spark)
-    forced = price(claims, replace(M2, quantile_direct_max=5))
-    a = {(r.coverage, r.model_id): r.cap for r in runs["m2"].params.collect()}
-    b = {(r.coverage, r.model_id): r.cap for r in forced.params.collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k] == b[k] or abs(a[k] - b[k]) <= 1e-9 * abs(a[k])
-    pa = {r.coverage: r.pred_cap for r in runs["m2"].pred_caps.collect()}
-    pb = {r.coverage: r.pred_cap for r in forced.pred_caps.collect()}
-    for k in pa:
-        assert pa[k] == pb[k] or abs(pa[k] - pb[k]) <= 1e-9 * abs(pa[k])
+def test_prediction_cap_49_and_50_rows(spark):  # T1
+    """49 rows: no cap where the minimum is honoured, the quantile where it is ignored; 50 rows: the quantile."""
+    few, enough = [float(i) for i in range(49)], [float(i) for i in range(50)]
+    df = spark.createDataFrame([("Liability", x) for x in few] + [("Personal Property", x) for x in enough],
+                               "coverage string, pred_loss_cal double")
+    caps = {mode: as_dict(prediction_cap(df, mode), "coverage", "n", "pred_cap") for mode in ("honoured", "ignored")}
+    assert caps["honoured"]["Liability"] == (49, math.inf)
+    assert caps["ignored"]["Liability"] == (49, pytest.approx(np.quantile(few, 0.995)))
+    for mode in caps:
+        assert caps[mode]["Personal Property"] == (50, pytest.approx(np.quantile(enough, 0.97)))
