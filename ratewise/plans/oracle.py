@@ -6,6 +6,11 @@ whole pricing job can be restated in plain SQL: ``avg ... GROUP BY`` for the
 fits, ``quantile_cont`` for R's type-7 quantiles, ``nullif`` where R divides
 by zero, a strict mean for ``mean`` without ``na.rm``. The stages are one
 chain of CTEs; each query selects from the stage it checks.
+
+The full runs have several factors. Their main-effects fits come from sweeps
+over the factors on the cells of all levels (``fit_ctes``): a Poisson or gamma
+step scales a level's means until its score equation holds, a logit step is
+one Newton step of the level's effect.
 """
 
 from __future__ import annotations
@@ -84,8 +89,65 @@ FROM train"""),
     ]
 
 
-def variant_ctes(variant: str) -> list[tuple[str, str]]:
-    """One-factor (risk_tier) pricing stages for variant 'm1' or 'm2'."""
+#: Sweeps over all factors; the means move by less than 1e-13 long before the last.
+SWEEPS = 60
+
+
+def _cols(factors, alias: str) -> str:
+    return ", ".join(f"{alias}.{f}" for f in factors)
+
+
+def _same(factors, a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{f} = {b}.{f}" for f in factors)
+
+
+def aligned_test(factors) -> tuple[str, str]:
+    """Test rows whose coverage and factors are null where the training rows lack the value."""
+    aligned = ", ".join(f"CASE WHEN {c} IN (SELECT {c} FROM train) THEN {c} END AS {c}" for c in ("coverage", *factors))
+    return ("test", f"SELECT student_id, {aligned}, total_paid, claim_n, avg_paid, has_claim FROM prep WHERE holdout = true")
+
+
+def fit_ctes(variant: str, factors) -> list[tuple[str, str]]:
+    """``ftier`` and ``smu``: fitted means of every cell (coverage, model, factor levels).
+
+    A level that a model's rows lack has no score equation, and its cells no mean.
+    """
+    turn = "CASE it % {n} {whens} END".format(
+        n=len(factors), whens=" ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(factors)))
+    if variant == "m1":  # freq is the logit
+        p = "(1 / (1 + exp(-freq)))"
+        start = "CAST(0 AS DOUBLE)"
+        step = f"freq + sum(sy - n * {p}) OVER w / nullif(sum(n * {p} * (1 - {p})) OVER w, 0)"
+        mean = p
+    else:  # freq is the mean
+        start = "CAST(1 AS DOUBLE)"
+        step = "freq * coalesce(sum(sy) OVER w / nullif(sum(n * freq) OVER w, 0), CASE WHEN sum(n) OVER w > 0 THEN 1 END)"
+        mean = "freq"
+    f = ", ".join(factors)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in ("coverage", *factors))
+    return [
+        ("cellkeys", f"SELECT coverage, {f} FROM folds UNION SELECT coverage, {f} FROM test WHERE {known}"),
+        ("cellsums", f"""
+SELECT coverage, model_id, {f}, sum(yf) AS sy, count(*) AS n, count(*) FILTER (WHERE y_cap > 0) AS n2,
+  coalesce(sum(y_cap) FILTER (WHERE y_cap > 0), 0) AS sy2
+FROM mrows2 GROUP BY ALL"""),
+        ("fit", f"""
+SELECT 0 AS it, k.coverage, m.model_id, {_cols(factors, 'k')}, coalesce(c.sy, 0)::DOUBLE AS sy, coalesce(c.n, 0)::DOUBLE AS n,
+  coalesce(c.n2, 0)::DOUBLE AS n2, coalesce(c.sy2, 0)::DOUBLE AS sy2, {start} AS freq, CAST(1 AS DOUBLE) AS sev
+FROM cellkeys k CROSS JOIN (SELECT DISTINCT model_id FROM member) m
+LEFT JOIN cellsums c ON c.coverage = k.coverage AND c.model_id = m.model_id AND {_same(factors, 'c', 'k')}
+UNION ALL
+SELECT it + 1, coverage, model_id, {f}, sy, n, n2, sy2, {step},
+  sev * (sum(sy2 / sev) OVER w / nullif(sum(n2) OVER w, 0))
+FROM fit WHERE it < {SWEEPS * len(factors)}
+WINDOW w AS (PARTITION BY coverage, model_id, {turn})"""),
+        ("ftier", f"SELECT coverage, model_id, {f}, {mean} AS mu FROM fit WHERE it = {SWEEPS * len(factors)}"),
+        ("smu", f"SELECT coverage, model_id, {f}, sev AS mu FROM fit WHERE it = {SWEEPS * len(factors)}"),
+    ]
+
+
+def variant_ctes(variant: str, factors=("risk_tier",)) -> list[tuple[str, str]]:
+    """Pricing stages for a variant; with risk_tier alone the fits are plain group means."""
     if variant == "m1":
         y, pos, yf = "total_paid", "total_paid > 0", "CAST(has_claim AS DOUBLE)"
     else:
@@ -103,11 +165,18 @@ SELECT r.*,
    * (CASE WHEN ss.n2 < 30 THEN ss.mean2 ELSE sm.mu END) * u.uncap_adj AS pure
 FROM {src} r
 LEFT JOIN fstat fs ON fs.coverage = r.coverage AND fs.model_id = {mid}
-LEFT JOIN ftier fm ON fm.coverage = r.coverage AND fm.model_id = {mid} AND fm.risk_tier = r.risk_tier
+LEFT JOIN ftier fm ON fm.coverage = r.coverage AND fm.model_id = {mid} AND {_same(factors, 'fm', 'r')}
 LEFT JOIN sstat ss ON ss.coverage = r.coverage AND ss.model_id = {mid}
-LEFT JOIN smu sm ON sm.coverage = r.coverage AND sm.model_id = {mid} AND sm.risk_tier = r.risk_tier
+LEFT JOIN smu sm ON sm.coverage = r.coverage AND sm.model_id = {mid} AND {_same(factors, 'sm', 'r')}
 LEFT JOIN uncap u ON u.coverage = r.coverage AND u.model_id = {mid}"""
 
+    one = [
+        ("ftier", "SELECT coverage, model_id, risk_tier, avg(yf) AS mu FROM mrows GROUP BY 1, 2, 3"),
+        ("stier", """
+SELECT coverage, model_id, risk_tier, avg(y_cap) AS mu FROM mrows2 WHERE y_cap > 0 GROUP BY 1, 2, 3"""),
+        # a level without claimants is unseen by the severity fit: it has no mean
+        ("smu", "SELECT coverage, model_id, risk_tier, mu FROM stier"),
+    ]
     return [
         ("mrows", f"""
 SELECT f.*, m.model_id, {y} AS y, {pos} AS pos, {yf} AS yf
@@ -131,13 +200,9 @@ FROM sevcap s LEFT JOIN (
   SELECT coverage, model_id, avg(y) AS m, avg(least(y, cap)) AS mc FROM mrows2 WHERE pos GROUP BY 1, 2
 ) a ON a.coverage = s.coverage AND a.model_id = s.model_id"""),
         ("fstat", "SELECT coverage, model_id, sum(yf) AS sy, count(*) AS n FROM mrows GROUP BY 1, 2"),
-        ("ftier", "SELECT coverage, model_id, risk_tier, avg(yf) AS mu FROM mrows GROUP BY 1, 2, 3"),
         ("sstat", """
 SELECT coverage, model_id, count(*) AS n2, avg(y_cap) AS mean2 FROM mrows2 WHERE y_cap > 0 GROUP BY 1, 2"""),
-        ("stier", """
-SELECT coverage, model_id, risk_tier, avg(y_cap) AS mu FROM mrows2 WHERE y_cap > 0 GROUP BY 1, 2, 3"""),
-        # a level without claimants is unseen by the severity fit: it has no mean
-        ("smu", "SELECT coverage, model_id, risk_tier, mu FROM stier"),
+        *(one if len(factors) == 1 else fit_ctes(variant, factors)),
         ("oof", score("folds", "r.fold")),
         ("cal0", """
 SELECT coverage, count(*) FILTER (WHERE total_paid > 0) AS n_claim,
@@ -242,7 +307,7 @@ FROM totals GROUP BY 1"""),
 
 def with_ctes(ctes: list[tuple[str, str]], select: str) -> str:
     body = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes)
-    return f"WITH {body}\n{select}"
+    return f"WITH RECURSIVE {body}\n{select}"
 
 
 def pipeline_sql(variant: str, select: str, smooth: bool = True) -> str:
@@ -254,5 +319,12 @@ def pipeline_sql(variant: str, select: str, smooth: bool = True) -> str:
     return with_ctes(ctes, select)
 
 
+def full_sql(variant: str, factors, select: str) -> str:
+    """The whole run with all of a variant's factors."""
+    ctes = [c for c in base_ctes() if c[0] != "test"]
+    ctes.insert([n for n, _ in ctes].index("folds"), aligned_test(factors))
+    return with_ctes(ctes + variant_ctes(variant, factors), select)
+
+
 def base_sql(select: str) -> str:
     return with_ctes(base_ctes(), select)

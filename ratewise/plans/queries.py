@@ -593,9 +593,9 @@ def _totals(key):
     return fn
 
 
-QUERIES["price_m1"] = _totals("m1")
-QUERIES["price_m2"] = _totals("m2")
-QUERIES["price_m3"] = _totals("m3")
+for _key in C.VARIANTS:
+    query(f"price_{_key}", O.full_sql(_key, C.VARIANTS[_key].factors, (
+        "SELECT student_id, risk_tier, round(total_renew, 4) AS total_renew, round(total_new, 4) AS total_new FROM totals")))(_totals(_key))
 
 
 @query("write_premiums")
@@ -610,7 +610,10 @@ def q_write_premiums(spark, sf):
 SQL["write_premiums"] = SQL["student_totals"]
 
 
-@query("compare_variants")
+@query("compare_variants", " UNION ALL ".join(
+    "SELECT * FROM (" + O.full_sql(k, v.factors, (
+        f"SELECT '{k}' AS variant, coverage, round(actual, 6) AS actual, round(pred_c, 4) AS pred_c, round(ratio, 6) AS ratio FROM hold")) + ")"
+    for k, v in C.VARIANTS.items()))
 def q_compare(spark, sf):
     out = None
     for key in ("m1", "m2", "m3"):
