@@ -42,6 +42,8 @@ class Params:
     batch: int = 64
     rate: float = 0.05
     seed: int = 7
+    #: Folds of the sample: each row's logit for the thresholds comes from a network fitted on the other folds.
+    folds: int = 3
     #: Least rows of each class for a language to have a threshold of its own.
     least: int = 20
     #: What rejecting a share of clean rows costs against missing the same share of toxic ones.
@@ -252,7 +254,7 @@ def in_fold(id_col: str, folds: int = 5):
 
 
 def train(rows: list[tuple[str, int]], p: Params = Params()) -> Network:
-    """Fit on four fifths of the sample and set the thresholds on the other fifth."""
+    """Fit on the sample, and set the thresholds on logits of networks that didn't read the row (one per fold)."""
     import numpy as np
 
     sets = {k: [w.encode() for w in v] for k, v in FUNCTION_WORDS.items()}
@@ -262,10 +264,15 @@ def train(rows: list[tuple[str, int]], p: Params = Params()) -> Network:
         words = tokens(text)
         langs.append(guess(words, sets))
         texts.append(net.hashed(words))
-    apart = np.arange(len(rows)) % 5 == 0
-    net.fit([t for t, a in zip(texts, apart) if not a], y[~apart])
-    held = [i for i in range(len(rows)) if apart[i]]
-    net.calibrate(net.logits([texts[i] for i in held]), y[held], [langs[i] for i in held])
+    fold, logits = np.arange(len(rows)) % p.folds, np.zeros(len(rows))
+    for f in range(p.folds):
+        apart = np.flatnonzero(fold == f)
+        if len(apart):
+            other, rest = Network(p), np.flatnonzero(fold != f)
+            other.fit([texts[i] for i in rest], y[rest])
+            logits[apart] = other.logits([texts[i] for i in apart])
+    net.fit(texts, y)
+    net.calibrate(logits, y, langs)
     return net
 
 
