@@ -674,6 +674,18 @@ def q_pcap_cells(spark, sf):
     return _cells_chain(spark, sf)["caps"].select("coverage", "n", "p_cap", r("pred_cap", 4))
 
 
+@query("prediction_cap_small_n", _cells_sql("""
+SELECT coverage, n, round(CASE WHEN n < ceil(avg(n) OVER ()) THEN CAST('inf' AS DOUBLE) ELSE q END, 4) AS honoured, round(q, 4) AS ignored
+FROM pcap0"""))
+def q_pcap_small_n(spark, sf):
+    """Both modes with the minimum at the mean row count, so that some coverages fall below it."""
+    chain = _cells_chain(spark, sf)
+    least = chain["caps"].agg(F.ceil(F.avg("n"))).first()[0] or 0
+    honoured = cal.prediction_cap(chain["final"], "honoured", least).select("coverage", "n", r("pred_cap", 4, "honoured"))
+    ignored = cal.prediction_cap(chain["final"], "ignored", least).select("coverage", r("pred_cap", 4, "ignored"))
+    return honoured.join(ignored, "coverage")
+
+
 @query("blend_cells", _cells_sql(
     "SELECT student_id, coverage, round(pred_loss_cap, 4) AS pred_loss_cap, "
     "round(pred_loss_final, 4) AS pred_loss_final FROM ptrain"))
