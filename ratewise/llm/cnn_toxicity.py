@@ -7,8 +7,8 @@ and a logistic layer reads the maxima. The network is trained in numpy on a
 bounded sample of labelled rows (``Params.positives`` and ``negatives``); the
 first filter of width 1 starts as the reader of each hash's smoothed log-odds,
 the rest at random. Thresholds are set for each language the text itself shows
-(by its commonest function words), and moved into the score so that 0.5 is
-every language's cut.
+(by its commonest function words) on the logits of every labelled row outside
+the held-out fold, and moved into the score so that 0.5 is every language's cut.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Function words by language, for the guess that picks a threshold.
 FUNCTION_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "was", "for", "with"),
@@ -31,7 +33,7 @@ FUNCTION_WORDS = {
 
 @dataclass(frozen=True)
 class Params:
-    #: Most labelled rows of each class that the fit and the thresholds read; the bound of the sample.
+    #: Most labelled rows of each class that the fit reads; the bound of the sample.
     positives: int = 2000
     negatives: int = 3000
     buckets: int = 1 << 16
@@ -42,12 +44,14 @@ class Params:
     batch: int = 64
     rate: float = 0.05
     seed: int = 7
-    #: Folds of the sample: each row's logit for the thresholds comes from a network fitted on the other folds.
+    #: Folds of the sample: its rows' logits for the thresholds come from networks fitted on the other folds.
     folds: int = 3
     #: Least rows of each class for a language to have a threshold of its own.
     least: int = 20
     #: What rejecting a share of clean rows costs against missing the same share of toxic ones.
     clean_weight: float = 3.0
+    #: Steps of the thresholds' histograms in one logit.
+    steps: int = 256
     #: Words that the forward pass holds at a time.
     piece: int = 20_000
 
@@ -73,7 +77,7 @@ class Network:
         import numpy as np
 
         r = np.random.default_rng(p.seed)
-        self.p, self.cut = p, {"": 0.0}
+        self.p = p
         self.embed = np.zeros((2, p.buckets + 1, p.half), np.float32)  # the last row is the padding
         self.embed[:, : p.buckets, 1:] = r.normal(0, 0.01, (2, p.buckets, p.half - 1))
         d = 2 * p.half
@@ -197,55 +201,27 @@ class Network:
                     step(f"embed{side}", self.embed[side], total[live], rows_[live])
         self.training = False
 
-    def calibrate(self, logits, labels, langs):
-        """A cut for each language with enough rows of both classes, and one ("") for the others.
-
-        The cut is the middle of the best gap: the logit of least cost, where a
-        raised clean share weighs ``clean_weight`` times a missed share.
-        """
-        import numpy as np
-
-        z, y, langs = np.asarray(logits, float), np.asarray(labels), np.asarray(langs, object)
-
-        def cut(z, y):
-            if not len(y) or y.min() == y.max():
-                return 0.0
-            order = np.argsort(z, kind="stable")
-            z, y = z[order], y[order]
-            missed = np.concatenate([[0], np.cumsum(y)]) / y.sum()
-            raised = np.concatenate([[0], np.cumsum(1 - y)]) / (len(y) - y.sum())
-            cost = missed + self.p.clean_weight * (1 - raised)
-            at = np.flatnonzero(cost <= cost.min() + 1e-12)
-            k = int(at[len(at) // 2])
-            low, high = (z[k - 1] if k else z[0] - 1), (z[k] if k < len(z) else z[-1] + 1)
-            return float((low + high) / 2)
-
-        self.cut = {"": cut(z, y)}
-        for lang in sorted(set(langs) - {""}):
-            own = langs == lang
-            if min(y[own].sum(), (1 - y[own]).sum()) >= self.p.least:
-                self.cut[lang] = cut(z[own], y[own])
-
-    def score(self, texts, langs):
-        import numpy as np
 
-        z = self.logits(texts) - np.array([self.cut.get(x, self.cut[""]) for x in langs])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def sample(docs: DataFrame, labels: DataFrame, p: Params, held_out) -> list[tuple[str, int]]:
-    """The bounded labelled sample: per class the rows first by a hash of their id, outside the held-out fold."""
-    one = (
+def taught(labels: DataFrame, held_out) -> DataFrame:
+    """(_lid, toxic): the label of each id outside the held-out fold, of several the highest."""
+    return (
         labels.select(F.col("doc_id").alias("_lid"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("_lid").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("_lid"))
         .groupBy("_lid").agg(F.max("toxic").alias("toxic"))
-        .join(docs.select(F.col("doc_id").alias("_lid")).distinct(), "_lid", "left_semi")
-        .withColumn("_h", F.md5(F.col("_lid").cast("string").cast("binary")))
     )
+
+
+def hashed_id(id_col: str):
+    return F.md5(F.col(id_col).cast("string").cast("binary"))
+
+
+def sample(docs: DataFrame, known: DataFrame, p: Params) -> list[tuple[str, str, int]]:
+    """The bounded labelled sample (hash of the id, text, label): per class the rows first by the hash."""
+    one = known.join(docs.select(F.col("doc_id").alias("_lid")).distinct(), "_lid", "left_semi").withColumn("_h", hashed_id("_lid"))
     chosen = one.where("toxic = 1").orderBy("_h").limit(p.positives).unionByName(one.where("toxic = 0").orderBy("_h").limit(p.negatives))
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_lid"))
     rows = got.groupBy("_h").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["_h"])]
+    return [(r["_h"], r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["_h"])]
 
 
 def in_fold(id_col: str, folds: int = 5):
@@ -253,49 +229,101 @@ def in_fold(id_col: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(rows: list[tuple[str, int]], p: Params = Params()) -> Network:
-    """Fit on the sample, and set the thresholds on logits of networks that didn't read the row (one per fold)."""
+def train(rows: list[tuple[str, str, int]], p: Params = Params()) -> tuple[list[Network], dict[str, int]]:
+    """The network fitted on the sample and, before it, one without each fold; and the fold of each hashed id."""
     import numpy as np
 
-    sets = {k: [w.encode() for w in v] for k, v in FUNCTION_WORDS.items()}
-    y = np.array([label for _, label in rows], int)
-    net, langs, texts = Network(p), [], []
-    for text, _ in rows:
-        words = tokens(text)
-        langs.append(guess(words, sets))
-        texts.append(net.hashed(words))
-    fold, logits = np.arange(len(rows)) % p.folds, np.zeros(len(rows))
-    for f in range(p.folds):
-        apart = np.flatnonzero(fold == f)
-        if len(apart):
-            other, rest = Network(p), np.flatnonzero(fold != f)
-            other.fit([texts[i] for i in rest], y[rest])
-            logits[apart] = other.logits([texts[i] for i in apart])
-    net.fit(texts, y)
-    net.calibrate(logits, y, langs)
-    return net
-
-
-def fit_model(rows: DataFrame, labels: DataFrame, params: Params, folds: int):
-    """Train, broadcast the weights (their size is a parameter), and give the scoring function of a text column."""
-    fitted = vars(train(sample(rows, labels, params, lambda c: in_fold(c, folds)), params))
-    weights = rows.sparkSession.sparkContext.broadcast({k: v for k, v in fitted.items() if k != "p"})
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    y = np.array([label for _, _, label in rows], int)
+    nets = [Network(p) for _ in range(p.folds + 1)]
+    texts = [nets[-1].hashed(tokens(text)) for _, text, _ in rows]
+    fold = np.arange(len(rows)) % p.folds
+    for f, net in enumerate(nets):
+        rest = np.flatnonzero(fold != f)
+        net.fit([texts[i] for i in rest], y[rest])
+    return nets, {h: int(f) for (h, _, _), f in zip(rows, fold)}
+
+
+def reader(spark, nets: list[Network], fold: dict[str, int], params: Params):
+    """A function of (text, hashed id): language, logit, and the logit of a network that didn't read the id's texts."""
+    weights = spark.sparkContext.broadcast(([{k: v for k, v in vars(net).items() if k != "p"} for net in nets], fold))
+
+    @F.pandas_udf("lang string, logit double, apart double")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        model = Network.__new__(Network)
-        vars(model).update(weights.value, p=params)
+        states, fold = weights.value
+        models = [Network.__new__(Network) for _ in states]
+        for model, state in zip(models, states):
+            vars(model).update(state, p=params)
         sets = {k: [w.encode() for w in v] for k, v in FUNCTION_WORDS.items()}
-        for batch in batches:
-            scores = [np.zeros(0)]
-            for at in range(0, len(batch), 64):
-                words = [tokens(text) for text in batch.iloc[at:at + 64]]
-                scores.append(model.score([model.hashed(w) for w in words], [guess(w, sets) for w in words]))
-            yield pd.Series(np.concatenate(scores))
+        for texts, ids in batches:
+            langs, logits, aparts = [], [np.zeros(0)], [np.zeros(0)]
+            for at in range(0, len(texts), 64):
+                words = [tokens(text) for text in texts.iloc[at:at + 64]]
+                hashes = [models[-1].hashed(w) for w in words]
+                langs += [guess(w, sets) for w in words]
+                logits.append(models[-1].logits(hashes))
+                aparts.append(logits[-1].copy())
+                for k, h in enumerate(ids.iloc[at:at + 64]):
+                    if h in fold:
+                        aparts[-1][k] = models[fold[h]].logits([hashes[k]])[0]
+            yield pd.DataFrame({"lang": langs, "logit": np.concatenate(logits), "apart": np.concatenate(aparts)})
+
+    return read
+
+
+def thresholds(bins: list, p: Params) -> dict[str, float]:
+    """A cut for each language with enough rows of both classes, and one ("") for the others.
+
+    bins: (lang, bin, clean, toxic, low, high) with the counts, the least and the
+    highest logit of each step. The cut is the middle of the best gap between
+    steps: the logit of least cost, where a raised clean share weighs
+    ``clean_weight`` times a missed share.
+    """
+    import numpy as np
 
-    return score
+    def cut(rows):
+        merged = {}
+        for _, k, clean, toxic, low, high in rows:
+            c, t, a, b = merged.get(k, (0, 0, low, high))
+            merged[k] = c + clean, t + toxic, min(a, low), max(b, high)
+        clean, toxic, low, high = (np.array(x) for x in zip(*(merged[k] for k in sorted(merged)))) if merged else [np.zeros(0)] * 4
+        if not clean.sum() or not toxic.sum():
+            return 0.0
+        missed = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum()
+        raised = np.concatenate([[0], np.cumsum(clean)]) / clean.sum()
+        cost = missed + p.clean_weight * (1 - raised)
+        at = np.flatnonzero(cost <= cost.min() + 1e-12)
+        k = int(at[len(at) // 2])
+        return float(((high[k - 1] if k else low[0] - 1) + (low[k] if k < len(low) else high[-1] + 1)) / 2)
+
+    cuts = {"": cut(bins)}
+    for lang in sorted({b[0] for b in bins} - {""}):
+        own = [b for b in bins if b[0] == lang]
+        if min(sum(b[2] for b in own), sum(b[3] for b in own)) >= p.least:
+            cuts[lang] = cut(own)
+    return cuts
+
+
+def scores(rows: DataFrame, labels: DataFrame, p: Params, folds: int) -> DataFrame:
+    """``rows`` (doc_id, text and others) without the text, with the column score.
+
+    Every row goes through the network once; its logit is written, and those of
+    all labelled rows outside the held-out fold are counted in steps for the cuts.
+    """
+    known = taught(labels, lambda c: in_fold(c, folds))
+    read = reader(rows.sparkSession, *train(sample(rows, known, p), p), p)
+    kept = [c for c in rows.columns if c != "text"]
+    done = materialize(rows.select(*kept, read("text", hashed_id("doc_id")).alias("_r")), "logits")
+    step = F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("apart"))) * p.steps).alias("step")
+    logits = done.where("doc_id is not null").select(F.col("doc_id").alias("_id"), "_r.lang", "_r.apart").join(known, F.col("_id") == F.col("_lid"))
+    counts = logits.groupBy("lang", step).agg(F.sum(1 - F.col("toxic")), F.sum("toxic"), F.min("apart"), F.max("apart"))
+    cuts = thresholds([tuple(r) for r in counts.collect()], p)
+    cut = F.lit(cuts[""])
+    for lang in sorted(set(cuts) - {""}):
+        cut = F.when(F.col("_r.lang") == lang, cuts[lang]).otherwise(cut)
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_r.logit") - cut))
+    return done.select(*kept, (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
@@ -309,13 +337,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_c
     pieces that overlap by the widest filter. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    score = fit_model(rows, labels, params, folds)
-    scored = rows.select("doc_id", score("text").alias("score"))
+    scored = scores(rows, labels, params, folds)
     return scored.select("doc_id", in_fold("doc_id", folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under 0.5."""
-    model = fit_model(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), labels, params, folds)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    return rows.where(model("_text") < 0.5).select("_row.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("_row"))
+    return scores(rows, labels, params, folds).where("score < 0.5").select("_row.*")

@@ -161,3 +161,29 @@ def test_toxicity_learns_words_and_leaves_clean_rows(spark):
     nothing = cnn_toxicity.toxicity(d, lab.where("false")).collect()
     assert {g.score for g in nothing} == {0.5}
     assert cnn_toxicity.toxicity(d.where("false"), lab).count() == 0
+
+
+def test_toxicity_cuts_cover_all_labels(spark):
+    """Each language's cut is of least cost over all its labels, though the sample holds few of them."""
+    r = random.Random(8)
+    plain = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    signs = [(f"sign{k}", 0.02 + 0.04 * k, 0.3 - 0.03 * k) for k in range(8)]  # word, share of clean and of toxic rows
+    rows, labels = [], []
+    for i in range(2500):
+        french, toxic = i % 8 == 0, r.random() < 0.4
+        words = [r.choice(plain) for _ in range(12)] + (["le", "la", "les"] if french else ["the", "of", "and"])
+        words += [w for w, clean, bad in signs if r.random() < (bad if toxic else clean * (2 if french else 1))]
+        rows.append((i, " ".join(r.sample(words, len(words)))))
+        labels.append((i, int(toxic)))
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    got = [(g.doc_id, g.score) for g in cnn_toxicity.toxicity(d, lab, cnn_toxicity.Params(positives=40, negatives=60)).collect() if not g.held_out]
+
+    def cost(own, cut):
+        missed = sum(s < cut for i, s in own if truth[i]) / sum(truth[i] for i, _ in own)
+        return missed + 3 * sum(s >= cut for i, s in own if not truth[i]) / sum(not truth[i] for i, _ in own)
+
+    for french in (False, True):
+        own = [(i, s) for i, s in got if (i % 8 == 0) == french]
+        best = min(cost(own, c) for c in [2, *(s for _, s in own)])
+        assert cost(own, 0.5) <= best + 0.03, (french, cost(own, 0.5), best)
