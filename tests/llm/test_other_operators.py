@@ -124,3 +124,23 @@ def test_license_cosine_and_inheritance(spark):
         (None, None, None), ("Apache-2.0", "header", None), (None, None, None), (None, None, None), ("MIT", "inherited", "a"), (None, None, None)]
     assert all(math.isfinite(g.score) for g in got)
     assert license_tfidf.scan(spark.createDataFrame([], "id long, path string, text string")).count() == 0
+
+
+def test_surrogates_cover_whole_entities(spark):
+    r = random.Random(6)
+    token = "".join(r.choice("abcdefXYZ0189._-") for _ in range(299)) + "Q"
+    name, mail = "Ab" + "cde" * 15, "x" * 90 + "@a.b.c.d.e.f.g.example.org"
+    whole = "6304000000000000000"
+    long_card = next(whole[:-1] + d for d in "0123456789" if pii_surrogates.luhn(whole[:-1] + d))
+    texts = [f"token = {token} end", "Señor Juan Carlos García López llegó. Señor López salió.", f"card {long_card}, {long_card[:4]} {long_card[4:8]} {long_card[8:12]} {long_card[12:16]} {long_card[16:]} end",
+             "card 4111 1111 1111 1111 12/25 or 4111 1111 1111 1111 123 456 7890", f"Mr {name} and {mail} end", "x" * 200_000 + " token=" + "y" * 200_000 + " " + "Aa " * 50_000]
+    got = {g.doc_id: g.text for g in pii_surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").collect()}
+    assert re.fullmatch(r"token = [\w.-]{300} end", got[0]) and token[128:] not in got[0] and token[-40:] not in got[0]
+    names = re.fullmatch(r"Señor (\w+o) (\w+o) (\w+o) (\w+) llegó\. Señor (\w+) salió\.", got[1])
+    assert names and names[4] == names[5] and not {"Juan", "Carlos", "García", "López"} & set(names.groups())
+    plain, dealt = re.fullmatch(r"card (\d{19}), (\d{4} \d{4} \d{4} \d{4} \d{3}) end", got[2]).groups()
+    assert plain == dealt.replace(" ", "") != long_card and pii_surrogates.luhn(plain)
+    short = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) 12/25 or (\d{4} \d{4} \d{4} \d{4}) (\d{3} \d{3} \d{4})", got[3])
+    assert short and short[1] == short[2] != "4111 1111 1111 1111" and short[3] != "123 456 7890"
+    assert re.fullmatch(r"Mr \w+ and \w{90}@(?:\w\.){7}\w{7}\.org end", got[4]) and "cdecde" not in got[4] and "xxxx" not in got[4]
+    assert "yyyyy" not in got[5]
