@@ -1,9 +1,10 @@
-"""License scan: TF-IDF cosine of lines and licence files to templates, then inheritance from the nearest directory.
+"""License scan: TF-IDF cosine of lines, sentences, windows and licence files to templates, then inheritance from the nearest directory.
 
 Document frequencies of the templates' words are counted over all files. A
-file's lines (its headers among them) and, for files named as licences, its
-whole text are compared with the templates as sparse TF-IDF vectors; words
-outside the templates weigh as words that no other file has. A file without a
+file's lines, its sentences, its windows as long as a template (so headers may
+be wrapped) and, for files named as licences, its whole text are compared with
+the templates as sparse TF-IDF vectors; words outside the templates weigh as
+words that no other file has. A file without a
 licence of its own takes that of the nearest directory above it that holds a
 licence file: directories are joined with their ancestors by path.
 """
@@ -36,6 +37,11 @@ TEMPLATES = {
 #: Names of licence files, without extension.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 WORDS = re.compile(r"\d+(?:\.\d+)+|\w+")
+#: Words that mark a comment line; other marks aren't words.
+COMMENT = re.compile(r"\W*(?:rem|dnl|c)(?=\s)", re.I)
+SENTENCE_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
+#: Templates of so many words are looked for from every word on, shorter ones in whole lines and sentences.
+LONG = 20
 
 
 def words(line: str) -> list[str]:
@@ -74,20 +80,22 @@ class Matcher:
         from collections import Counter
 
         self.idf, self.unseen, self.post = idf, unseen, {}
-        self.names = []
+        self.names, self.sizes, self.gains = [], [], []
         for name in sorted(TEMPLATES):
             for notice in TEMPLATES[name]:
                 tf = Counter(words(notice))
                 norm = math.sqrt(sum((c * idf[w]) ** 2 for w, c in tf.items()))
                 for w, c in tf.items():
                     self.post.setdefault(w, []).append((len(self.names), c * idf[w] / norm))
+                self.gains.append({w: c * idf[w] / norm for w, c in tf.items()})
+                self.sizes.append(sum(tf.values()))
                 self.names.append(name)
         self.least = min(sum(1 for w in self.post if any(t == k for t, _ in self.post[w])) for k in range(len(self.names)))
 
-    def best(self, text: str) -> tuple[str | None, float]:
+    def best(self, found: list[str]) -> tuple[str | None, float]:
         from collections import Counter
 
-        tf = Counter(words(text))
+        tf = Counter(found)
         shared = [w for w in tf if w in self.post]
         if len(shared) < 2:
             return None, 0.0
@@ -100,13 +108,60 @@ class Matcher:
         k = max(range(len(dots)), key=lambda t: (dots[t], -t))
         return self.names[k], dots[k] / norm
 
+    def windows(self, lines: list[str], found: list[list[str]], least: float) -> tuple[str | None, float]:
+        """The best window of at least ``least``: sentences, adjacent lines and sentences about as long as a template,
+        and, for long templates, any as many words. found: the words of each line.
+
+        No cosine is over the length of the template's part whose words the
+        text has, nor over the dot product by the window's length if no word
+        repeated; only windows that these bounds allow are compared.
+        """
+        import numpy as np
+
+        shared = {w for line in found for w in line if w in self.post}
+        likely = [k for k, g in enumerate(self.gains) if sum(x * x for w, x in g.items() if w in shared) >= least * least - 1e-9]
+        if not likely:
+            return None, 0.0
+        flow, units, sentences = [], [0], [0]
+        for line, own in zip(lines, found):
+            if not own:  # a paragraph ends
+                sentences.append(len(flow))
+                continue
+            mark = COMMENT.match(line)
+            pieces = SENTENCE_END.split(line[mark.end():] if mark else line)
+            for i, piece in enumerate(pieces):
+                flow += words(piece)
+                units.append(len(flow))
+                if i + 1 < len(pieces) or piece.rstrip("\"')]*/ \t-").endswith((".", "!", "?")):
+                    sentences.append(len(flow))
+        units, sentences, n = np.unique(units), np.unique([*sentences, len(flow)]), len(flow)
+        length = np.concatenate([[0], np.cumsum([self.idf.get(w, self.unseen) ** 2 for w in flow])])
+        chosen = set()
+        for k in likely:
+            size = self.sizes[k]
+            dot = np.concatenate([[0], np.cumsum([self.gains[k].get(w, 0.0) * self.idf.get(w, 0.0) for w in flow])])
+            over = np.minimum(np.searchsorted(units, units[:-1] + size), len(units) - 1)
+            under = np.maximum(np.searchsorted(units, units[:-1] + size, side="right") - 1, np.arange(1, len(units)))
+            pairs = [(units[:-1], units[1:]), (sentences[:-1], sentences[1:]), (units[:-1], units[over]), (units[:-1], units[under])]
+            if size >= LONG and n >= size:
+                pairs.append((np.arange(n - size + 1), np.arange(size, n + 1)))
+            for a, b in pairs:
+                can = (b > a) & (dot[b] - dot[a] >= (least - 1e-9) * np.sqrt(np.maximum(length[b] - length[a], 0)) - 1e-9)
+                chosen.update(zip(a[can].tolist(), b[can].tolist()))
+        top = (None, 0.0)
+        for a, b in sorted(chosen):
+            now = self.best(flow[a:b])
+            top = now if now[1] > top[1] + 1e-12 else top
+        return top if top[1] >= least else (None, 0.0)
+
 
 def declared(files: DataFrame, header_least: float = 0.8, file_least: float = 0.5) -> DataFrame:
     """(id, path, licence_file, license, score) by each file's own text; no licence: null and the best cosine.
 
-    A header needs a cosine of ``header_least`` in one of its sentences or
-    lines; a licence file's whole text needs ``file_least``. Equal cosines go to
-    the licence first by name.
+    A header needs a cosine of ``header_least`` in one of its lines, sentences
+    or windows of adjacent words as long as a template; a licence file's whole
+    text needs ``file_least``. Below that the score is the best line's. Equal
+    cosines go to the licence first by name.
     """
     idf, unseen = idf_weights(files)
 
@@ -120,12 +175,16 @@ def declared(files: DataFrame, header_least: float = 0.8, file_least: float = 0.
                 text = text or ""
                 own = bool(named((path or "").rpartition("/")[2]))
                 top = (None, 0.0)
-                for line in text.splitlines():
+                lines = text.splitlines()
+                split = [words(line) for line in lines]
+                for line in split:
                     found = match.best(line)
                     top = found if found[1] > top[1] else top
+                found = match.windows(lines, split, header_least)
+                top = found if found[1] > top[1] + 1e-12 else top
                 ok = top[1] >= header_least
                 if own and not ok:
-                    whole = match.best(text)
+                    whole = match.best([w for line in split for w in line])
                     top = whole if whole[1] > top[1] else top
                     ok = top[1] >= file_least
                 out.append((own, top[0] if ok else None, top[1]))

@@ -144,3 +144,23 @@ def test_surrogates_cover_whole_entities(spark):
     assert short and short[1] == short[2] != "4111 1111 1111 1111" and short[3] != "123 456 7890"
     assert re.fullmatch(r"Mr \w+ and \w{90}@(?:\w\.){7}\w{7}\.org end", got[4]) and "cdecde" not in got[4] and "xxxx" not in got[4]
     assert "yyyyy" not in got[5]
+
+
+def test_license_headers_wrapped_and_inside_lines(spark):
+    import textwrap
+
+    full = {k: max(v, key=len) for k, v in license_tfidf.TEMPLATES.items()}
+    wrap = lambda t, mark, n=70: "\n".join(f"{mark} {x}".rstrip() for x in textwrap.wrap(t, n))
+    mit = full["MIT"] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+    bsd = full["BSD-3-Clause"] + ":\n 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    gpl = full["GPL-3.0"] + " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."
+    code = "\nimport os\nprint(os.getcwd())\n"
+    files = [("MIT", "# Copyright (c) 2020 Foo\n#\n" + wrap(mit, "#")), ("BSD-3-Clause", "/*\n" + wrap(bsd, " *", 60) + "\n */"), ("GPL-3.0", wrap(gpl, "dnl", 50)),
+             ("Apache-2.0", f"# Copyright 2024 The Foo Authors. All rights reserved. {full['Apache-2.0']}"), ("Apache-2.0", f"// Copyright 2024 The Foo Authors {full['Apache-2.0']}"),
+             ("MPL-2.0", wrap(f"{full['MPL-2.0']} If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "--", 40)),
+             ("CC-BY-4.0", f"Written by Jo Foo, Bar and Baz in 2019. {full['CC-BY-4.0']} Please cite us when you use it."), (None, "The software may be used by any person\nwithout restriction\nfree of charge"),
+             (None, "word copy of the software " * 4000)]
+    given = [(i, f"d{i}/x.py", text + code) for i, (_, text) in enumerate(files)] + [(100 + i, f"e/{i}", f"plain text number{i} of words and the rest to be in any form") for i in range(40)]
+    got = {g.id: g for g in license_tfidf.scan(spark.createDataFrame(given, "id long, path string, text string")).collect()}
+    assert [got[i].license for i in range(len(files))] == [k for k, _ in files]
+    assert all(got[i].how == "header" for i, (k, _) in enumerate(files) if k) and not any(got[100 + i].license for i in range(40))
