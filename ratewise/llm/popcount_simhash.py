@@ -3,7 +3,7 @@
 A 64-bit fingerprint becomes 32 counts of set bits, one per 2-bit segment. A
 flipped bit changes one count by one, so the Manhattan distance of two count
 vectors never exceeds the Hamming distance of the fingerprints. For at most k
-differing bits the segments are split into (k + 1) // 2 groups: in one of them
+differing bits the segments are split into k // 2 + 1 groups: in one of them
 the vectors are at most 1 apart. Each vector is therefore a grid cell per
 group, and two cells meet if they are equal or if one is the other with one
 count raised by one; that is an equi-join of the cells and their raised
@@ -81,7 +81,7 @@ def manhattan(a: Column, b: Column) -> Column:
 
 def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """(u, v): the pairs of different fingerprints in ``fps`` (column fp, distinct) at most ``max_bits`` apart."""
-    groups = max(1, (max_bits + 1) // 2)
+    groups = max_bits // 2 + 1
     width = -(-32 // groups)
     counts = fps.select("fp", segment_counts("fp").alias("counts"))
 

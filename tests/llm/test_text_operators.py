@@ -187,3 +187,18 @@ def test_toxicity_cuts_cover_all_labels(spark):
         own = [(i, s) for i, s in got if (i % 8 == 0) == french]
         best = min(cost(own, c) for c in [2, *(s for _, s in own)])
         assert cost(own, 0.5) <= best + 0.03, (french, cost(own, 0.5), best)
+
+
+def test_links_are_all_pairs_for_even_distances(spark):
+    r = random.Random(9)
+    fps = {0, 3, 5, (1 << 33) | 1, (1 << 40) | (1 << 33) | 5}
+    for _ in range(40):
+        x = r.getrandbits(64)
+        fps.add(x)
+        for _ in range(4):
+            fps.add(x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))))
+    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
+    for bits in (0, 2, 4):
+        got = {tuple(sorted(x)) for x in popcount_simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), bits).collect()}
+        want = {tuple(sorted((a, b))) for k, a in enumerate(fps) for b in fps[:k] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits}
+        assert got == want
