@@ -36,8 +36,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts."""
-    return byte_bpe(docs)
+    """The encoded documents: token ids, counts and digests."""
+    return byte_bpe(docs, with_ids=True)
 
 
 STAGES = [

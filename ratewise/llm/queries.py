@@ -81,10 +81,10 @@ def op9_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cnn_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def byte_bpe(docs: DataFrame) -> DataFrame:
+def byte_bpe(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     import public_tokenizers
 
-    return segment_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return segment_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=with_ids)
 
 
 @register("op10_segment_bpe")

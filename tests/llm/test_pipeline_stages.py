@@ -36,3 +36,14 @@ def test_stages_take_effect(spark):
     text = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in before.collect()}
     rows = after.collect()
     assert len(rows) == before.count() and all(text[r.doc_id] == r.decoded_sha256 for r in rows)
+
+
+def test_last_stage_returns_the_encoded_documents(spark):
+    import public_tokenizers as P
+
+    from ratewise.llm import segment_bpe
+
+    docs = table(spark, SF, "documents").limit(20)
+    want = segment_bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+    rows = C.encoding(spark, docs, SF).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {r.doc_id: list(r.ids) for r in want} and any(r.ids for r in rows)
