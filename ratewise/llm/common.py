@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ratewise.session import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "table", "number_sorted", "text_bytes", "WORD"]
+__all__ = ["materialize", "scratch_dir", "table", "number_sorted", "perhaps_in", "bit_filter", "with_bit", "text_bytes", "WORD"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +46,39 @@ def number_sorted(df: DataFrame, out: str, name: str, start: int = 1) -> DataFra
         .withColumn(out, F.col("_o") + F.col("_m").bitwiseAND(F.lit(_LOW33)) + start)
         .drop("_m", "_p", "_o")
     )
+
+
+#: Bits of one bucket of a bit filter, and the most buckets: 4 KB each, so a filter has at most 16 MB.
+_BUCKET_BITS, _MOST_BUCKETS = 32768, 4096
+
+
+def bit_filter(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(bucket, bits) with a bit set for each 64-bit hash in ``keys``, and the number of buckets.
+
+    About 16 bits a key, and at most 16 MB, which bounds its broadcast; with more
+    keys the filter passes more rows that aren't among them, never fewer.
+    """
+    n = keys.count()
+    buckets = 1
+    while buckets < _MOST_BUCKETS and buckets * _BUCKET_BITS < 16 * n:
+        buckets *= 2
+    place = F.pmod(F.col(key), F.lit(buckets * _BUCKET_BITS)) + 1
+    bits = keys.select(place.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    return materialize(bits, "bit-filter"), buckets
+
+
+def with_bit(rows: DataFrame, key: str, filtered: tuple[DataFrame, int], out: str = "_maybe") -> DataFrame:
+    """``rows`` with a boolean: false if the 64-bit hash in ``key`` is surely not among the filter's keys."""
+    bits, buckets = filtered
+    at = F.pmod(F.col(key), F.lit(buckets * _BUCKET_BITS)) + 1
+    spot = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce((byte / F.pow(F.lit(2), spot % 8)).cast("int") % 2 == 1, F.lit(False))
+    joined = rows.withColumn("_at", at).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(bits), "_bucket", "left")
+    return joined.select(*[joined[c] for c in rows.columns], hit.alias(out))
+
+
+def perhaps_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose 64-bit hash in ``key`` may be among ``keys``: all that are, few others, without a shuffle."""
+    return with_bit(rows, key, bit_filter(keys, key)).where("_maybe").drop("_maybe")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, cnn_toxicity, flat_graph, license_tfidf, mixing, pii_surrogates, popcount_simhash, segment_bpe, url_markov, warc_chunks
+from . import block_naming, cnn_toxicity, flat_graph, license_tfidf, mixing, pii_surrogates, popcount_simhash, segment_bpe, url_markov, warc_chunks, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +192,29 @@ def as_files(docs: DataFrame) -> DataFrame:
 @register("op6_license_tfidf")
 def op6_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_tfidf.scan(as_files(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@register("op13_winnowing", r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT id, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT id, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), hits AS (SELECT rid, s, dw.n, id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+hit_words AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(generate_series(s, s + n - 1)) FROM hits) GROUP BY rid),
+hit_items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, id FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
+""")
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, gram=5)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
