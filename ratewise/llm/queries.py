@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, cnn_toxicity, flat_graph, license_tfidf, mixing, pii_surrogates, popcount_simhash, segment_bpe, url_markov, warc_chunks, winnowing
-from .common import table
+from . import block_naming, cnn_toxicity, flat_graph, license_tfidf, mixing, pii_surrogates, popcount_simhash, recompression, segment_bpe, url_markov, warc_chunks, winnowing
+from .common import SPACE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,3 +218,27 @@ def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents with words of every tenth (by the hash h of its id) made periodic from word a on; others as they are."""
+    h = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    h = h.withColumn("_g", F.floor(F.col("_h") / 10))
+    h = h.withColumn("_w", F.when(F.col("_h") % 10 == 0, F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")))
+    h = h.withColumn("_n", F.size("_w")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    h = h.withColumn("_p", F.lit(1) + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    from_ = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    words = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.get("_w", from_(i).cast("int")))
+    return h.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_recompression")
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("small")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    start, length, period = -F.col("_top.back"), F.col("_top.length"), -F.col("_top.small")
+    return found.withColumn("_top", F.array_max(ranked)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
