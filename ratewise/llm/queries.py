@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, cnn_toxicity, flat_graph, license_tfidf, mixing, pii_surrogates, popcount_simhash, recompression, segment_bpe, url_markov, warc_chunks, winnowing
+from . import block_naming, cnn_toxicity, flat_graph, license_tfidf, mixing, pii_surrogates, popcount_simhash, recompression, segment_bpe, turn_repair, url_markov, warc_chunks, winnowing
 from .common import SPACE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,3 +242,28 @@ def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
         F.floor(length * 1000 / period).alias("exponent_milli"),
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults dealt by a hash of conv_id and turn: rows dropped, emptied, cut, repeated or given to the user."""
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.withColumn("_d", F.crc32(name.cast("binary")) % 20).where("_d <> 0")
+    d = F.col("_d")
+    text = F.when(d == 1, "").when(d == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(d == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "_d")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_d") == 3, 2).otherwise(1)))).drop("_d", "_copy")
+
+
+@register("op12_turn_repair")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    marked, turns = turn_repair.repair(damaged(conversations))
+    told, digest = turn_repair.reports(marked), turn_repair.digests(marked, turns)
+    out = conversations.select("conv_id").distinct()
+    for part in (told, digest):
+        part = part.withColumnRenamed("conv_id", "_c")
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
