@@ -1,48 +1,74 @@
-"""Design cells: one row per (coverage, model_id, part, factor levels).
+"""Design cells: one row per (variant, coverage, model_id, part, factor levels).
 
-Frequency cells are additive over folds, so they are built once per
-(coverage, fold, levels) and summed per model after the membership join.
-Severity cells depend on each model's cap, so claimant rows are joined to
-membership and caps (both broadcast) and aggregated in the same stage.
+All predictors are categorical, so fits, calibration and prices need only
+cells. ``base_cells`` reads the training rows once: counts, claim counts and
+amounts by fold and the levels of every factor. These add, so a variant's cells
+are sums over the factors that it does not use (set to one level), and a model's
+cells sums over its folds. Spread is carried as centred sums of squares, which
+merge without the cancellation of raw ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewise.operators.levels import factor_levels
-from ratewise.operators.severity import capped_severity
-from ratewise.session import small
+from ratewise.operators.weighted import ANY
+
+#: frequency response -> its columns in the base cells
+FREQUENCY = {"has_claim": ("s_has", "m2_has"), "claim_n": ("s_claims", "m2_claims")}
+
+
+def base_cells(folds: DataFrame, factors) -> DataFrame:
+    """(coverage, fold, factors): n, n_pos, total_paid and the sum and centred squares of both frequency responses."""
+    has, claims = F.col("has_claim").cast("double"), F.col("claim_n").cast("double")
+    return folds.groupBy("coverage", "fold", *factors).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("total_paid") > 0).alias("n_pos"), F.sum("total_paid").alias("total_paid"),
+        F.sum(has).alias("s_has"), (F.var_pop(has) * F.count(has)).alias("m2_has"),
+        F.sum(claims).alias("s_claims"), (F.var_pop(claims) * F.count(claims)).alias("m2_claims"))
 
 
-def _stats(y: F.Column):
-    return [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("sy2")]
+def spread(cells: DataFrame, variants, factors, **columns) -> DataFrame:
+    """``cells`` once for each variant, factors that it does not use at one level.
 
+    ``columns``: further output columns, each a function of the variant.
+    """
+    parts = []
+    for v in variants:
+        made = [F.col(f) if f in v.factors else F.lit(ANY).alias(f) for f in factors]
+        rest = [c for c in cells.columns if c not in factors]
+        parts.append(cells.select(F.lit(v.name).alias("variant"), *rest, *made, *[f(v).alias(c) for c, f in columns.items()]))
+    return reduce(DataFrame.unionByName, parts)
 
-def _sum_stats():
-    return [F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("sy2").alias("sy2")]
 
+def merge_moments(parts: DataFrame, keys) -> DataFrame:
+    """(keys, n, sy, m2) of parts (keys, n, sy, m2): centred sums of squares about the merged mean."""
+    whole = Window.partitionBy(*keys)
+    parts = parts.filter("n > 0").withColumn("_mean", F.sum("sy").over(whole) / F.sum("n").over(whole))
+    off = F.col("sy") / F.col("n") - F.col("_mean")
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"))
 
-def design_cells(folds: DataFrame, membership: DataFrame, params: DataFrame, factors,
-                 freq_y: str, sev_y: str, pos_col: str) -> DataFrame:
+
+def design_cells(base: DataFrame, capped: DataFrame, membership: DataFrame, variants, factors) -> DataFrame:
+    """All variants' cells: n rows, Σy and centred Σy² of the frequency and the capped severity responses.
+
+    base    ``base_cells``
+    capped  ``severity.capped_cells``
+    """
     factors = list(factors)
-    yf = F.col(freq_y).cast("double")
-    freq = (folds.groupBy("coverage", "fold", *factors).agg(*_stats(yf))
-            .join(membership, on="fold")
-            .groupBy("coverage", "model_id", *factors).agg(*_sum_stats())
-            .withColumn("part", F.lit("freq")))
-    caps = small(params).select("coverage", "model_id", "cap")
-    ycap = capped_severity(sev_y, pos_col)
-    sev = (folds.filter(F.col(pos_col) > 0).select("coverage", "fold", *factors, sev_y, pos_col)
-           .join(membership, on="fold").join(caps, on=["coverage", "model_id"])
-           .withColumn("_ycap", ycap).filter(F.col("_ycap") > 0)
-           .groupBy("coverage", "model_id", *factors).agg(*_stats(F.col("_ycap")))
-           .withColumn("part", F.lit("sev")))
-    cols = ["coverage", "model_id", "part", *factors, "n", "sy", "sy2"]
-    return freq.select(*cols).unionByName(sev.select(*cols))
-
-
-def model_levels(cells: DataFrame, factors) -> DataFrame:
-    """Levels each fit has seen: of all training rows for frequency, of claimants for severity."""
-    return factor_levels(cells, factors, by=("coverage", "model_id", "part"))
+    keys = ["variant", "coverage", "model_id", "part", *factors]
+    sums = {"sy": lambda v: F.col(FREQUENCY[v.freq_response][0]), "m2": lambda v: F.col(FREQUENCY[v.freq_response][1])}
+    freq = spread(base.select("coverage", "fold", *factors, "n", *[c for x in FREQUENCY.values() for c in x]), variants, factors, **sums)
+    freq = freq.join(membership, on="fold").withColumn("part", F.lit("freq")).select(*keys, "n", "sy", "m2")
+    own = F.coalesce(*[F.when((F.col("variant") == v.name) & (F.col("response") == v.sev_response), F.lit(True)) for v in variants], F.lit(False))
+    sev = spread(capped.select("response", "coverage", "model_id", *factors, "n", "mean", "m2"), variants, factors).filter(own)
+    sev = sev.withColumn("part", F.lit("sev")).withColumn("sy", F.col("n") * F.col("mean")).select(*keys, "n", "sy", "m2")
+    return merge_moments(freq.unionByName(sev), keys)
+
+
+def model_levels(cells: DataFrame, factors, by=("coverage", "model_id", "part")) -> DataFrame:
+    """Levels each fit has seen; of all training rows for frequency, of claimants for severity."""
+    return factor_levels(cells, factors, by=by)

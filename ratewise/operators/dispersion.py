@@ -1,7 +1,8 @@
 """Pearson dispersion χ²/(n − rank) of the final fits, from design cells.
 
-Per cell Σ(y − μ)² = Σy² − 2μΣy + nμ², divided by V(μ) (μ Poisson, μ²
-gamma). Computed for Poisson as well, where Spark's GLM summary would report
+Per cell Σ(y − μ)² = Σ(y − ȳ)² + n(ȳ − μ)², divided by V(μ) (μ Poisson, μ²
+gamma): the centred sums of squares that the cells carry don't cancel when the
+spread is small against the mean. Computed for Poisson as well, where Spark's GLM summary would report
 1.0 by definition.
 """
 
@@ -22,7 +23,8 @@ def dispersion_table(cells: DataFrame, coefs: DataFrame, params: DataFrame, fact
                      factors, freq_family, lookup)
     j = c0.join(mu, on=["coverage", "model_id", *factors], how="left")
     m = F.when(F.col("part") == "freq", F.col("mu_freq")).otherwise(F.col("mu_sev"))
-    ss = F.col("sy2") - 2 * m * F.col("sy") + F.col("n") * m * m
+    off = F.col("sy") / F.col("n") - m
+    ss = F.col("m2") + F.col("n") * off * off
     v = F.when(F.col("part") == "freq", m).otherwise(m * m)
     chi = j.groupBy("coverage", "part").agg(F.sum(ss / v).alias("chi2"), F.sum("n").alias("n"))
     ranks = coefs.filter((F.col("factor") == INTERCEPT) & (F.col("model_id") == model_id)) \

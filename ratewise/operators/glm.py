@@ -6,6 +6,13 @@ levels: the design cells. Cells are built by a distributed aggregate and are
 small (at most the product of the level counts per model), so one Python
 worker per (coverage, model_id, part) runs Newton's method on them.
 
+The design matrix is never built: a factor is one level number a cell, a
+score is a sum per level, the information a table of sums per pair of levels.
+The levels of one factor don't meet each other in a cell, so the block of the
+longest factor is diagonal and is eliminated first; only the other factors'
+columns form a dense system. Memory is levels of the longest factor times
+columns of the others.
+
 Solver: Newton with the observed information and step halving (the three
 log-likelihoods are concave in the linear predictor), started at the
 intercept-only fit, stopped when the largest score entry is below
@@ -30,7 +37,7 @@ INTERCEPT = "(Intercept)"
 ETA_CLIP = 60.0
 
 COEF_SCHEMA = (
-    "coverage string, model_id int, part string, factor string, level string, beta double, "
+    "variant string, coverage string, model_id int, part string, factor string, level string, beta double, "
     "n_factors int, iterations int, rank int, converged boolean, thin boolean"
 )
 
@@ -120,12 +127,164 @@ def newton_fit(family: str, X: np.ndarray, n: np.ndarray, sy: np.ndarray,
     return beta, it, converged
 
 
+# ------------------------------------------------------- level-wise design ---
+
+class LevelDesign:
+    """Intercept and factor dummies over cells, as level numbers.
+
+    codes  one integer array a factor: the level of each cell
+    sizes  the number of levels of each factor (level 0 is the base)
+
+    Columns are the intercept, then levels 1.. of each factor in turn.
+    """
+
+    def __init__(self, codes, sizes, n_cells: int):
+        self.codes, self.sizes, self.cells = list(codes), list(sizes), n_cells
+        self.starts = np.cumsum([1] + [k - 1 for k in self.sizes])[:-1].astype(int)
+        self.columns = 1 + int(sum(k - 1 for k in self.sizes))
+
+    def eta(self, beta):
+        out = np.full(self.cells, beta[0])
+        for c, k, s in zip(self.codes, self.sizes, self.starts):
+            out += np.concatenate(([0.0], beta[s:s + k - 1]))[c]
+        return out
+
+    def sums(self, w):
+        """X' w."""
+        parts = [np.bincount(c, w, k)[1:] for c, k in zip(self.codes, self.sizes)]
+        return np.concatenate([[w.sum()], *parts])
+
+    def block(self, f, g, w):
+        """X_f' W X_g for factors f and g (None: the intercept)."""
+        if f is None and g is None:
+            return np.array([[w.sum()]])
+        if f is None or g is None:
+            one = np.bincount(self.codes[g if f is None else f], w, self.sizes[g if f is None else f])[1:]
+            return one[None, :] if f is None else one[:, None]
+        if f == g:
+            return np.diag(np.bincount(self.codes[f], w, self.sizes[f])[1:])
+        kf, kg = self.sizes[f], self.sizes[g]
+        return np.bincount(self.codes[f] * kg + self.codes[g], w, kf * kg).reshape(kf, kg)[1:, 1:]
+
+    def cross(self, rows, cols, w):
+        """X_rows' W X_cols for lists of factors."""
+        return np.block([[self.block(f, g, w) for g in cols] for f in rows])
+
+    def long_factor(self):
+        return int(np.argmax(self.sizes)) if self.sizes else None
+
+    def span(self, f):
+        return np.arange(self.starts[f], self.starts[f] + self.sizes[f] - 1)
+
+    def kept(self, tol: float = 1e-7) -> np.ndarray:
+        """Mask of the columns that are no linear combination of earlier ones.
+
+        The intercept and the first factor's levels are independent as they stand; what
+        they explain of the later columns is taken out in closed form (means within the
+        first factor's levels), and the rest is eliminated column by column.
+        """
+        out = np.zeros(self.columns, bool)
+        out[0] = True
+        if not self.sizes:
+            return out
+        one = np.ones(self.cells)
+        first = np.bincount(self.codes[0], one, self.sizes[0])
+        out[self.span(0)] = first[1:] > 0
+        rest = list(range(1, len(self.sizes)))
+        if not rest or self.columns == 1 + self.sizes[0] - 1:
+            return out
+        k0 = self.sizes[0]
+        c = np.concatenate([np.bincount(self.codes[0] * self.sizes[g] + self.codes[g], one, k0 * self.sizes[g]).reshape(k0, -1)[:, 1:] for g in rest], axis=1)
+        norm = np.concatenate([np.bincount(self.codes[g], one, self.sizes[g])[1:] for g in rest])
+        gram = self.cross(rest, rest, one) - (c / np.maximum(first, 1)[:, None]).T @ c
+        at = int(self.starts[1])
+        for j in range(len(norm)):
+            left = gram[j, j]
+            if norm[j] == 0 or left <= (tol * tol + 1e-12) * norm[j]:
+                continue
+            out[at + j] = True
+            near = j + 1 + np.flatnonzero(np.abs(gram[j, j + 1:]) > 0)
+            gram[np.ix_(near, near)] -= np.outer(gram[j, near], gram[j, near] / left)
+        return out
+
+    def solve(self, w, grad, kept):
+        """The Newton step: (X' W X) step = grad over the kept columns, 0 elsewhere."""
+        step = np.zeros(self.columns)
+        big = self.long_factor()
+        others = [None] + [f for f in range(len(self.sizes)) if f != big]
+        at = np.concatenate([[0], *[self.span(f) for f in others[1:]]]).astype(int)
+        keep = kept[at]
+        small = self.cross(others, others, w)[np.ix_(keep, keep)]
+        rhs, at = grad[at[keep]], at[keep]
+        if big is None:
+            step[at] = _solve(small, rhs)
+            return step
+        long = self.span(big)
+        on = kept[long]
+        d = np.bincount(self.codes[big], w, self.sizes[big])[1:][on]
+        c = self.cross([big], others, w)[np.ix_(on, keep)]
+        per = c / d[:, None]
+        x = _solve(small - c.T @ per, rhs - per.T @ grad[long[on]])
+        step[at] = x
+        step[long[on]] = grad[long[on]] / d - per @ x
+        return step
+
+
+def _solve(a, b):
+    try:
+        return np.linalg.solve(a, b)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
+def _weights(family, eta, n, sy):
+    """Score and observed information of a cell with respect to its linear predictor."""
+    if family == "gamma":
+        r = sy * np.exp(-eta)  # d/deta = y/mu - 1, observed information y/mu
+        return r - n, r
+    mu = np.exp(eta) if family == "poisson" else 1.0 / (1.0 + np.exp(-eta))
+    return sy - n * mu, n * mu * (1.0 if family == "poisson" else 1.0 - mu)
+
+
+def level_fit(family: str, design: LevelDesign, n: np.ndarray, sy: np.ndarray, max_iter: int = 200, tol: float = 1e-9):
+    """(beta over all columns, kept mask, iterations, converged)."""
+    kept = design.kept()
+    beta = np.zeros(design.columns)
+    beta[0] = _start(family, n, sy)
+    total = float(n.sum())
+
+    def eta_of(b):
+        return np.clip(design.eta(b), -ETA_CLIP, ETA_CLIP)
+
+    ll = _loglik(family, eta_of(beta), n, sy)
+    extra_done, it = False, 0
+    for it in range(1, max_iter + 1):
+        u, w = _weights(family, eta_of(beta), n, sy)
+        grad = np.where(kept, design.sums(u), 0.0)
+        small_grad = np.max(np.abs(grad)) < tol * total
+        if small_grad and extra_done:
+            return beta, kept, it, True
+        step = design.solve(w, grad, kept)
+        t = 1.0
+        for _ in range(40):
+            cand = beta + t * step
+            ll_c = _loglik(family, eta_of(cand), n, sy)
+            if np.isfinite(ll_c) and ll_c >= ll - 1e-12 * abs(ll):
+                break
+            t *= 0.5
+        else:  # no step improves on beta
+            return beta, kept, it, bool(small_grad)
+        beta, ll = cand, ll_c
+        extra_done = extra_done or bool(small_grad)
+    return beta, kept, it, False
+
+
 # ------------------------------------------------------------ grouped fit ---
 
 def _fit_group(key, cells: pd.DataFrame, levels: pd.DataFrame, factors, freq_family: str,
                min_claims: float = MIN_CLAIMS_FOR_FREQ_FACTORS,
                min_pos: float = MIN_POS_FOR_SEV_FACTORS) -> pd.DataFrame:
-    coverage, model_id, part = key
+    coverage, model_id, part = key[-3:]
     family = freq_family if part == "freq" else "gamma"
     n = cells["n"].to_numpy(dtype=float) if len(cells) else np.zeros(0)
     sy = cells["sy"].to_numpy(dtype=float) if len(cells) else np.zeros(0)
@@ -143,13 +302,10 @@ def _fit_group(key, cells: pd.DataFrame, levels: pd.DataFrame, factors, freq_fam
     beta_full = np.zeros(len(cols))
     iterations, rank, converged = 0, 0, False
     if len(cells) and n.sum() > 0:
-        X = np.ones((len(cells), len(cols)))
-        for j, (f, lvl) in enumerate(cols[1:], start=1):
-            X[:, j] = (cells[f].to_numpy() == lvl).astype(float)
-        kept = kept_columns(X)
-        beta, iterations, converged = newton_fit(family, X[:, kept], n, sy)
-        beta_full[kept] = beta
-        rank = len(kept)
+        codes = [pd.Index(lv[f]).get_indexer(cells[f]).astype(np.int64) for f in use]
+        design = LevelDesign(codes, [len(lv[f]) for f in use], len(cells))
+        beta_full, kept, iterations, converged = level_fit(family, design, n, sy)
+        rank = int(kept.sum())
     else:
         beta_full[0] = np.nan
 
@@ -171,27 +327,30 @@ def _fit_group(key, cells: pd.DataFrame, levels: pd.DataFrame, factors, freq_fam
     return df
 
 
-def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family: str,
+def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family,
                min_claims: float = MIN_CLAIMS_FOR_FREQ_FACTORS,
                min_pos: float = MIN_POS_FOR_SEV_FACTORS) -> DataFrame:
-    """All (coverage, model_id, part) fits as one cogrouped ``applyInPandas``.
+    """All (variant, coverage, model_id, part) fits as one cogrouped ``applyInPandas``.
 
-    cells         (coverage, model_id, part, factors..., n, sy, sy2)
-    model_levels  (coverage, model_id, part, factor, level): the levels each fit
+    cells         (variant, coverage, model_id, part, factors..., n, sy)
+    model_levels  (variant, coverage, model_id, part, factor, level): the levels each fit
                   has seen; a level without claimants is unseen by the severity
                   fit, so its severity (and pure premium) is null.
+    factors, freq_family  of each variant by name; or of all, for tables without ``variant``
     min_claims    frequency falls back to intercept only below this many claims
     min_pos       severity falls back to intercept only below this many claimants
-    Returns the long coefficient table ``COEF_SCHEMA``.
+    Returns the long coefficient table ``COEF_SCHEMA``, without ``variant`` if the cells have none.
     """
-    factors = list(factors)
-    keys = ["coverage", "model_id", "part"]
+    joint = "variant" in cells.columns
+    if not joint:
+        cells, model_levels = [d.withColumn("variant", F.lit("")) for d in (cells, model_levels)]
+        factors, freq_family = {"": list(factors)}, {"": freq_family}
+    factors = {name: list(fs) for name, fs in factors.items()}
+    every = list(dict.fromkeys(f for fs in factors.values() for f in fs))
+    keys = ["variant", "coverage", "model_id", "part"]
     # fresh column ids on both sides: the levels are derived from the cells
-    lv = model_levels.select(
-        F.col("coverage").alias("coverage"), F.col("model_id").alias("model_id"),
-        F.col("part").alias("part"),
-        F.col("factor").alias("factor"), F.col("level").alias("level"))
-    left = cells.select(*[F.col(c).alias(c) for c in keys + factors + ["n", "sy"]])
+    lv = model_levels.select(*[F.col(c).alias(c) for c in [*keys, "factor", "level"]])
+    left = cells.select(*[F.col(c).alias(c) for c in keys + every + ["n", "sy"]])
     # The cell tables are tiny, so AQE would coalesce them into one partition
     # and run every fit in one Python worker; an explicit partition count
     # (not coalesced) spreads the models over the cluster's cores.
@@ -204,14 +363,17 @@ def fit_models(cells: DataFrame, model_levels: DataFrame, factors, freq_family:
     lv = lv.repartition(parts, *keys)
 
     def fn(key, l_pdf, r_pdf):
-        return _fit_group(key, l_pdf, r_pdf, factors, freq_family, min_claims, min_pos)
+        out = _fit_group(key, l_pdf, r_pdf, factors[key[0]], freq_family[key[0]], min_claims, min_pos)
+        out.insert(0, "variant", key[0])
+        return out
 
-    return left.groupBy(*keys).cogroup(lv.groupBy(*keys)).applyInPandas(fn, schema=COEF_SCHEMA)
+    fits = left.groupBy(*keys).cogroup(lv.groupBy(*keys)).applyInPandas(fn, schema=COEF_SCHEMA)
+    return fits if joint else fits.drop("variant")
 
 
 def check_fits(coefs: DataFrame) -> None:
     """Raise if a model that has data ran out of steps: its prices would be unfinished."""
     bad = (coefs.filter((F.col("factor") == INTERCEPT) & ~F.col("converged") & ~F.isnan("beta"))
-           .select("coverage", "model_id", "part").limit(20).collect())
+           .select(*[c for c in ("variant", "coverage", "model_id", "part") if c in coefs.columns]).limit(20).collect())
     if bad:
         raise ValueError(f"fits that did not converge: {[tuple(b) for b in bad]}")

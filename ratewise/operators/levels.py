@@ -29,12 +29,21 @@ def factor_levels(df: DataFrame, factors, by=()) -> DataFrame:
     return _stack(df, factors, by).filter(F.col("level").isNotNull()).distinct()
 
 
+#: Levels that a plan may carry as literals; beyond it each column is joined to its level list.
+LITERAL_LEVELS = 10_000
+
+
 def align_levels(df: DataFrame, levels: DataFrame, cols) -> DataFrame:
     """Values not among the training levels of their column → null.
 
-    One left join per column against that column's level list; the lists are
-    size-checked and broadcast, so the big side is not shuffled.
+    One projection: the level lists (checked to be at most ``LITERAL_LEVELS`` in all)
+    become literal sets. Longer lists are joined, one left join a column, with a
+    size-checked broadcast, so that the big side is not shuffled.
     """
+    found = levels.filter(F.col("factor").isin(list(cols))).select("factor", "level").limit(LITERAL_LEVELS + 1).collect()
+    if len(found) <= LITERAL_LEVELS:
+        known = {c: [r.level for r in found if r.factor == c] for c in cols}
+        return df.withColumns({c: F.when(F.col(c).isin(known[c]), F.col(c)) for c in cols})
     lv = small(levels)
     out = df
     for c in cols:

@@ -8,17 +8,22 @@ a third of the rows, and ``percentile_approx`` is not exact.
 
 One path serves groups of every size:
 
-1. distinct values are counted (partial aggregate; a tie of any weight is one
-   row) and sorted into ranges of (keys, value), which are written once;
-2. the counts of each (group, range) and their prefix sums show which range
+1. distinct values carry weights, how often each occurs (partial aggregate; a
+   tie of any weight is one row), and are sorted into ranges of (keys, value),
+   which are written once;
+2. the weights of each (group, range) and their prefix sums show which range
    holds each of the two order statistics;
 3. only those ranges are ranked, each in a window partition of its own.
 
-A task holds one range at most, and nothing is collected to the driver.
+Weights add, so several may be ranked at once over the same sorted values: the
+quantiles of "all folds but m" for every m need the values sorted once. A task
+holds one range at most, and nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,48 +34,68 @@ def _lit_prob(prob):
     return F.lit(float(prob)) if isinstance(prob, (int, float)) else prob
 
 
-def exact_quantile(df: DataFrame, keys, value, prob, out: str = "q",
-                   group_stats: DataFrame | None = None) -> DataFrame:
-    """One row per group: keys, ``n`` (non-null values) and the quantile ``out``.
+def weighted_quantiles(counted: DataFrame, keys, value: str, weights, prob) -> DataFrame:
+    """One row per group: keys and, for each weight ``w``, ``n_w`` (its sum) and ``q_w``.
 
-    ``prob`` is a number or a Column built from the key columns (constant
-    within a group). Nulls are skipped (``na.rm = TRUE``); a group without
-    values has no row. ``group_stats`` (keys, ``_n`` non-null count, ``_p``
-    probability), when the caller has it from an aggregate of its own, saves
-    the counting pass.
+    ``counted`` holds each (keys, value) once, without nulls or NaN; a weight says how many
+    equal values a row stands for. ``prob`` is a number or a Column built from the key
+    columns. A group whose weights are all 0 has a null quantile.
     """
-    keys = list(keys)
-    v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*keys, v.cast("double").alias("_v"), _lit_prob(prob).cast("double").alias("_p"))
-    base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if group_stats is None:
-        stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("_p").alias("_p"))
-    else:
-        stats = group_stats.filter(F.col("_n") > 0).select(*keys, "_n", "_p")
-    stats = stats.withColumn("_h", (F.col("_n") - 1) * F.col("_p")).select(
-        *keys, "_n", "_h", F.floor("_h").alias("_lo"), F.ceil("_h").alias("_hi"))
-
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranged = counted.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
+    keys, weights = list(keys), list(weights)
+    base = counted.select(*keys, F.col(value).cast("double").alias("_v"), *[F.col(w).cast("long").alias(f"_w{i}") for i, w in enumerate(weights)])
+    ranged = base.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
     values = materialize(ranged.withColumn("_range", F.spark_partition_id()), "values")
 
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = values.groupBy(*keys, "_range").agg(F.sum("_c").alias("_s"))
-    sums = sums.withColumn("_below", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    each = range(len(weights))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = values.groupBy(*keys, "_range").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in each])
+    sums = sums.select("*", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_below{i}") for i in each],
+                       *[F.sum(f"_s{i}").over(whole).alias(f"_n{i}") for i in each], _lit_prob(prob).cast("double").alias("_p"))
+    sums = sums.select("*", *[((F.col(f"_n{i}") - 1) * F.col("_p")).alias(f"_h{i}") for i in each])
+
+    def rank(i, up):
+        return F.ceil(f"_h{i}") if up else F.floor(f"_h{i}")
 
-    def holds(rank):
-        return (F.col("_below") <= F.col(rank)) & (F.col(rank) < F.col("_below") + F.col("_s"))
+    def holds(i, up):
+        return (F.col(f"_below{i}") <= rank(i, up)) & (rank(i, up) < F.col(f"_below{i}") + F.col(f"_s{i}"))
 
-    wanted = sums.join(stats, on=keys).filter(holds("_lo") | holds("_hi")).drop("_s")
+    wanted = sums.filter(reduce(lambda a, b: a | b, [holds(i, up) for i in each for up in (False, True)]))
+    wanted = wanted.drop("_p", *[f"_s{i}" for i in each])
     upto = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.join(wanted, on=[*keys, "_range"]).withColumn("_end", F.col("_below") + F.sum("_c").over(upto))
+    ranked = values.join(wanted, on=[*keys, "_range"])
+    ranked = ranked.select("*", *[(F.col(f"_below{i}") + F.sum(f"_w{i}").over(upto)).alias(f"_end{i}") for i in each])
+
+    def at(i, up):
+        end = F.col(f"_end{i}")
+        return F.max(F.when((end - F.col(f"_w{i}") <= rank(i, up)) & (rank(i, up) < end), F.col("_v")))
+
+    aggs = []
+    for i in each:
+        aggs += [F.max(f"_n{i}").alias(f"_n{i}"), F.max(f"_h{i}").alias(f"_h{i}"), at(i, False).alias(f"_lo{i}"), at(i, True).alias(f"_hi{i}")]
+    picked = ranked.groupBy(*keys).agg(*aggs)
+    out = []
+    for i, w in enumerate(weights):
+        part = F.col(f"_h{i}") - F.floor(f"_h{i}")
+        out += [F.col(f"_n{i}").alias(f"n_{w}"), (F.col(f"_lo{i}") + part * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q_{w}")]
+    return picked.select(*keys, *out)
+
+
+def value_counts(df: DataFrame, keys, value, weight=None) -> DataFrame:
+    """(keys, ``_v``, ``w``): each non-null value of a group once, with its rows or its sum of weights."""
+    v = F.col(value) if isinstance(value, str) else value
+    w = F.lit(1) if weight is None else F.col(weight)
+    base = df.select(*keys, v.cast("double").alias("_v"), w.alias("_one"))
+    return base.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.sum("_one").alias("w"))
+
 
-    def at(rank):
-        return F.max(F.when((F.col("_end") - F.col("_c") <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_v")))
+def exact_quantile(df: DataFrame, keys, value, prob, out: str = "q", weight=None) -> DataFrame:
+    """One row per group: keys, ``n`` (non-null values) and the quantile ``out``.
 
-    picked = ranked.groupBy(*keys, "_n", "_h", "_lo").agg(at("_lo").alias("_xlo"), at("_hi").alias("_xhi"))
-    return picked.select(
-        *keys,
-        F.col("_n").alias("n"),
-        (F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))).alias(out),
-    )
+    ``prob`` is a number or a Column built from the key columns. Nulls are skipped
+    (``na.rm = TRUE``); a group without values has no row. With ``weight`` a row stands
+    for that many equal rows.
+    """
+    keys = list(keys)
+    q = weighted_quantiles(value_counts(df, keys, value, weight), keys, "_v", ["w"], prob)
+    return q.select(*keys, F.col("n_w").alias("n"), F.col("q_w").alias(out))

@@ -6,46 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise import config as C
-from ratewise.functions.nulls import clamp_strict, mean_strict, safe_div, zero_sum
-from ratewise.session import keep, small
+from ratewise.functions.nulls import clamp_strict, safe_div, zero_sum
+from ratewise.operators import weighted as W
+from ratewise.operators.calibrate import by
+from ratewise.session import materialize, settled, small
 
 
-def holdout_check(scored_test: DataFrame, pred: str = "pred_loss_final") -> DataFrame:
-    """Per coverage: actual and predicted means (null if any prediction is null), ratio."""
-    g = scored_test.groupBy("coverage").agg(
-        mean_strict("total_paid").alias("actual"), mean_strict(pred).alias("pred_c"))
+def holdout_check(scored_test: DataFrame, pred: str = "pred_loss_final", weight: str | None = None) -> DataFrame:
+    """Per coverage: actual and predicted means (null if any prediction is null), ratio.
+
+    With ``weight`` the input is cells, here and in the other means.
+    """
+    g = scored_test.groupBy(*by(scored_test, "coverage")).agg(
+        W.paid_mean(weight).alias("actual"), W.mean_or_null(pred, weight).alias("pred_c"))
     return g.withColumn("ratio", safe_div("pred_c", "actual"))
 
 
-def tier_base(scored_train: DataFrame, pred: str = "pred_loss_final") -> DataFrame:
+def tier_base(scored_train: DataFrame, pred: str = "pred_loss_final", weight: str | None = None) -> DataFrame:
     """Rows and mean final prediction per (coverage, tier); also the tier average."""
-    return scored_train.groupBy("coverage", "risk_tier").agg(
-        F.count(F.lit(1)).alias("n"), mean_strict(pred).alias("base_loss"))
+    return scored_train.groupBy(*by(scored_train, "coverage", "risk_tier")).agg(
+        W.rows(weight).alias("n"), W.mean_or_null(pred, weight).alias("base_loss"))
 
 
-def coverage_mean(scored_train: DataFrame, pred: str = "pred_loss_final") -> DataFrame:
-    return scored_train.groupBy("coverage").agg(mean_strict(pred).alias("cov_mean"))
+def coverage_mean(scored_train: DataFrame, pred: str = "pred_loss_final", weight: str | None = None) -> DataFrame:
+    return scored_train.groupBy(*by(scored_train, "coverage")).agg(W.mean_or_null(pred, weight).alias("cov_mean"))
 
 
-def tier_and_coverage_means(scored_train: DataFrame, pred: str = "pred_loss_final"):
-    """``tier_base`` and ``coverage_mean`` from one pass: a rollup over
-    (coverage, risk_tier) computes both grouping levels in one aggregate."""
-    g = scored_train.rollup("coverage", "risk_tier").agg(
-        F.count(F.lit(1)).alias("n"), mean_strict(pred).alias("m"), F.grouping_id().alias("_gid"))
-    g = keep(g.filter(F.col("_gid") < 2))  # drop the grand total
-    tb = g.filter(F.col("_gid") == 0).select("coverage", "risk_tier", "n", F.col("m").alias("base_loss"))
-    cm = g.filter(F.col("_gid") == 1).select("coverage", F.col("m").alias("cov_mean"))
-    return tb, cm
+def tier_and_coverage_means(scored_train: DataFrame, pred: str = "pred_loss_final", weight: str | None = None):
+    """``tier_base`` and ``coverage_mean`` from one pass over grouping sets."""
+    extra = by(scored_train)
+    sets = [[*extra, "coverage", "risk_tier"], [*extra, "coverage"]]
+    g = scored_train.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in sets[0]]).agg(
+        W.rows(weight).alias("n"), W.mean_or_null(pred, weight).alias("m"), F.grouping("risk_tier").alias("_all"))
+    g = materialize(g, "tier-means")
+    tb = g.filter(F.col("_all") == 0).select(*sets[0], "n", F.col("m").alias("base_loss"))
+    cm = g.filter(F.col("_all") == 1).select(*sets[1], F.col("m").alias("cov_mean"))
+    return settled(tb), settled(cm)
 
 
 def credibility_smooth(base: DataFrame, cov_mean: DataFrame, k: float = C.CRED_K,
                        on: bool = C.USE_CRED_TIER_SMOOTH) -> DataFrame:
     """w = n/(n+K); base = w · tier mean + (1 - w) · coverage mean (or as is when off)."""
     if not on:
-        return base.select("coverage", "risk_tier", "base_loss")
-    j = base.join(small(cov_mean), on="coverage", how="left")
+        return base.select(*by(base, "coverage", "risk_tier"), "base_loss")
+    j = base.join(small(cov_mean), on=by(base, "coverage"), how="left")
     w = F.col("n") / (F.col("n") + F.lit(k))
-    return j.select("coverage", "risk_tier",
+    return j.select(*by(base, "coverage", "risk_tier"),
                     (w * F.col("base_loss") + (1 - w) * F.col("cov_mean")).alias("base_loss"))
 
 
@@ -56,15 +62,16 @@ def gross_premium(loss, fixed, var, profit=C.PROFIT) -> F.Column:
 
 def pricing_table(base_loss: DataFrame) -> DataFrame:
     return base_loss.select(
-        "coverage", "risk_tier", "base_loss",
+        *by(base_loss, "coverage", "risk_tier"), "base_loss",
         gross_premium("base_loss", C.FIXED_EXP_RENEW, C.VAR_EXP_RENEW).alias("prem_renew"),
         gross_premium("base_loss", C.FIXED_EXP_NEW, C.VAR_EXP_NEW).alias("prem_new"))
 
 
 def relativity(scored: DataFrame, tier_avg: DataFrame, pred: str = "pred_loss_final") -> DataFrame:
     """(pred / tier average)^alpha, clamped; x/0 → null where R gives Inf/NaN."""
-    ta = small(tier_avg).select("coverage", "risk_tier", F.col("base_loss").alias("tier_pred_avg"))
-    j = scored.join(ta, on=["coverage", "risk_tier"], how="left")
+    keys = by(tier_avg, "coverage", "risk_tier")
+    ta = small(tier_avg).select(*keys, F.col("base_loss").alias("tier_pred_avg"))
+    j = scored.join(ta, on=keys, how="left")
     raw = safe_div(pred, "tier_pred_avg")
     return (j.withColumn("relativity_raw", raw)
             .withColumn("relativity_shrunk", F.pow(F.col("relativity_raw"), F.lit(C.REL_ALPHA)))
@@ -73,18 +80,21 @@ def relativity(scored: DataFrame, tier_avg: DataFrame, pred: str = "pred_loss_fi
 
 
 def row_premiums(rel: DataFrame, pricing: DataFrame) -> DataFrame:
-    pb = small(pricing).select("coverage", "risk_tier", "prem_renew", "prem_new")
-    j = rel.join(pb, on=["coverage", "risk_tier"], how="left")
+    keys = by(pricing, "coverage", "risk_tier")
+    pb = small(pricing).select(*keys, "prem_renew", "prem_new")
+    j = rel.join(pb, on=keys, how="left")
     return (j.withColumn("final_prem_renew", F.col("prem_renew") * F.col("relativity_cap"))
             .withColumn("final_prem_new", F.col("prem_new") * F.col("relativity_cap")))
 
 
-def cap_stats(priced: DataFrame) -> DataFrame:
+def cap_stats(priced: DataFrame, weight: str | None = None) -> DataFrame:
     s = F.col("relativity_shrunk")
-    return priced.agg(
-        F.avg((s < C.REL_CAP_LOW).cast("double")).alias("pct_capped_low"),
-        F.avg((s > C.REL_CAP_HIGH).cast("double")).alias("pct_capped_high"),
-        F.avg("relativity_cap").alias("avg_relativity"))
+    shares = priced.select("relativity_cap", (s < C.REL_CAP_LOW).cast("double").alias("_low"), (s > C.REL_CAP_HIGH).cast("double").alias("_high"),
+                           *([weight] if weight else []))
+    return shares.agg(
+        W.mean("_low", weight).alias("pct_capped_low"),
+        W.mean("_high", weight).alias("pct_capped_high"),
+        W.mean("relativity_cap", weight).alias("avg_relativity"))
 
 
 def student_totals(priced: DataFrame) -> DataFrame:

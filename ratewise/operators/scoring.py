@@ -1,13 +1,12 @@
 """Scoring: pure premium = frequency × severity × uncap adjustment.
 
-The rows to score are reduced to their distinct cells (coverage, model_id,
-factor levels): partial aggregation keeps this small whatever the row count.
-Each cell gets its linear predictors from the long coefficient table; a cell
+What is scored are cells (variant, coverage, model_id, factor levels), which
+stand for any number of rows. Each cell gets its linear predictors from the long coefficient table; a cell
 whose level of a factor used by the model is missing from that model's level
 list (unseen coverage, unseen or null level) gets a null prediction, as the
-reference's scoring gives NA. The cell table is then joined back to the rows
-(null-safe keys, size-checked broadcast), so the big side is never shuffled
-for scoring.
+reference's scoring gives NA. A table of priced cells is joined to rows at the
+very end (null-safe keys, size-checked broadcast), so the big side is never
+shuffled for scoring.
 """
 
 from __future__ import annotations
@@ -16,16 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewise.operators.glm import INTERCEPT
-from ratewise.session import keep, materialize, small
+from ratewise.operators.weighted import ANY
+from ratewise.session import keep, small
 
 SEP = "\u0001"
 
 
+def _models(df: DataFrame) -> list[str]:
+    return [c for c in ("variant", "coverage", "model_id") if c in df.columns]
+
+
 def coefficient_lookup(coefs: DataFrame) -> DataFrame:
-    """One row per (coverage, model_id): each part's intercept and factor
-    count, and a map 'part|factor|level' → beta holding that model's
-    coefficients (a few dozen entries; the coefficient table is size-checked
-    by the caller)."""
+    """One row per model: each part's intercept and factor count, and a map
+    'part|factor|level' → beta holding that model's coefficients (the
+    coefficient table is size-checked by the caller)."""
     fac, part = F.col("factor"), F.col("part")
     key = F.concat(part, F.lit(SEP), fac, F.lit(SEP), F.col("level"))
     aggs = []
@@ -36,22 +39,27 @@ def coefficient_lookup(coefs: DataFrame) -> DataFrame:
                  F.max(F.when(icpt, F.lit(1))).alias(f"_has_{p}")]
     aggs.append(F.map_from_entries(F.collect_list(
         F.when(fac != INTERCEPT, F.struct(key.alias("k"), F.col("beta").alias("v"))))).alias("_coef"))
-    return coefs.groupBy("coverage", "model_id").agg(*aggs)
+    return coefs.groupBy(*_models(coefs)).agg(*aggs)
 
 
 def score_cells(cells: DataFrame, coefs: DataFrame, params: DataFrame, factors,
-                freq_family: str, lookup: DataFrame | None = None) -> DataFrame:
-    """cells (coverage, model_id, factors...) → + mu_freq, mu_sev, pure.
+                freq_family, lookup: DataFrame | None = None) -> DataFrame:
+    """cells (variant, coverage, model_id, factors...) → + mu_freq, mu_sev, uncap_adj, pure, unseen.
 
     One left join to the per-model coefficient lookup (broadcast) and map
     lookups per factor, all inside one map-side stage. A coefficient missing
-    for a factor the model uses means an unseen or null level → null.
+    for a factor the model uses means an unseen or null level → null;
+    ``unseen`` lists the levels (not null) that a model has no coefficient for.
+    ``freq_family`` is a name, or names by variant; the tables may do without ``variant``.
     """
     factors = list(factors)
+    on = _models(cells)
     lk = small(lookup if lookup is not None else keep(coefficient_lookup(coefs)))
-    out = cells.join(small(params).select("coverage", "model_id", "uncap_adj"),
-                     on=["coverage", "model_id"], how="left").join(lk, on=["coverage", "model_id"], how="left")
-    cols = {}
+    out = cells.join(small(params.select(*on, "uncap_adj")), on=on, how="left").join(lk, on=on, how="left")
+    logit = F.lit(freq_family == "binomial")
+    if isinstance(freq_family, dict):
+        logit = F.col("variant").isin([v for v, family in freq_family.items() if family == "binomial"])
+    cols, unseen = {}, []
     for part in ("freq", "sev"):
         eta = F.col(f"_b0_{part}")
         matched = F.lit(0)
@@ -59,55 +67,31 @@ def score_cells(cells: DataFrame, coefs: DataFrame, params: DataFrame, factors,
             beta = F.try_element_at(F.col("_coef"), F.concat(F.lit(part + SEP + f + SEP), F.col(f)))
             eta = eta + F.coalesce(beta, F.lit(0.0))
             matched = matched + beta.isNotNull().cast("int")
+            used = (F.col(f"_nf_{part}") > 0) & (F.col(f) != ANY)
+            unseen.append(F.when(beta.isNull() & used, F.concat(F.lit(f + "="), F.col(f))))
         eta = F.when(matched == F.col(f"_nf_{part}"), eta)
-        if part == "freq" and freq_family == "binomial":
-            cols[f"mu_{part}"] = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-        else:
-            cols[f"mu_{part}"] = F.exp(eta)
+        cols[f"mu_{part}"] = F.when(logit, F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))).otherwise(F.exp(eta)) if part == "freq" else F.exp(eta)
     out = out.withColumns(cols)
     out = out.withColumn("pure", F.col("mu_freq") * F.col("mu_sev") * F.col("uncap_adj"))
-    return out.select("coverage", "model_id", *factors, "mu_freq", "mu_sev", "uncap_adj", "pure")
+    out = out.withColumn("unseen", F.array_distinct(F.array_compact(F.array(*unseen))))
+    return out.select(*cells.columns, "mu_freq", "mu_sev", "uncap_adj", "pure", "unseen")
+
 
+def check_unseen(scored: DataFrame) -> None:
+    """Raise with up to 20 (model, level) cases whose level the model hasn't seen."""
+    cases = scored.filter(F.size("unseen") > 0).select(*_models(scored), F.explode("unseen").alias("level")).distinct()
+    bad = cases.orderBy(*cases.columns).limit(20).collect()
+    if bad:
+        raise ValueError(f"levels unseen by a model: {[tuple(b) for b in bad]}")
 
-def score_table(parts, coefs: DataFrame, params: DataFrame, factors, freq_family: str,
-                lookup: DataFrame | None = None) -> DataFrame:
-    """Scored cells for several row sets at once.
 
-    parts: (rows, model_id) pairs, model_id an int or a column name (such as
-    'fold' for out-of-fold scoring). One distinct-cell pass over all of them,
-    written to the scratch folder; returns (coverage, model_id, factors...,
-    pure) ready for ``attach_score``.
+def attach(rows: DataFrame, table: DataFrame, keys, columns) -> DataFrame:
+    """Left-join ``columns`` of a cell table onto ``rows`` by null-safe keys.
+
+    ``keys`` are column names, or (row column, table column). The table is
+    broadcast behind a check of its size; the big side is not shuffled for it.
     """
-    factors = list(factors)
-    cells = None
-    for rows, model_id in parts:
-        mid = F.lit(model_id).cast("int") if isinstance(model_id, int) else F.col(model_id).cast("int")
-        c = rows.select("coverage", mid.alias("model_id"), *factors)
-        cells = c if cells is None else cells.unionByName(c)
-    scored = score_cells(cells.distinct(), coefs, params, factors, freq_family, lookup)
-    return small(materialize(scored.select("coverage", "model_id", *factors, "mu_freq", "mu_sev", "pure"),
-                             "scored_cells"))
-
-
-def attach_score(rows: DataFrame, table: DataFrame, factors, model_id=0, out: str = "pred_loss",
-                 parts: bool = False) -> DataFrame:
-    """Left-join the pure premium of model ``model_id`` onto ``rows`` (null-safe
-    keys); with ``parts`` also the frequency and severity means."""
-    factors = list(factors)
-    keys = ["coverage", "model_id", *factors]
-    mid = F.lit(model_id).cast("int") if isinstance(model_id, int) else F.col(model_id).cast("int")
-    tagged = rows.withColumn("_mid", mid)
-    extra = ["mu_freq", "mu_sev"] if parts else []
-    right = small(table).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("pure").alias(out),
-                                *extra)
-    cond = [tagged["_mid"].eqNullSafe(right["_k_model_id"])] + [
-        tagged[k].eqNullSafe(right[f"_k_{k}"]) for k in keys if k != "model_id"]
-    return tagged.join(right, on=cond, how="left").select(*rows.columns, out, *extra)
-
-
-def score_pure_premium(rows: DataFrame, coefs: DataFrame, params: DataFrame, factors,
-                       freq_family: str, model_id=0, out: str = "pred_loss") -> DataFrame:
-    """Adds ``out`` to ``rows``: the pure premium of model ``model_id``
-    (an int, or a column name such as 'fold' for out-of-fold scoring)."""
-    table = score_table([(rows, model_id)], coefs, params, factors, freq_family)
-    return attach_score(rows, table, factors, model_id, out)
+    pairs = [(k, k) if isinstance(k, str) else k for k in keys]
+    right = small(table.select(*[F.col(t).alias(f"_k{i}") for i, (_, t) in enumerate(pairs)], *columns))
+    cond = [rows[r].eqNullSafe(right[f"_k{i}"]) for i, (r, _) in enumerate(pairs)]
+    return rows.join(right, on=cond, how="left").select(*[rows[c] for c in rows.columns], *[right[c] for c in columns])

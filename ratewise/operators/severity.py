@@ -1,10 +1,12 @@
 """Severity cap and partial uncapping, per (coverage, model_id).
 
 The cap is a percentile of the claimants' severities in each model's own
-training rows (model 0 = all folds, model m = all folds but m), so the
-claimant rows are joined to the fold-membership table (K·K rows, broadcast)
-and the per-model aggregates run after that join inside the same stage: the
-replicated rows are combined map-side and never shuffled as such.
+training rows (model 0 = all folds, model m = all folds but m). Claimant rows
+are counted once: every distinct severity of a coverage carries its count per
+fold, and model m's counts are the total less fold m's. The values are sorted
+once for the quantiles of all models, and one further pass over the claimants
+sums the capped severities under every model's cap side by side, by fold and
+factor levels; a model's sums are those of its folds.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ratewise import config as C
 from ratewise.functions.nulls import least_strict, safe_div
-from ratewise.operators.quantile import exact_quantile
-from ratewise.session import keep, small
+from ratewise.operators.quantile import weighted_quantiles
+from ratewise.session import materialize, small
+
+#: severity response -> the column whose positive value marks a claimant
+CLAIMANT = {"total_paid": "total_paid", "avg_paid": "claim_n"}
 
 
 def by_coverage(coverage_col, gm, liab, other) -> F.Column:
@@ -31,36 +36,83 @@ def uncap_alpha(c="coverage"):
     return by_coverage(c, C.GM_UNCAP_ALPHA, C.LIAB_UNCAP_ALPHA, C.UNCAP_ALPHA)
 
 
-def severity_params(folds: DataFrame, membership: DataFrame, y: str, pos_col: str,
-                    min_pos: int = C.MIN_POS_FOR_CAP) -> DataFrame:
-    """(coverage, model_id): n, n_pos, capped, cap (+inf when not capped), uncap_adj.
+def claimant_rows(folds: DataFrame, responses, factors) -> DataFrame:
+    """(response, coverage, fold, factors, y): a claimant once for each severity response asked for."""
+    each = [F.when(F.col(CLAIMANT[r]) > 0, F.struct(F.lit(r).alias("response"), F.col(r).cast("double").alias("y"))) for r in responses]
+    rows = folds.select("coverage", "fold", *factors, F.explode(F.array(*each)).alias("_r")).filter("_r IS NOT NULL")
+    return rows.select("_r.response", "coverage", "fold", *factors, "_r.y")
+
+
+def severity_caps(claimants: DataFrame, exposures: DataFrame, k: int, min_pos: int = C.MIN_POS_FOR_CAP) -> DataFrame:
+    """(response, coverage, n, n_pos, cap): arrays over the models 0 to k; cap is +inf where the model has too few claimants.
+
+    claimants  ``claimant_rows``
+    exposures  (coverage, fold, n): exposure rows
+    """
+    models = range(k + 1)
+    in_fold = [F.count_if(F.col("fold") == f).alias(f"_f{f}") for f in range(1, k + 1)]
+    whole = sum((F.col(f"_f{f}") for f in range(1, k + 1)), F.lit(0))
+    model = [whole.alias("m0"), *[(whole - F.col(f"_f{m}")).alias(f"m{m}") for m in range(1, k + 1)]]
+    good = F.col("y").isNotNull() & ~F.isnan("y")
+    counted = claimants.filter(good).groupBy("response", "coverage", "y").agg(*in_fold).select("response", "coverage", "y", *model)
+    names = [f"m{m}" for m in models]
+    q = weighted_quantiles(counted, ["response", "coverage"], "y", names, sev_cap_prob())
+    pos = claimants.groupBy("response", "coverage").agg(*in_fold).select("response", "coverage", *[x.alias(f"p{m}") for m, x in enumerate(model)])
+    n = exposures.groupBy("coverage").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"_f{f}") for f in range(1, k + 1)])
+    n = n.select("coverage", *[x.alias(f"e{m}") for m, x in enumerate(model)])
+    out = n.join(pos, "coverage", "left").join(q, ["response", "coverage"], "left")
+    n_pos = [F.coalesce(F.col(f"p{m}"), F.lit(0)) for m in models]
+    cap = [F.when(n_pos[m] >= min_pos, F.col(f"q_m{m}")).otherwise(F.lit(float("inf"))) for m in models]
+    return out.select("response", "coverage", F.array(*[F.col(f"e{m}") for m in models]).alias("n"),
+                      F.array(*n_pos).alias("n_pos"), F.array(*cap).alias("cap"))
+
+
+def capped_cells(claimants: DataFrame, caps: DataFrame, factors, k: int) -> DataFrame:
+    """(response, coverage, fold, factors, model_id, n, mean, m2, y_all, y_raw, rows) for the models that use the fold.
+
+    n, mean, m2  count, mean and centred sum of squares of the capped severities above 0
+    y_all        sum of all capped severities; y_raw: of the uncapped ones; rows: of how many
+    """
+    rows = claimants.join(small(caps).select("response", "coverage", "cap"), ["response", "coverage"])
+    aggs = []
+    for m in range(k + 1):
+        y = least_strict("y", F.get("cap", F.lit(m)))
+        pos = F.when(y > 0, y)
+        aggs.append(F.struct(F.lit(m).alias("model_id"), F.count(pos).alias("n"), F.avg(pos).alias("mean"),
+                             (F.var_pop(pos) * F.count(pos)).alias("m2"), F.sum(y).alias("y_all")).alias(f"_m{m}"))
+    good = F.when(~F.isnan("y"), F.col("y"))
+    g = rows.groupBy("response", "coverage", "fold", *factors).agg(*aggs, F.sum(good).alias("y_raw"), F.count(good).alias("rows"))
+    g = g.select("response", "coverage", "fold", *factors, "y_raw", "rows", F.explode(F.array(*[f"_m{m}" for m in range(k + 1)])).alias("_m"))
+    g = g.filter((F.col("_m.model_id") == 0) | (F.col("_m.model_id") != F.col("fold")))
+    return g.select("response", "coverage", "fold", *factors, "_m.*", "y_raw", "rows")
+
+
+def uncap_params(caps: DataFrame, capped: DataFrame) -> DataFrame:
+    """(response, coverage, model_id): n, n_pos, capped, cap (+inf when not capped), uncap_adj."""
+    long = caps.select("response", "coverage", F.posexplode(F.arrays_zip("n", "n_pos", "cap")).alias("model_id", "_z"))
+    long = long.select("response", "coverage", "model_id", "_z.*").withColumn("capped", F.col("cap") != float("inf"))
+    means = capped.groupBy("response", "coverage", "model_id").agg(
+        F.try_divide(F.sum("y_raw"), F.sum("rows")).alias("_m"), F.try_divide(F.sum("y_all"), F.sum("rows")).alias("_mc"))
+    out = long.join(means, ["response", "coverage", "model_id"], "left")
+    full = F.when(F.col("capped") & ~F.isnan("cap"), safe_div("_m", "_mc")).otherwise(F.lit(1.0))
+    return out.select("response", "coverage", "model_id", "n", "n_pos", F.coalesce("capped", F.lit(True)).alias("capped"), "cap",
+                      F.pow(full, uncap_alpha()).alias("uncap_adj"))
+
+
+def severity_tables(folds: DataFrame, exposures: DataFrame, responses, factors, k: int,
+                    min_pos: int = C.MIN_POS_FOR_CAP) -> tuple[DataFrame, DataFrame]:
+    """``capped_cells`` (written) and ``uncap_params`` of every response and model.
 
-    y        severity column (total_paid or avg_paid)
-    pos_col  claimants are rows with pos_col > 0
+    Coverages without claimants have parameters for every response, with no cap.
     """
-    rep = folds.select("coverage", "fold", y, pos_col).join(membership, on="fold")
-    ispos = F.col(pos_col) > 0
-    counts = keep(rep.groupBy("coverage", "model_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(ispos).alias("n_pos"),
-        F.count_if(ispos & F.col(y).isNotNull() & ~F.isnan(y)).alias("_n"),
-        F.first(sev_cap_prob()).alias("_p")))
-    pos = rep.filter(ispos)
-    q = exact_quantile(pos, ["coverage", "model_id"], y, sev_cap_prob(), out="_q", group_stats=counts).drop("n")
-    counts = counts.drop("_n", "_p")
-    caps = counts.join(q, on=["coverage", "model_id"], how="left").withColumn(
-        "capped", F.col("n_pos") >= min_pos).withColumn(
-        "cap", F.when(F.col("capped"), F.col("_q")).otherwise(F.lit(float("inf")))).drop("_q")
-    caps = keep(caps)
-    means = pos.join(small(caps).select("coverage", "model_id", "cap"),
-                     on=["coverage", "model_id"]).groupBy("coverage", "model_id").agg(
-        F.avg(y).alias("_m"), F.avg(least_strict(y, "cap")).alias("_mc"))
-    out = caps.join(means, on=["coverage", "model_id"], how="left")
-    uncap_full = F.when(F.col("capped") & ~F.isnan(F.col("cap")) & (F.col("cap") != float("inf")),
-                        safe_div("_m", "_mc")).otherwise(F.lit(1.0))
-    return out.select("coverage", "model_id", "n", "n_pos", "capped", "cap",
-                      F.pow(uncap_full, uncap_alpha()).alias("uncap_adj"))
-
-
-def capped_severity(y: str, pos_col: str, cap: str = "cap") -> F.Column:
-    """Capped severity: min(y, cap) for claimants, 0 otherwise."""
-    return F.when(F.col(pos_col) > 0, least_strict(y, cap)).otherwise(F.lit(0.0))
+    rows = claimant_rows(folds, responses, factors)
+    caps = severity_caps(rows, exposures, k, min_pos)
+    every = F.explode(F.array(*[F.lit(r) for r in responses]))
+    none = exposures.select("coverage").distinct().select(every.alias("response"), "coverage")
+    bare = caps.select("coverage", "n").groupBy("coverage").agg(F.max("n").alias("_n"))
+    caps = none.join(bare, "coverage").join(caps.drop("n"), ["response", "coverage"], "left")
+    inf = F.array(*[F.lit(float("inf"))] * (k + 1))
+    zero = F.array(*[F.lit(0).cast("long")] * (k + 1))
+    caps = materialize(caps.select("response", "coverage", F.col("_n").alias("n"), F.coalesce("n_pos", zero).alias("n_pos"), F.coalesce("cap", inf).alias("cap")), "severity-caps")
+    capped = materialize(capped_cells(rows, caps, factors, k), "severity-cells")
+    return capped, uncap_params(caps, capped)

@@ -1,12 +1,14 @@
-"""The whole pricing job for one variant, and the comparison of variants.
-
-Shuffles of the big data: (1) rollup on (student, coverage), (2) fold rank
-window on (coverage, hash bucket); everything else on the big tables is
-map-side (broadcast joins to size-checked lookup tables, partial aggregates
-of small outputs), apart from (3) the student totals. Lineage is cut with
-parquet in the shared scratch folder at the exposure table, the folds, the
-fitted coefficients, the scored cells and the scored training rows; the
-small per-coverage/per-tier tables downstream of those are cached.
+"""The whole pricing job, for one variant or for several in the same plans.
+
+Rows are read four times: for the rollup, for the folds, for the cells (twice:
+all rows, then claimants under the caps), and for the premiums at the end. Two
+tables as wide as the rows are written: the exposures and the training rows with
+their folds. All else runs on weighted cells (coverage, factor levels), with the
+variant as one more key: fits, out-of-fold calibration, prediction caps, blend,
+base losses, relativities and premiums. A row meets its cell's premiums in one
+join, a broadcast as long as Spark finds the cells' file small. Tables that are
+used again are written: a lost executor reads files instead of running the fits
+anew, plans stay short, and nothing stays cached.
 """
 
 from __future__ import annotations
@@ -14,55 +16,134 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ratewise.config import M1, M2, M3, Variant
+from ratewise.config import FACTORS_M1, M1, M2, M3, Variant
 from ratewise.functions.features import band_distance, band_gpa, clean_category
 from ratewise.operators import calibrate as cal
 from ratewise.operators import rating as rt
-from ratewise.operators.cells import design_cells, model_levels
+from ratewise.operators.cells import base_cells, design_cells, model_levels, spread
 from ratewise.operators.dispersion import dispersion_table
 from ratewise.operators.exposure import claim_indicator, exposure_rollup
 from ratewise.operators.folds import assign_folds, fold_membership
 from ratewise.operators.glm import check_fits, fit_models
 from ratewise.operators.levels import align_levels, factor_levels, split_holdout
-from ratewise.operators.scoring import attach_score, coefficient_lookup, score_table
-from ratewise.operators.severity import severity_params
-from ratewise.session import keep, materialize, small
+from ratewise.operators.scoring import attach, check_unseen, coefficient_lookup, score_cells
+from ratewise.operators.severity import severity_tables
+from ratewise.operators.weighted import ANY
+from ratewise.session import materialize, settled
+from ratewise.sources.sinks import write_premiums
+
+ROW_PRICES = ("pred_loss", "pred_loss_cal", "pred_loss_cap", "pred_loss_final")
+RELATIVITIES = ("relativity_raw", "relativity_shrunk", "relativity_cap", "final_prem_renew", "final_prem_new")
+
+
+def build_exposure(claims: DataFrame, v: Variant | None = None) -> DataFrame:
+    """The exposure table. Without a variant it carries every column any
+    variant needs (gpa, claim_n, avg_paid, has_claim), so one rollup serves
+    all three."""
+    if v is None:
+        return claim_indicator(exposure_rollup(claims, "count", True))
+    return claim_indicator(exposure_rollup(claims, v.rollup_mode, v.with_gpa))
+
+
+def _columns(name: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(c for v in (M1, M2, M3) for c in getattr(v, name)))
+
+
+def prepare(df: DataFrame) -> DataFrame:
+    """Clean categories to 'Unknown' and add the bands, of every column that any variant uses."""
+    return band_gpa(band_distance(clean_category(df, _columns("clean_cols"))))
 
 
 @dataclass
-class PricingRun:
-    variant: Variant
+class Book:
+    """What all variants share of one claims table: the exposures, the training rows with
+    their folds, the levels, and the cells of both sets. Make one with ``open_book``."""
+
     exposure: DataFrame
     train: DataFrame
     test: DataFrame
     levels: DataFrame
     folds: DataFrame
+    base: DataFrame
+    test_cells: DataFrame
+    k_folds: int
+    fold_seed: int
+    factors: tuple[str, ...] = FACTORS_M1
+
+
+def open_book(claims: DataFrame, k_folds: int = M1.k_folds, fold_seed: int = M1.fold_seed) -> Book:
+    exposure = materialize(build_exposure(claims), "exposure")
+    train, test = [prepare(df) for df in split_holdout(exposure)]
+    folds = materialize(assign_folds(train, k_folds, fold_seed), "folds")
+    levels = materialize(factor_levels(folds, _columns("align_cols")), "levels")
+    test = align_levels(test, levels, _columns("align_cols"))
+    base = materialize(base_cells(folds, FACTORS_M1), "base-cells")
+    held = test.groupBy("coverage", *FACTORS_M1).agg(F.count(F.lit(1)).alias("n"), F.sum("total_paid").alias("total_paid"))
+    return Book(exposure, train, test, levels, folds, base, materialize(held, "test-cells"), k_folds, fold_seed)
+
+
+@dataclass
+class PricingRun:
+    """Tables of one variant: small ones as computed, rows joined to their cells on use."""
+
+    variant: Variant
+    book: Book
     params: DataFrame
     cells: DataFrame
     coefs: DataFrame
-    oof: DataFrame
-    scored_parts: DataFrame
+    lookup: DataFrame
+    oof_cells: DataFrame
+    train_cells: DataFrame
+    held_cells: DataFrame
     calibration: DataFrame
     pred_caps: DataFrame
     tier_means: DataFrame
-    scored_train: DataFrame
-    scored_test: DataFrame
     holdout_check: DataFrame
     tier_base: DataFrame
     coverage_mean: DataFrame
     base_loss: DataFrame
     pricing_table: DataFrame
-    priced: DataFrame
-    student_totals: DataFrame
-    lookup: DataFrame
 
-    # report tables: built on first use only
-    @cached_property
+    exposure = property(lambda self: self.book.exposure)
+    train = property(lambda self: self.book.train)
+    test = property(lambda self: self.book.test)
+    levels = property(lambda self: self.book.levels.filter(F.col("factor").isin(list(self.variant.align_cols))))
+    folds = property(lambda self: self.book.folds)
+
+    def _rows(self, rows: DataFrame, cells: DataFrame, columns, *keys) -> DataFrame:
+        return attach(rows, cells, ["coverage", *self.variant.factors, *keys], list(columns))
+
+    @property
+    def oof(self) -> DataFrame:
+        """Training rows with the prediction of the model that didn't see their fold."""
+        return self._rows(self.folds, self.oof_cells, ["oof_pred"], "fold")
+
+    @property
+    def scored_parts(self) -> DataFrame:
+        return self._rows(self.folds, self.train_cells, ["pred_loss", "mu_freq", "mu_sev"])
+
+    @property
+    def scored_train(self) -> DataFrame:
+        return self._rows(self.folds, self.train_cells, ROW_PRICES)
+
+    @property
+    def scored_test(self) -> DataFrame:
+        return self._rows(self.test, self.held_cells, ROW_PRICES)
+
+    @property
+    def priced(self) -> DataFrame:
+        return self._rows(self.folds, self.train_cells, (*ROW_PRICES, *RELATIVITIES))
+
+    @property
+    def student_totals(self) -> DataFrame:
+        return rt.student_totals(self.priced)
+
+    @property
     def cap_stats(self) -> DataFrame:
-        return rt.cap_stats(self.priced)
+        return rt.cap_stats(self.train_cells, "n")
 
     @cached_property
     def tier_summary(self) -> DataFrame:
@@ -77,112 +158,105 @@ class PricingRun:
         v = self.variant
         if not v.with_dispersion:
             return None
-        return dispersion_table(self.cells, self.coefs, self.params, v.factors, v.freq_family,
-                                lookup=self.lookup)
+        return dispersion_table(self.cells, self.coefs, self.params, v.factors, v.freq_family, lookup=self.lookup)
 
-
-def build_exposure(claims: DataFrame, v: Variant | None = None) -> DataFrame:
-    """The exposure table. Without a variant it carries every column any
-    variant needs (gpa, claim_n, avg_paid, has_claim), so one rollup serves
-    all three."""
-    if v is None:
-        return claim_indicator(exposure_rollup(claims, "count", True))
-    return claim_indicator(exposure_rollup(claims, v.rollup_mode, v.with_gpa))
+    def write(self, path: str, fmt: str = "csv") -> None:
+        """The premium file. Null row premiums (which sums skip) and null totals stop the job; an
+        earlier file then stays as it was. The rows are priced once: checks watch that same pass."""
+        seen = Observation("row premiums")
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in ("final_prem_renew", "final_prem_new")]
+        write_premiums(rt.student_totals(self.priced.observe(seen, *nulls)), path, fmt, checks=(seen,))
 
 
-def prepare(df: DataFrame, v: Variant | None = None) -> DataFrame:
-    """Clean categories to 'Unknown' and add the bands.
+def price_all(book: Book, variants, on_unseen: str = "null") -> dict[str, PricingRun]:
+    """The pricing job of several variants (all with the book's folds) in one set of plans.
 
-    Without a variant, every column any variant cleans is cleaned and both
-    bands are added: the columns a variant does not use are never read by
-    it, so one prepared training table (and its folds) serves all variants.
+    on_unseen  what a level means that one coverage's or fold's model hasn't seen: 'null', no
+               prediction; 'error', stop and name the (variant, coverage, model, level) cases
     """
-    cols = v.clean_cols if v is not None else tuple(dict.fromkeys(
-        c for var in (M1, M2, M3) for c in var.clean_cols))
-    out = band_distance(clean_category(df, cols))
-    return band_gpa(out) if (v is None or v.with_gpa) else out
+    variants = tuple(variants)
+    if len({v.name for v in variants}) < len(variants):
+        raise ValueError("variants need different names")
+    for v in variants:
+        if (v.k_folds, v.fold_seed) != (book.k_folds, book.fold_seed):
+            raise ValueError(f"{v.name} has other folds than the book")
+    if on_unseen not in ("null", "error"):
+        raise ValueError("on_unseen is 'null' or 'error'")
+    spark, factors, k = book.base.sparkSession, list(book.factors), book.k_folds
+    member = fold_membership(spark, k)
+    responses = list(dict.fromkeys(v.sev_response for v in variants))
+    families = {v.name: v.freq_family for v in variants}
 
+    capped, by_response = severity_tables(book.folds, book.base.select("coverage", "fold", "n"), responses, factors, k)
+    own = F.explode(F.filter(F.array(*[F.struct(F.lit(v.name).alias("variant"), F.lit(v.sev_response).alias("r")) for v in variants]),
+                             lambda x: x["r"] == F.col("response")))
+    params = materialize(by_response.withColumn("_v", own).select("_v.variant", *[c for c in by_response.columns if c != "response"]), "params")
+    cells = materialize(design_cells(book.base, capped, member, variants, factors), "design-cells")
+    names = {v.name: list(v.factors) for v in variants}
+    seen = model_levels(cells, factors, ("variant", "coverage", "model_id", "part")).filter(F.col("level") != ANY)
+    coefs = materialize(fit_models(cells, seen, names, families), "coefs")
+    check_fits(coefs)
+    lookup = materialize(coefficient_lookup(coefs), "lookup")
 
-def price(claims: DataFrame, v: Variant, exposure: DataFrame | None = None,
-          shared: dict | None = None) -> PricingRun:
-    """The whole pricing job for variant ``v``.
+    # cells to score: training cells by the model without their fold and by model 0, held-out ones by model 0
+    train = book.base.select("coverage", "fold", *factors, "n", "n_pos", "total_paid")
+    model0 = train.groupBy("coverage", *factors).agg(*[F.sum(c).alias(c) for c in ("n", "n_pos", "total_paid")])
+    kinds = [("oof", train, F.col("fold")), ("train", model0, F.lit(0)), ("test", book.test_cells, F.lit(0))]
+    todo = None
+    for name, table, model in kinds:
+        part = table.select(F.lit(name).alias("kind"), "coverage", model.cast("int").alias("model_id"), *factors, "n",
+                            F.col("n_pos") if "n_pos" in table.columns else F.lit(None).cast("long").alias("n_pos"), "total_paid")
+        todo = part if todo is None else todo.unionByName(part)
+    todo = spread(todo, variants, factors)
+    group = ["variant", "kind", "coverage", "model_id", *factors]
+    todo = todo.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("n", "n_pos", "total_paid")])
+    scored = materialize(score_cells(todo, coefs, params, factors, families, lookup), "scored-cells")
+    if on_unseen == "error":
+        check_unseen(scored)
 
-    ``shared`` (optional dict) lets runs on the same exposure table reuse
-    the folds and, for the same severity response, the severity parameters.
-    """
-    spark = claims.sparkSession
-    shared = {} if shared is None else shared
-    if exposure is None:
-        if shared.get("exposure") is None:
-            shared["exposure"] = materialize(build_exposure(claims), "exposure")
-        exposure = shared["exposure"]
-    shared[("ref", id(exposure))] = exposure  # keeps the id-based keys below unambiguous
-    train, test = split_holdout(exposure)
-    train, test = prepare(train), prepare(test)
-    lkey = ("levels", id(exposure))
-    if lkey not in shared:  # levels of every column any variant aligns, one pass
-        shared[lkey] = keep(factor_levels(train, tuple(dict.fromkeys(
-            c for var in (M1, M2, M3) for c in var.align_cols))))
-    levels = keep(shared[lkey].filter(F.col("factor").isin(list(v.align_cols))))
-    test = align_levels(test, levels, v.align_cols)
-
-    fkey = ("folds", id(exposure), v.k_folds, v.fold_seed)
-    if fkey not in shared:
-        shared[fkey] = materialize(assign_folds(train, v.k_folds, v.fold_seed), "folds")
-    folds = shared[fkey]
-    member = fold_membership(spark, v.k_folds)
-    pkey = ("params", fkey, v.sev_response, v.pos_column)
-    if pkey not in shared:
-        shared[pkey] = keep(severity_params(folds, member, v.sev_response, v.pos_column))
-    params = shared[pkey]
-    cells = keep(design_cells(folds, member, params, v.factors, v.freq_response,
-                              v.sev_response, v.pos_column))
-    coefs = small(materialize(fit_models(cells, model_levels(cells, v.factors), v.factors, v.freq_family),
-                              "coefs"))
+    drop = ("kind", "model_id", "uncap_adj", "unseen")
+    oof = scored.filter("kind = 'oof'").withColumnsRenamed({"model_id": "fold", "pure": "oof_pred"}).drop("kind", "uncap_adj", "unseen")
+    calibration = materialize(cal.calibration_factor(oof, weight="n"), "calibration")
+    both = scored.filter("kind <> 'oof'").withColumnRenamed("pure", "pred_loss").drop(*drop[1:])
+    both = materialize(cal.apply_calibration(both, calibration), "calibrated")
+    train, test = both.filter("kind = 'train'"), both.filter("kind = 'test'")
+    caps = materialize(cal.prediction_cap(train, {v.name: v.min_n_mode for v in variants}, weight="n"), "prediction-caps")
+    both = cal.apply_prediction_cap(both, caps)
+    tmeans = materialize(cal.tier_mean(both.filter("kind = 'train'"), weight="n"), "tier-means")
+    both = materialize(cal.blend_to_tier(both, tmeans), "final-cells")
+    train, test = [both.filter(F.col("kind") == x).drop("kind") for x in ("train", "test")]
 
-    check_fits(coefs)
+    hold = rt.holdout_check(test, weight="n")
+    tbase, cmean = rt.tier_and_coverage_means(train, weight="n")
+    smooth = rt.credibility_smooth(tbase, cmean)
+    plain = rt.credibility_smooth(tbase, cmean, on=False)
+    on = F.col("variant").isin([v.name for v in variants if v.cred_smooth])
+    base = smooth.filter(on).unionByName(plain.filter(~on))
+    ptable = materialize(rt.pricing_table(base), "pricing-table")
+    priced = materialize(rt.row_premiums(rt.relativity(train, tbase), ptable), "priced-cells")
+
+    def of(v: Variant, table: DataFrame) -> DataFrame:
+        unused = [f for f in factors if f not in v.factors and f in table.columns and f != "risk_tier"]
+        return settled(table.filter(F.col("variant") == v.name).drop("variant", *unused))
 
-    # one scored-cell table serves the out-of-fold, training and test scoring
-    lookup = keep(coefficient_lookup(coefs))
-    table = score_table([(folds, "fold"), (folds, 0), (test, 0)], coefs, params, v.factors,
-                        v.freq_family, lookup)
-    # out-of-fold and model-0 predictions of the training rows in one pass
-    oof = materialize(attach_score(attach_score(folds, table, v.factors, model_id="fold", out="oof_pred"),
-                                   table, v.factors, 0), "pred_train")
-    scored_parts = attach_score(folds, table, v.factors, 0, parts=True)
-    calib = keep(cal.calibration_factor(oof))
-
-    pred_train = cal.apply_calibration(oof.drop("oof_pred"), calib)
-    pred_test = cal.apply_calibration(attach_score(test, table, v.factors, 0), calib)
-
-    caps = keep(cal.prediction_cap(pred_train, v.min_n_mode))
-    pred_train = cal.apply_prediction_cap(pred_train, caps)
-    pred_test = cal.apply_prediction_cap(pred_test, caps)
-    tmeans = keep(cal.tier_mean(pred_train))
-    pred_train = materialize(cal.blend_to_tier(pred_train, tmeans), "scored_train")
-    pred_test = cal.blend_to_tier(pred_test, tmeans)
-
-    hold = rt.holdout_check(pred_test)
-    tb, cm = rt.tier_and_coverage_means(pred_train)
-    tbase, cmean = keep(tb), keep(cm)
-    base = rt.credibility_smooth(tbase, cmean, on=v.cred_smooth)
-    ptable = keep(rt.pricing_table(base))
-    priced = rt.row_premiums(rt.relativity(pred_train, tbase), ptable)
-    totals = rt.student_totals(priced)
-    return PricingRun(
-        variant=v, exposure=exposure, train=train, test=test, levels=levels, folds=folds,
-        params=params, cells=cells, coefs=coefs, oof=oof, scored_parts=scored_parts, calibration=calib,
-        pred_caps=caps, tier_means=tmeans, scored_train=pred_train, scored_test=pred_test, holdout_check=hold,
-        tier_base=tbase, coverage_mean=cmean, base_loss=base, pricing_table=ptable, priced=priced,
-        student_totals=totals, lookup=lookup)
+    return {v.name: PricingRun(
+        variant=v, book=book, params=of(v, params), cells=of(v, cells), coefs=of(v, coefs), lookup=of(v, lookup),
+        oof_cells=of(v, oof), train_cells=of(v, priced), held_cells=of(v, test), calibration=of(v, calibration), pred_caps=of(v, caps),
+        tier_means=of(v, tmeans), holdout_check=of(v, hold), tier_base=of(v, tbase), coverage_mean=of(v, cmean), base_loss=of(v, base),
+        pricing_table=of(v, ptable)) for v in variants}
+
+
+def price(claims: DataFrame, v: Variant, on_unseen: str = "null") -> PricingRun:
+    """The whole pricing job for variant ``v``."""
+    return price_all(open_book(claims, v.k_folds, v.fold_seed), [v], on_unseen)[v.name]
 
 
 def compare_variants(claims: DataFrame, variants) -> DataFrame:
-    """Holdout ratio per coverage and variant, one union of the three checks
-    (one rollup shared by the variants)."""
-    shared: dict = {}
+    """Holdout check per coverage and variant: one rollup and one set of plans for all of them."""
+    variants = list(variants)
+    runs = price_all(open_book(claims, variants[0].k_folds, variants[0].fold_seed), variants)
     out = None
-    for v in variants:
-        h = price(claims, v, shared=shared).holdout_check.withColumn("variant", F.lit(v.name))
+    for name, run in runs.items():
+        h = run.holdout_check.withColumn("variant", F.lit(name))
         out = h if out is None else out.unionByName(h)
     return out

@@ -26,9 +26,8 @@ from ratewise.operators.glm import INTERCEPT, fit_models
 from ratewise.operators.levels import _stack, factor_levels, split_holdout
 from ratewise.operators.scoring import score_cells
 from ratewise.plans import oracle as O
-from ratewise.plans.pipeline import PricingRun, build_exposure, price
+from ratewise.plans.pipeline import Book, PricingRun, build_exposure, open_book, price_all
 from ratewise.session import keep, materialize, scratch_dir, small
-from ratewise.sources import write_premiums
 from ratewise.sources.claims import NUMBER_PATTERN, fixture_claims, load_claims, parse_amount_col
 
 ONE = ("risk_tier",)
@@ -49,22 +48,26 @@ def _sk(spark: SparkSession):
     return (id(spark), app)
 
 
-def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One materialised rollup per (session, data folder), shared by all variants."""
-    k = (_sk(spark), os.path.abspath(sf_dir), "exposure")
+def book(spark: SparkSession, sf_dir: str) -> Book:
+    """One book (rollup, folds, cells) per (session, data folder), shared by all variants."""
+    k = (_sk(spark), os.path.abspath(sf_dir), "book")
     if k not in _RUNS:
-        _RUNS[k] = materialize(build_exposure(fixture_claims(spark, sf_dir)), "exposure")
+        _RUNS[k] = open_book(fixture_claims(spark, sf_dir))
     return _RUNS[k]
 
 
+def runs(spark: SparkSession, sf_dir: str, keys) -> dict[str, PricingRun]:
+    """The runs of several variants; those not made yet are made in one set of plans."""
+    at = {key: (_sk(spark), os.path.abspath(sf_dir), key) for key in keys}
+    missing = {key: variant_of(key) for key, k in at.items() if k not in _RUNS}
+    if missing:
+        made = price_all(book(spark, sf_dir), missing.values())
+        _RUNS.update({at[key]: made[v.name] for key, v in missing.items()})
+    return {key: _RUNS[k] for key, k in at.items()}
+
+
 def run(spark: SparkSession, sf_dir: str, key: str) -> PricingRun:
-    k = (_sk(spark), os.path.abspath(sf_dir), key)
-    if k not in _RUNS:
-        claims = fixture_claims(spark, sf_dir)
-        sk = (_sk(spark), os.path.abspath(sf_dir), "shared")
-        shared = _RUNS.setdefault(sk, {"exposure": exposure(spark, sf_dir)})
-        _RUNS[k] = price(claims, variant_of(key), shared=shared)
-    return _RUNS[k]
+    return runs(spark, sf_dir, [key])[key]
 
 
 # Values built from the 6-decimal amounts can lie exactly on a rounding tie,
@@ -316,7 +319,8 @@ SELECT coverage, model_id, 'sev' AS part, {', '.join(FM2)}, count(*) AS n,
 FROM mrows2 WHERE y_cap > 0 GROUP BY ALL"""))
 def q_design_cells(spark, sf):
     c = run(spark, sf, "m2").cells
-    return c.select("coverage", "model_id", "part", *FM2, "n", r("sy", 4), r("sy2", 2))
+    sy2 = F.col("m2") + F.col("sy") * F.col("sy") / F.col("n")
+    return c.select("coverage", "model_id", "part", *FM2, "n", r("sy", 4), r(sy2, 2, "sy2"))
 
 
 def _score_sums(rn: PricingRun, part: str) -> DataFrame:
@@ -577,8 +581,7 @@ def q_dispersion(spark, sf):
     + ")"))
 def q_compare_1f(spark, sf):
     out = None
-    for key in ("m1_1f", "m2_1f", "m3_1f"):
-        rn = run(spark, sf, key)
+    for rn in runs(spark, sf, ("m1_1f", "m2_1f", "m3_1f")).values():
         h = rn.holdout_check.select(F.lit(rn.variant.name).alias("variant"), "coverage", r("ratio", 6))
         out = h if out is None else out.unionByName(h)
     return out
@@ -602,7 +605,7 @@ for _key in C.VARIANTS:
 def q_write_premiums(spark, sf):
     """Student totals written as the premium file and read back."""
     path = os.path.join(scratch_dir(spark), f"premiums-{uuid.uuid4().hex[:12]}")
-    write_premiums(run(spark, sf, "m2_1f").student_totals, path)
+    run(spark, sf, "m2_1f").write(path)
     back = spark.read.schema("student_id bigint, risk_tier string, total_renew double, total_new double").option("header", True).csv(path)
     return back.select("student_id", "risk_tier", r("total_renew", 4), r("total_new", 4))
 
@@ -616,8 +619,7 @@ SQL["write_premiums"] = SQL["student_totals"]
     for k, v in C.VARIANTS.items()))
 def q_compare(spark, sf):
     out = None
-    for key in ("m1", "m2", "m3"):
-        rn = run(spark, sf, key)
+    for key, rn in runs(spark, sf, ("m1", "m2", "m3")).items():
         h = rn.holdout_check.select(F.lit(key).alias("variant"), "coverage", r("actual", 6), r("pred_c", 4),
                                     r("ratio", 6))
         out = h if out is None else out.unionByName(h)

@@ -76,7 +76,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     if os.environ.get("RATEWISE_TRACE"):
         print(f"[materialize] {name}: {time.time() - t:.2f}s", file=sys.stderr)
-    return spark.read.parquet(path)
+    return settled(spark.read.parquet(path))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Mark a table read from files: Spark knows its bytes and broadcasts it if they are few, so ``small`` adds nothing."""
+    df._rw_settled = True
+    return df
 
 
 def _checked(df: DataFrame, n: int, max_rows: int) -> DataFrame:
@@ -105,11 +111,12 @@ def keep(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
 def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint behind a row-count check.
 
-    Callers pass lookup tables that are already materialised, so the count is
-    a cheap job; tables from ``keep``/``small`` carry their count already.
+    A table written by ``materialize`` is left as it is: its bytes are known to Spark, which
+    broadcasts it within ``spark.sql.autoBroadcastJoinThreshold``. Tables from
+    ``keep``/``small`` carry their count already; others are counted.
     Above the bound the table is returned unhinted and the planner decides
     (sort-merge join, or AQE's runtime size check).
     """
-    if getattr(df, "_rw_rows", None) is not None:
+    if getattr(df, "_rw_settled", False) or getattr(df, "_rw_rows", None) is not None:
         return df
     return _checked(df, df.count(), max_rows)
