@@ -14,7 +14,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratewise import config as C
@@ -133,14 +133,14 @@ def q_load_claims(spark, sf):
     """Fixture written as CSV to the scratch folder, read back with the fixed schema."""
     path = os.path.join(scratch_dir(spark), f"claims-csv-{uuid.uuid4().hex[:12]}")
     fixture_claims(spark, sf).write.option("header", True).csv(path)
-    return load_claims(spark, path, "csv")
+    return load_claims(spark, path, "csv", numeric_ids=True)
 
 
-def _csv_copy(spark, claims: DataFrame) -> DataFrame:
+def _csv_copy(spark, claims: DataFrame, numeric_ids: bool = True) -> DataFrame:
     """``claims`` written as CSV to the scratch folder and loaded again."""
     path = os.path.join(scratch_dir(spark), f"claims-csv-{uuid.uuid4().hex[:12]}")
     claims.write.option("header", True).csv(path)
-    return load_claims(spark, path, "csv")
+    return load_claims(spark, path, "csv", numeric_ids)
 
 
 @query("load_claims_reordered", O.base_sql(f"SELECT {CLAIM_COLS} FROM claims"))
@@ -154,7 +154,31 @@ def q_load_claims_reordered(spark, sf):
     "SELECT " + CLAIM_COLS.replace("student_id", "'S' || student_id AS student_id") + " FROM claims"))
 def q_load_claims_text_ids(spark, sf):
     """Text student ids stay text."""
-    return _csv_copy(spark, fixture_claims(spark, sf).withColumn("student_id", F.concat(F.lit("S"), "student_id")))
+    return _csv_copy(spark, fixture_claims(spark, sf).withColumn("student_id", F.concat(F.lit("S"), "student_id")), False)
+
+
+@query("load_claims_padded_ids", O.base_sql(
+    "SELECT " + CLAIM_COLS.replace("student_id", "CASE student_id % 3 WHEN 0 THEN lpad(student_id::VARCHAR, 9, '0') WHEN 1 THEN '+' || student_id "
+                                   "ELSE student_id::VARCHAR END AS student_id") + " FROM claims"))
+def q_load_claims_padded_ids(spark, sf):
+    """Ids that all look like numbers are still what the file says."""
+    i = F.col("student_id")
+    text = i.cast("string")
+    padded = F.when(i % 3 == 0, F.lpad(text, 9, "0")).when(i % 3 == 1, F.concat(F.lit("+"), text)).otherwise(text)
+    return _csv_copy(spark, fixture_claims(spark, sf).withColumn("student_id", padded), False)
+
+
+@query("load_claims_order", O.base_sql("""
+SELECT student_id, coverage, amount, row_number() OVER (PARTITION BY student_id, coverage ORDER BY md5(row_id || '|' || line), amount NULLS FIRST) AS nth
+FROM claims"""))
+def q_load_claims_order(spark, sf):
+    """Rows written in the order of a hash, over several files, without row_id: each student's rows come back in that order."""
+    c = fixture_claims(spark, sf, with_line=True)
+    h = F.md5(F.concat_ws("|", "row_id", "line"))
+    written = c.withColumn("h", h).repartitionByRange(7, "h").sortWithinPartitions("h", "amount").drop("row_id", "line", "h")
+    got = _csv_copy(spark, written)
+    nth = F.row_number().over(Window.partitionBy("student_id", "coverage").orderBy("row_id"))
+    return got.select("student_id", "coverage", "amount", nth.cast("bigint").alias("nth"))
 
 
 @query("load_claims_no_row_id", O.base_sql(

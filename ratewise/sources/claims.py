@@ -11,10 +11,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ratewise.functions.nulls import nan_to_null
-from ratewise.session import materialize
 
 CLAIMS_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType(), False),
@@ -60,7 +58,6 @@ def _holdout_flag(c: F.Column, dtype: T.DataType) -> F.Column:
 
 #: Columns without which claims can't be priced; the rating factors may be absent and are then null.
 REQUIRED = ("student_id", "coverage", "risk_tier", "holdout", "amount")
-_WHOLE_NUMBER = r"^[+-]?[0-9]{1,18}$"
 
 
 def _require(df: DataFrame, names) -> None:
@@ -73,21 +70,30 @@ def _never_null(c: F.Column, name: str) -> F.Column:
     return F.when(c.isNull(), F.raise_error(F.lit(f"a claim has no {name}"))).otherwise(c)
 
 
-def _id_type(df: DataFrame) -> T.DataType:
-    """Integral ids are bigint; text ids are bigint only if every one is a whole number, else they stay text."""
-    t = df.schema["student_id"].dataType
-    if not isinstance(t, T.StringType):
-        return T.LongType() if isinstance(t, T.IntegralType) else T.StringType()
-    odd = df.filter(F.col("student_id").isNotNull() & ~F.col("student_id").rlike(_WHOLE_NUMBER))
-    return T.LongType() if odd.isEmpty() else T.StringType()
+#: Text that names one whole number only: no sign, no leading zero.
+_PLAIN_NUMBER = r"^(0|-?[1-9][0-9]{0,17})$"
 
 
-def conform_claims(df: DataFrame) -> DataFrame:
+def _student_id(c: F.Column, t: T.DataType, as_number: bool) -> F.Column:
+    """Ids as read: whole numbers are bigint, all else is text. ``as_number`` turns text ids into
+    numbers and raises, when run, for one that isn't written as a plain whole number."""
+    if isinstance(t, T.IntegralType):
+        return c.cast("bigint")
+    text = c.cast("string")
+    if not as_number:
+        return text
+    odd = F.raise_error(F.concat(F.lit("student_id is no plain whole number: "), text)).cast("bigint")
+    return F.when(text.isNull() | text.rlike(_PLAIN_NUMBER), text.cast("bigint")).otherwise(odd)
+
+
+def conform_claims(df: DataFrame, numeric_ids: bool = False) -> DataFrame:
     """Select the claims columns by name and cast them to ``CLAIMS_SCHEMA``.
 
     Raises if a required column or ``row_id`` is absent, and when run if a
-    ``row_id`` or ``student_id`` is null. Text student ids that are not all
-    whole numbers stay text. Other columns are ignored.
+    ``row_id`` or ``student_id`` is null. Text student ids stay text, so that 007
+    and 7 are two students, unless ``numeric_ids`` says that they are whole
+    numbers. A ``row_id`` of file places (``with_file_order``) is kept as it is.
+    Other columns are ignored.
     """
     _require(df, ("row_id", *REQUIRED))
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -103,9 +109,9 @@ def conform_claims(df: DataFrame) -> DataFrame:
             c = parse_amount_col(c) if isinstance(t, T.StringType) else c.cast("double")
             c = nan_to_null(c)
         elif f.name == "student_id":
-            c = _never_null(c.cast(_id_type(df)), f.name)
+            c = _never_null(_student_id(c, t, numeric_ids), f.name)
         elif f.name == "row_id":
-            c = _never_null(c.try_cast("bigint"), f.name)
+            c = c if isinstance(t, T.StructType) else _never_null(c.try_cast("bigint"), f.name)
         elif isinstance(f.dataType, T.DoubleType):
             c = nan_to_null(c.try_cast("double"))
         else:
@@ -115,34 +121,31 @@ def conform_claims(df: DataFrame) -> DataFrame:
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """``row_id`` from the place of each row: file by path, split by offset, position in the split.
+    """``row_id`` as the place of each row: (file path, offset of the split, count in the scan).
 
-    The scan is written once, so that places can't change between uses. The
-    table of splits is as long as the scan has tasks, which bounds its broadcast.
+    Places compare like the rows' order: a split is read by one task from front to
+    back, so the count rises inside it whatever the number of the task. Nothing is
+    written or shuffled, and a repeated scan gives places of the same order.
     """
-    placed = materialize(df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at")), "claims")
-    splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"))
-    splits = splits.withColumn("_nth", F.row_number().over(Window.orderBy("_file", "_start")).cast("bigint"))
-    row_id = F.shiftleft(F.col("_nth"), 33) + F.col("_at") - F.col("_first")
-    return (placed.join(F.broadcast(splits), ["_file", "_start"]).withColumn("row_id", row_id)
-            .drop("_file", "_start", "_at", "_first", "_nth"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("at"))
+    return df.select("*", place.alias("row_id"))
 
 
-def load_claims(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def load_claims(spark: SparkSession, path: str, fmt: str = "parquet", numeric_ids: bool = False) -> DataFrame:
     """Read claims (CSV with header, or Parquet) into the fixed schema, by column name.
 
     CSV is read as text under the file's own header, which every file of the
-    folder must share; bad numbers become null instead of failing the scan.
-    Without a ``row_id`` column the order of the rows in the files is taken.
+    folder must share; bad numbers become null instead of failing the scan, and
+    student ids stay text unless ``numeric_ids`` is set. Without a ``row_id`` column
+    the order of the rows in the files is taken.
     """
     if fmt == "csv":
         raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     else:
         raw = spark.read.parquet(path)
     _require(raw, REQUIRED)
-    return conform_claims(raw if "row_id" in raw.columns else with_file_order(raw))
+    return conform_claims(raw if "row_id" in raw.columns else with_file_order(raw), numeric_ids)
 
 
 # ---------------------------------------------------------------------------
@@ -153,7 +156,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def fixture_claims(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+def fixture_claims(spark: SparkSession, sf_dir: str, with_text: bool = False, with_line: bool = False) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     li = _t(spark, sf_dir, "lineitem").select(
@@ -193,6 +196,8 @@ def fixture_claims(spark: SparkSession, sf_dir: str, with_text: bool = False) ->
             .when(F.col("l_returnflag") == "N", F.lit(None).cast("string"))
             .otherwise(F.col("l_quantity").cast("string")).alias("amount_text")
         )
+    if with_line:
+        cols.append(F.col("l_linenumber").alias("line"))
     return j.select(*cols)
 
 
@@ -215,7 +220,8 @@ SELECT
        WHEN l.l_returnflag = 'A' THEN CAST(0 AS DOUBLE) END AS amount,
   CASE WHEN l.l_linenumber = 7 THEN 'n/a' WHEN l.l_linenumber = 6 THEN ' 12.5 ' WHEN l.l_linenumber = 5 THEN '1e2'
        WHEN l.l_linenumber = 4 THEN '1d' WHEN l.l_linenumber = 3 THEN '' WHEN l.l_returnflag = 'N' THEN NULL
-       ELSE CAST(l.l_quantity AS VARCHAR) END AS amount_text
+       ELSE CAST(l.l_quantity AS VARCHAR) END AS amount_text,
+  l.l_linenumber AS line
 FROM customer c
 JOIN orders o ON c.c_custkey = o.o_custkey
 JOIN lineitem l ON l.l_orderkey = o.o_orderkey

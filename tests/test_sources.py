@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from ratewise.operators.exposure import exposure_rollup
 from ratewise.sources import CLAIMS_SCHEMA, fixture_claims, load_claims, parse_amount_col, write_premiums
 from tests.conftest import SF001
 
@@ -74,8 +75,37 @@ def test_columns_by_name_text_ids_and_file_order(spark):
     df = load_claims(spark, _csv(HEAD + "\nA,x,S1,5,Liability,0\nB,y,S2,7,Liability,1\nA,z,S1,9,Liability,0\n"), "csv")
     got = [(r.student_id, r.risk_tier, r.amount, r.holdout) for r in df.orderBy("row_id").collect()]
     assert got == [("S1", "A", 5.0, False), ("S2", "B", 7.0, True), ("S1", "A", 9.0, False)]
-    ids = load_claims(spark, _csv("row_id," + HEAD + "\n1,A,x,8,5,Liability,0\n"), "csv")
+
+
+def test_text_ids_are_as_read(spark):
+    """007, 7 and +7 are three students; what other rows hold changes nothing."""
+    text = "row_id," + HEAD + "\n1,A,x,007,5,Liability,0\n2,A,x,7,10,Liability,0\n3,A,x,+7,20,Liability,0\n"
+    for more in ("", "4,A,x,S1,1,Liability,0\n"):
+        df = load_claims(spark, _csv(text + more), "csv")
+        assert dict(df.dtypes)["student_id"] == "string"
+        paid = {r.student_id: r.total_paid for r in exposure_rollup(df).collect()}
+        assert {k: paid[k] for k in ("007", "7", "+7")} == {"007": 5.0, "7": 10.0, "+7": 20.0}
+    ids = load_claims(spark, _csv("row_id," + HEAD + "\n1,A,x,8,5,Liability,0\n"), "csv", numeric_ids=True)
     assert dict(ids.dtypes)["student_id"] == "bigint" and ids.first().student_id == 8
+    with pytest.raises(Exception, match="no plain whole number: 007"):
+        load_claims(spark, _csv(text), "csv", numeric_ids=True).collect()
+
+
+def test_file_order_over_many_splits(spark):
+    """Order keys follow path, offset and position; nothing is written for them."""
+    d = tempfile.mkdtemp(dir="/tmp")
+    for k in range(3):
+        with open(os.path.join(d, f"part-{k}.csv"), "w") as f:
+            f.write(HEAD + "\n" + "".join(f"A,x,s,{1000 * k + i},Liability,0\n" for i in range(400)))
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        df = load_claims(spark, d, "csv")
+        assert df.rdd.getNumPartitions() > 3
+        got = [r.amount for r in df.orderBy("row_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    assert got == [float(1000 * k + i) for k in range(3) for i in range(400)]
 
 
 @pytest.mark.parametrize("gone", ["student_id", "coverage", "risk_tier", "amount", "holdout"])
@@ -91,7 +121,31 @@ def test_null_id_raises(spark):
         df.collect()
 
 
+TOTALS = "student_id long, risk_tier string, total_renew double, total_new double"
+
+
 def test_null_totals_are_not_written(spark):
-    totals = spark.createDataFrame([(2, "B", None, 4.0)], "student_id long, risk_tier string, total_renew double, total_new double")
-    with pytest.raises(ValueError):
-        write_premiums(totals, os.path.join(tempfile.mkdtemp(dir="/tmp"), "t"))
+    """The check runs in the pass that computes the totals; an earlier file stays as it was."""
+    path = os.path.join(tempfile.mkdtemp(dir="/tmp"), "t")
+    write_premiums(spark.createDataFrame([(1, "A", 1.0, 2.0)], TOTALS), path)
+    with pytest.raises(ValueError, match="null total_renew"):
+        write_premiums(spark.createDataFrame([(2, "B", None, 4.0)], TOTALS), path)
+    assert [r.student_id for r in spark.read.option("header", True).csv(path).collect()] == ["1"]
+
+
+def test_null_row_premiums_stop_the_job(spark):
+    """A row that can't be priced would be left out of its student's sum: the file isn't replaced."""
+    from ratewise.config import M2
+    from ratewise.plans.pipeline import price
+    from tests.test_pipeline import build
+
+    path = os.path.join(tempfile.mkdtemp(dir="/tmp"), "t")
+    claims = build(spark)
+    price(claims, M2).write(path)
+    before = sorted(map(tuple, spark.read.csv(path).collect()))
+    assert len(before) > 150
+    # a tier without claimants in Liability has no severity there, so its rows have no premium
+    lone = claims.withColumn("risk_tier", F.when((F.col("coverage") == "Liability") & (F.col("student_id") == 45), "Lone").otherwise(F.col("risk_tier")))
+    with pytest.raises(ValueError, match="null final_prem_renew"):
+        price(lone, M2).write(path)
+    assert sorted(map(tuple, spark.read.csv(path).collect())) == before
