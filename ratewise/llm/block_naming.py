@@ -15,9 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACE, materialize, number_sorted
+from .common import SPACE, drop_rows, materialize, number_sorted
 
 
 def normalise(text: str = "text"):
@@ -101,22 +100,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that exact deduplication keeps.
 
-    Dropped rows are found again by id and text digest. Of rows that repeat
-    both, one stays; Spark ranks only those.
+    Dropped rows are found again by id and text digest, without a shuffle of the
+    rows that stay. Of rows that repeat both, one stays; Spark ranks only those.
     """
     decided = materialize(exact_dedup(docs, id_col, text_col), "exact")
     lost = materialize(
-        decided.groupBy(F.col("doc_id").alias("_lid"), F.col("text_sha256").alias("_lsha"))
+        decided.groupBy(F.col("doc_id").alias("_lid"), F.col("text_sha256").alias("_lmark"))
         .agg(F.max("kept").alias("_some"), F.min("kept").alias("_all"))
-        .where("not _all").select("_lid", "_lsha", "_some"),
+        .where("not _all").select("_lid", "_lmark", "_some"),
         "lost",
     )
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.sha2(normalise(text_col).cast("binary"), 256).alias("_sha"))
-    on = F.col("_id").eqNullSafe(F.col("_lid")) & (F.col("_sha") == F.col("_lsha"))
-    kept = rows.join(lost, on, "left_anti").select("_row.*")
-    twins = lost.where("_some")
-    if twins.isEmpty():
-        return kept
-    one = Window.partitionBy("_id", "_sha").orderBy(F.lit(0))
-    again = rows.join(twins, on, "left_semi").withColumn("_r", F.row_number().over(one)).where("_r = 1")
-    return kept.unionByName(again.select("_row.*"))
+    return drop_rows(docs, lost, id_col, lambda rows: rows.withColumn("_mark", F.sha2(normalise(f"_row.`{text_col}`").cast("binary"), 256)))

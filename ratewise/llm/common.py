@@ -79,6 +79,30 @@ def with_bit(rows: DataFrame, key: str, filtered: tuple[DataFrame, int], out: st
     return joined.select(*[joined[c] for c in rows.columns], hit.alias(out))
 
 
+def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str, mark_of) -> DataFrame:
+    """``docs`` without ``lost``: columns _lid, _lmark and _some, a distinct (id, mark) each, ids null-safe.
+
+    mark_of  adds ``_mark`` to rows with ``_row`` (the whole row) and ``_id``
+    _some    true if one of the rows with this id and mark stays, whichever
+
+    Rows whose id is surely not among the lost ones pass without a shuffle (bit filter
+    of at most 16 MB); only the others get a mark and meet ``lost``, so that what is
+    shuffled follows the rows that go, not the table.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id")).withColumn("_h", F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit(" "))))
+    filtered = bit_filter(lost.select(F.xxhash64(F.coalesce(F.col("_lid").cast("string"), F.lit(" "))).alias("_h")), "_h")
+    told = with_bit(rows, "_h", filtered)
+    passed = told.where("not _maybe").select("_row.*")
+    marked = mark_of(told.where("_maybe").select("_row", "_id"))
+    on = F.col("_id").eqNullSafe(F.col("_lid")) & F.col("_mark").eqNullSafe(F.col("_lmark"))
+    kept = passed.unionByName(marked.join(lost, on, "left_anti").select("_row.*"))
+    twins = lost.where("_some")
+    if twins.isEmpty():
+        return kept
+    again = marked.join(twins, on, "left_semi").groupBy("_id", "_mark").agg(F.first("_row").alias("_row"))
+    return kept.unionByName(again.select("_row.*"))
+
+
 def perhaps_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose 64-bit hash in ``key`` may be among ``keys``: all that are, few others, without a shuffle."""
     return with_bit(rows, key, bit_filter(keys, key)).where("_maybe").drop("_maybe")

@@ -23,6 +23,10 @@ def words(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _key(id_col: str, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+
+
 def budgets(sources: DataFrame, weights, share: float, most: float) -> DataFrame:
     """Targets of sources (source, source_size, n): shares by weight, at most ``most`` times a size.
 
@@ -70,10 +74,9 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     found = materialize(found.select(
         F.col("source").alias("_src"), F.col("rank").alias("_rank"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
         F.ceil(F.col("n") / wide).alias("_ranges")), "budgets")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     place = F.conv(F.substring(F.col("_key"), 1, 8), 16, 10).cast("long")
     dealt = (
-        sized.withColumn("_key", key)
+        sized.withColumn("_key", _key(id_col, seed))
         .join(found, F.col(source_col).eqNullSafe(F.col("_src")))
         .withColumn("_range", F.floor(place * F.col("_ranges") / F.lit(float(1 << 32))))
     )
@@ -94,12 +97,36 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **params) -> DataFrame:
     """The mix itself: each document once for every pass that uses it, columns as given.
 
     Documents stay whole; the one on a source's cut is emitted for that pass too.
-    Further columns, whatever their names, travel along untouched.
+    Further columns, whatever their names, travel along untouched. Only ids and sizes
+    are shuffled: a source's last row of the partial pass is its cut, and every row
+    sees by its own key on which side it lies. Of rows that agree with the cut in
+    key, id and size as many are taken as ``mix`` takes, by the hash of the whole row.
     """
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
-    out = mix(rows, id_col="_id", text_col="_text", source_col="_source", **params).where("_epochs > 0")
-    return out.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select("_row.*")
+    given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    m = mix(given, id_col="_id", text_col="_text", source_col="_source", seed=seed, **params)
+    whole = F.when(F.col("_source_size") > 0, F.floor(F.floor("_target") / F.col("_source_size"))).otherwise(0)
+    at = F.struct(_key("_id", seed).alias("k"), F.col("_id").alias("i"), F.col("_size").alias("s"))
+    m = materialize(m.where("_size > 0").select("_source", at.alias("_at"), (F.col("_epochs") - whole).alias("_more"), whole.alias("_whole")), "mix")
+    cuts = m.groupBy("_source").agg(F.max("_whole").alias("_whole"), F.max(F.when(F.col("_more") > 0, F.col("_at"))).alias("_cut"))
+    cuts = materialize(cuts.withColumnRenamed("_source", "_src"), "cuts")
+    same_source = F.col("_source").eqNullSafe(F.col("_src"))
+    ties = m.drop("_whole").join(cuts, same_source).where(F.col("_at") == F.col("_cut"))
+    ties = ties.groupBy("_src").agg(F.count("*").alias("_tied"), F.sum("_more").alias("_in")).where("_tied > _in").withColumnRenamed("_src", "_tie")
+    cuts = materialize(cuts.join(ties, F.col("_src").eqNullSafe(F.col("_tie")), "left").drop("_tie"), "cuts")  # a row a source
+
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), words(text_col).alias("_size"), F.col(source_col).alias("_source"))
+    rows = rows.where("_size > 0").withColumn("_at", at).join(cuts, same_source)
+    tied = F.col("_tied").isNotNull() & (F.col("_at") == F.col("_cut"))
+    upto = F.coalesce(F.col("_at") <= F.col("_cut"), F.lit(False))
+    out = rows.where(~tied).select("_row", (F.col("_whole") + upto.cast("long")).alias("_epochs"))
+    if not cuts.where("_tied IS NOT NULL").isEmpty():
+        same = rows.where(tied).withColumn("_hash", F.sha2(F.to_json("_row"), 256))
+        same = number_sorted(same.repartitionByRange("_source", "_hash").sortWithinPartitions("_source", "_hash"), "_nth", "tied")
+        first = same.groupBy(F.col("_src").alias("_f")).agg(F.min("_nth").alias("_first"))
+        same = same.join(first, F.col("_src").eqNullSafe(F.col("_f")))
+        out = out.unionByName(same.select("_row", (F.col("_whole") + (F.col("_nth") - F.col("_first") < F.col("_in")).cast("long")).alias("_epochs")))
+    return out.withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("_epochs") > 0, F.col("_epochs"))))).select("_row.*")

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import drop_rows, materialize
 from .components import components
 
 _FIVES = 0x5555555555555555
@@ -29,6 +30,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     count; fewer words than a shingle are one shingle; no words (null text too) give 0.
     The words of a text are hashed a block at a time, so a long text adds no more memory than itself.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    return _with_fingerprint(rows, "_text", shingle)
+
+
+def _with_fingerprint(rows: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``rows`` with ``fp`` of the column ``text``; the other columns pass by the task as they are."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -53,11 +60,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
         for batch in batches:
-            fp = pa.array([fingerprint(x) for x in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            fp = pa.array([fingerprint(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*batch.schema.names[:-1], "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, fp long")
+    rows = rows.withColumn("_text", F.col(text).cast("string"))
+    kept = [f for f in rows.schema.fields if f.name != "_text"]
+    schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def _long(x: int) -> Column:
@@ -117,17 +126,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     null has a null component_id. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    found = grouped(prints, max_bits)
+    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id, first) of each fingerprint in ``prints`` (doc_id, fp): its group, the group's least id,
+    and the (id, fingerprint) of the document that stands first in it, null ids last."""
+    least = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(least).alias("first")), "classes")
     stars = materialize(components(links(classes.select("fp"), max_bits), "simhash"), "stars")
     root = F.coalesce("component", "fp").alias("root")
-    rooted = materialize(classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "low", root), "rooted")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = materialize(rooted.join(lows, "root").select("fp", "component_id"), "found")
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = materialize(classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "low", "first", root), "rooted")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first").alias("first"))
+    return materialize(rooted.select("fp", "root").join(lows, "root").select("fp", "root", "component_id", "first"), "found")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their group; null ids stay."""
-    lost = materialize(near_duplicates(docs, shingle, max_bits, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "near")
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    return rows.join(lost, F.col("_id") == F.col("_lost"), "left_anti").select("_row.*")
+    """The rows of ``docs``, all columns: of each group of near fingerprints the one that stands first.
+
+    First is the smallest id, null ids last, then the smallest fingerprint; of rows that
+    agree in both one stays. Rows are found again by id and fingerprint, which is
+    computed anew only for rows whose id may be among those that go.
+    """
+    prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    found = grouped(prints, max_bits)
+    counted = prints.groupBy("doc_id", "fp").agg(F.count("*").alias("n")).join(found, "fp")
+    first = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))
+    lost = counted.select(F.col("doc_id").alias("_lid"), F.col("fp").alias("_lmark"), first.alias("_some"), "n").where("not _some or n > 1").drop("n")
+
+    def mark_of(rows: DataFrame) -> DataFrame:
+        return _with_fingerprint(rows, f"_row.`{text_col}`", shingle).withColumnRenamed("fp", "_mark")
+
+    return drop_rows(docs, materialize(lost, "near"), id_col, mark_of)
