@@ -55,7 +55,7 @@ def score_cells(cells: DataFrame, coefs: DataFrame, params: DataFrame, factors,
     factors = list(factors)
     on = _models(cells)
     lk = small(lookup if lookup is not None else keep(coefficient_lookup(coefs)))
-    out = cells.join(small(params.select(*on, "uncap_adj")), on=on, how="left").join(lk, on=on, how="left")
+    out = cells.join(small(params).select(*on, "uncap_adj"), on=on, how="left").join(lk, on=on, how="left")
     logit = F.lit(freq_family == "binomial")
     if isinstance(freq_family, dict):
         logit = F.col("variant").isin([v for v, family in freq_family.items() if family == "binomial"])
@@ -92,6 +92,6 @@ def attach(rows: DataFrame, table: DataFrame, keys, columns) -> DataFrame:
     broadcast behind a check of its size; the big side is not shuffled for it.
     """
     pairs = [(k, k) if isinstance(k, str) else k for k in keys]
-    right = small(table.select(*[F.col(t).alias(f"_k{i}") for i, (_, t) in enumerate(pairs)], *columns))
+    right = small(table).select(*[F.col(t).alias(f"_k{i}") for i, (_, t) in enumerate(pairs)], *columns)
     cond = [rows[r].eqNullSafe(right[f"_k{i}"]) for i, (r, _) in enumerate(pairs)]
     return rows.join(right, on=cond, how="left").select(*[rows[c] for c in rows.columns], *[right[c] for c in columns])
