@@ -72,18 +72,21 @@ def decide(found: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def _head(page_id, url, refers_to, size, sha1, date):
-    """The WARC and HTTP headers of a record, and whether a payload follows."""
+    """The WARC and HTTP headers of a record. Ids are percent-encoded, so any text is one header line; null has a name of its own."""
     import base64
     from urllib.parse import quote
 
+    def urn(i):
+        return "<urn:x-no-page>" if i is None else f"<urn:x-page:{quote(str(i), safe='')}>"
+
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     revisit = refers_to is not None
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:x-page:{'null' if page_id is None else page_id}>", f"WARC-Date: {date}",
+        f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {quote(url, safe=chr(33) + '#$%&()*+,-./:;=?@[]_~' + chr(39))}"] if url is not None else []),
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
-        *([f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {PROFILE}"] if revisit else []),
+        *([f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"] if revisit else []),
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + (0 if revisit else size)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
@@ -257,7 +260,8 @@ def revisit_table(pages: DataFrame, min_bytes: int = 0, folder: str | None = Non
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri.
     Size and digest of a response are of the bytes read back; a revisit takes
-    them from the response it refers to. An empty table gives no rows.
+    them from the response that it refers to by id and stated digest, so that
+    ids which repeat with other payloads don't mix. An empty table gives no rows.
     """
     import uuid
 
@@ -266,12 +270,14 @@ def revisit_table(pages: DataFrame, min_bytes: int = 0, folder: str | None = Non
     table = read_archives(write_archives(pages, folder, min_bytes=min_bytes), with_data=False).where("last")
 
     def page(c):
-        return F.expr(f"nullif(regexp_extract({c}, '^<urn:x-page:(.*)>$', 1), 'null')").cast(kind)
+        name = F.regexp_extract(c, "(?s)^<urn:x-page:(.*)>$", 1)
+        return F.when(F.col(c).startswith("<urn:x-page:"), F.url_decode(name)).cast(kind)
 
-    records = materialize(table.select(page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"),
+    records = materialize(table.select(page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"), "stated_digest",
                                        (F.col("offset") + F.col("size")).alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "target_uri"), "read-back")
     responses = records.where("record_type = 'response'")
     first = responses.where("page_id is not null").select(F.col("page_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).distinct()
-    revisits = records.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, F.col("refers_to") == F.col("_id"))
+    named = (F.col("refers_to") == F.col("_id")) & (F.col("stated_digest") == F.col("_digest"))
+    revisits = records.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(first, named)
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
     return responses.select(*cols).unionByName(revisits.withColumnsRenamed({"_bytes": "payload_bytes", "_digest": "payload_digest"}).select(*cols))

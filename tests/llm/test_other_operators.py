@@ -10,6 +10,7 @@ import re
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from ratewise.llm import flat_graph, license_tfidf, pii_surrogates, queries, url_markov, warc_chunks
 
@@ -113,6 +114,20 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     assert pii_surrogates.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), b"k").count() == 0
 
 
+def test_warc_repeated_and_odd_ids(spark, tmp_path):
+    """Ids that repeat with other payloads give a row a record; text ids are kept whatever they hold."""
+    twice = spark.createDataFrame([(1, "aaa"), (1, "bbb"), (2, "aaa"), (3, "bbb")], "page_id long, html string").withColumn("url", F.lit("u"))
+    digest = {t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in ("aaa", "bbb", "ccc", "")}
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc_chunks.revisit_table(twice, folder=str(tmp_path / "r")).collect())
+    assert got == sorted([(1, digest["aaa"], "response", None), (1, digest["bbb"], "response", None), (2, digest["aaa"], "revisit", 1), (3, digest["bbb"], "revisit", 1)], key=lambda x: x[:2])
+    odd = ["null", "b>\r\nx: y", "", "é %20+", "a b", None]
+    rows = [(i, "aaa" if i in ("null", "a b") else "ccc" if i == "" else "bbb" if i == "é %20+" else "") for i in odd]
+    text = spark.createDataFrame(rows, "page_id string, html string").withColumn("url", F.lit("u"))
+    got = {r.page_id: (r.payload_digest, r.record_type, r.refers_to) for r in warc_chunks.revisit_table(text, folder=str(tmp_path / "s")).collect()}
+    assert got == {"null": (digest["aaa"], "revisit", "a b"), "a b": (digest["aaa"], "response", None), "": (digest["ccc"], "response", None),
+                   "é %20+": (digest["bbb"], "response", None), "b>\r\nx: y": (digest[""], "response", None), None: (digest[""], "revisit", "b>\r\nx: y")}
+
+
 def test_license_cosine_and_inheritance(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction\nmore words"
