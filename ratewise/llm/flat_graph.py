@@ -314,8 +314,9 @@ def link_counts(reps: DataFrame, n: int, p: Params) -> tuple[DataFrame, DataFram
     return materialize(counts, "link-counts"), met.where("kind = 'e'").select(F.col("q").alias("u"), F.col("other").alias("v"))
 
 
-def audit(reps: DataFrame, counts: DataFrame, p: Params) -> float:
-    """Share of the links of a bounded sample of queries, held against all reps in blocks, that the search has counted."""
+def audit(reps: DataFrame, counts: DataFrame, p: Params) -> float | None:
+    """Share of the links of a bounded sample of queries, held against all reps in blocks, that the search has
+    counted; null if the sample has no link, which tells nothing about the recall."""
     import numpy as np
 
     asked = reps.orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(p.audit).select("id", "embedding").collect()
@@ -335,7 +336,7 @@ def audit(reps: DataFrame, counts: DataFrame, p: Params) -> float:
 
     truth = reps.select("id", "embedding", "mult").mapInPandas(run, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
     got = truth.join(counts, "id").agg(F.sum(F.least("truth", "links")), F.sum("truth")).first()
-    return got[0] / got[1] if got[1] else 1.0
+    return got[0] / got[1] if got[1] else None
 
 
 def near_duplicates(vectors: DataFrame, p: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -345,7 +346,8 @@ def near_duplicates(vectors: DataFrame, p: Params = Params(), id_col: str = "vec
     link with nothing and are their own component. Vectors of different length
     never link. Equal vectors are one node: they link with each other and share
     their links. component_id is the smallest id reachable; null ids count last.
-    audited_recall is null where the vector can't be compared. Other columns
+    audited_recall is null where the vector can't be compared, and everywhere if
+    the audit met no link. Other columns
     are ignored; an empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))
@@ -361,7 +363,7 @@ def near_duplicates(vectors: DataFrame, p: Params = Params(), id_col: str = "vec
     for _ in range(3):
         counts, edges = link_counts(reps, n, tried)
         recall = audit(reps, counts, tried)
-        if recall >= p.recall:
+        if recall is None or recall >= p.recall:
             break
         tried = replace(tried, beam=2 * tried.beam, overlap=tried.overlap + 1, slack=min(1.5 * tried.slack, 0.4))
     else:
@@ -372,5 +374,5 @@ def near_duplicates(vectors: DataFrame, p: Params = Params(), id_col: str = "vec
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     known = materialize(rooted.join(lows, "root").select("embedding", "n_links", "component_id"), "known")
     out = good.join(known, "embedding").select(
-        "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).alias("audited_recall"))
+        "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))
     return out.unionByName(alone)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Longest piece, in bytes, that is merged in a batch of trees.
 SHORT = 64
-#: Pieces a Python worker remembers before it starts anew.
-REMEMBER = 200_000
+#: Bytes of pieces and their ids that a Python worker remembers before it starts anew, and the longest piece remembered.
+REMEMBER, LONGEST = 8 << 20, 64
 #: Characters of texts that are encoded together (a longer text is encoded alone).
 CHARS = 1_000_000
 
@@ -182,22 +182,27 @@ class Merges:
 
 
 class Codec:
-    """Splits a text by the pattern and encodes each distinct piece once per worker, within a bound."""
+    """Splits a text by the pattern and remembers the ids of short pieces, within a bound of bytes."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
 
-        self.merges, self.split, self.seen = Merges(tokens), regex.compile(pattern).findall, {}
+        self.merges, self.split = Merges(tokens), regex.compile(pattern).findall
+        self.seen, self.held = {}, 0
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
         split = [self.split(text) for text in texts]
-        if len(self.seen) > REMEMBER:
-            self.seen = {}
-        seen = self.seen
-        new = list(set().union(*split).difference(seen))
-        seen.update(zip(new, self.merges.encode_pieces([p.encode() for p in new])))
-        return [b"".join([seen[p] for p in pieces]) for pieces in split]
+        if self.held > REMEMBER:
+            self.seen, self.held = {}, 0
+        new = list(set().union(*split).difference(self.seen))
+        coded = dict(zip(new, self.merges.encode_pieces([p.encode() for p in new])))
+        short = {p: x for p, x in coded.items() if len(p) <= LONGEST}
+        self.seen |= short
+        self.held += sum(len(p) + len(x) for p, x in short.items())
+        long = coded if len(short) < len(coded) else {}
+        find = self.seen.get
+        return [b"".join([find(p) or long[p] for p in pieces]) for pieces in split]
 
     def decode(self, ids: bytes) -> bytes:
         import numpy as np
