@@ -6,9 +6,10 @@ tables as wide as the rows are written: the exposures and the training rows with
 their folds. All else runs on weighted cells (coverage, factor levels), with the
 variant as one more key: fits, out-of-fold calibration, prediction caps, blend,
 base losses, relativities and premiums. A row meets its cell's premiums in one
-join, a broadcast as long as Spark finds the cells' file small. Tables that are
-used again are written: a lost executor reads files instead of running the fits
-anew, plans stay short, and nothing stays cached.
+join, a broadcast as long as Spark finds the cells' file small. Tables that several
+steps use are written: a lost executor reads files instead of running the fits
+anew, plans stay short, and nothing stays cached. Small ones with one use
+(``settled``) are a part of that step's plan, over files of known size.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def open_book(claims: DataFrame, k_folds: int = M1.k_folds, fold_seed: int = M1.
     exposure = materialize(build_exposure(claims), "exposure")
     train, test = [prepare(df) for df in split_holdout(exposure)]
     folds = materialize(assign_folds(train, k_folds, fold_seed), "folds")
-    levels = materialize(factor_levels(folds, _columns("align_cols")), "levels")
+    levels = factor_levels(folds, _columns("align_cols"))
     test = align_levels(test, levels, _columns("align_cols"))
     base = materialize(base_cells(folds, FACTORS_M1), "base-cells")
     held = test.groupBy("coverage", *FACTORS_M1).agg(F.count(F.lit(1)).alias("n"), F.sum("total_paid").alias("total_paid"))
@@ -190,13 +191,13 @@ def price_all(book: Book, variants, on_unseen: str = "null") -> dict[str, Pricin
     capped, by_response = severity_tables(book.folds, book.base.select("coverage", "fold", "n"), responses, factors, k)
     own = F.explode(F.filter(F.array(*[F.struct(F.lit(v.name).alias("variant"), F.lit(v.sev_response).alias("r")) for v in variants]),
                              lambda x: x["r"] == F.col("response")))
-    params = materialize(by_response.withColumn("_v", own).select("_v.variant", *[c for c in by_response.columns if c != "response"]), "params")
+    params = settled(by_response.withColumn("_v", own).select("_v.variant", *[c for c in by_response.columns if c != "response"]))
     cells = materialize(design_cells(book.base, capped, member, variants, factors), "design-cells")
     names = {v.name: list(v.factors) for v in variants}
     seen = model_levels(cells, factors, ("variant", "coverage", "model_id", "part")).filter(F.col("level") != ANY)
     coefs = materialize(fit_models(cells, seen, names, families), "coefs")
     check_fits(coefs)
-    lookup = materialize(coefficient_lookup(coefs), "lookup")
+    lookup = settled(coefficient_lookup(coefs))
 
     # cells to score: training cells by the model without their fold and by model 0, held-out ones by model 0
     train = book.base.select("coverage", "fold", *factors, "n", "n_pos", "total_paid")
@@ -216,13 +217,13 @@ def price_all(book: Book, variants, on_unseen: str = "null") -> dict[str, Pricin
 
     drop = ("kind", "model_id", "uncap_adj", "unseen")
     oof = scored.filter("kind = 'oof'").withColumnsRenamed({"model_id": "fold", "pure": "oof_pred"}).drop("kind", "uncap_adj", "unseen")
-    calibration = materialize(cal.calibration_factor(oof, weight="n"), "calibration")
+    calibration = settled(cal.calibration_factor(oof, weight="n"))
     both = scored.filter("kind <> 'oof'").withColumnRenamed("pure", "pred_loss").drop(*drop[1:])
     both = materialize(cal.apply_calibration(both, calibration), "calibrated")
     train, test = both.filter("kind = 'train'"), both.filter("kind = 'test'")
     caps = materialize(cal.prediction_cap(train, {v.name: v.min_n_mode for v in variants}, weight="n"), "prediction-caps")
     both = cal.apply_prediction_cap(both, caps)
-    tmeans = materialize(cal.tier_mean(both.filter("kind = 'train'"), weight="n"), "tier-means")
+    tmeans = settled(cal.tier_mean(both.filter("kind = 'train'"), weight="n"))
     both = materialize(cal.blend_to_tier(both, tmeans), "final-cells")
     train, test = [both.filter(F.col("kind") == x).drop("kind") for x in ("train", "test")]
 
@@ -232,7 +233,7 @@ def price_all(book: Book, variants, on_unseen: str = "null") -> dict[str, Pricin
     plain = rt.credibility_smooth(tbase, cmean, on=False)
     on = F.col("variant").isin([v.name for v in variants if v.cred_smooth])
     base = smooth.filter(on).unionByName(plain.filter(~on))
-    ptable = materialize(rt.pricing_table(base), "pricing-table")
+    ptable = settled(rt.pricing_table(base))
     priced = materialize(rt.row_premiums(rt.relativity(train, tbase), ptable), "priced-cells")
 
     def of(v: Variant, table: DataFrame) -> DataFrame:

@@ -76,11 +76,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     if os.environ.get("RATEWISE_TRACE"):
         print(f"[materialize] {name}: {time.time() - t:.2f}s", file=sys.stderr)
-    return settled(spark.read.parquet(path))
+    return settled(spark.read.schema(df.schema).parquet(path))  # a known schema saves the job that would look for it
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Mark a table read from files: Spark knows its bytes and broadcasts it if they are few, so ``small`` adds nothing."""
+    """Mark a table read, or computed in one step, from written files: Spark bounds its bytes by theirs and
+    broadcasts it if they are few, so ``small`` adds nothing."""
     df._rw_settled = True
     return df
 
