@@ -14,9 +14,11 @@ ATTRS_ALL = ("risk_tier", "gpa", "greek", "off_campus", "distance_to_campus", "s
 def exposure_rollup(claims: DataFrame, mode: str = "count", with_gpa: bool = True) -> DataFrame:
     """Group by (student_id, coverage): attributes of the first record, summed amount.
 
-    'First' follows ``row_id`` and keeps a null first value (``min_by`` on one
-    struct, so all attributes come from the same record). One shuffle on the
-    group key; every aggregate here has a map-side partial form, so a student
+    'First' follows ``row_id`` and keeps a null first value (the least struct of
+    row id and attributes, so all attributes come from the same record). Records
+    that share the least row id but not their attributes are settled by the
+    attributes themselves, the least first and null before all, so that reruns
+    agree. One shuffle on the group key; every aggregate here has a map-side partial form, so a student
     or coverage holding a large share of the rows is combined before the
     exchange.
 
@@ -24,7 +26,7 @@ def exposure_rollup(claims: DataFrame, mode: str = "count", with_gpa: bool = Tru
     """
     attrs = [a for a in ATTRS_ALL if with_gpa or a != "gpa"]
     aggs = [
-        F.min_by(F.struct(*attrs), F.col("row_id")).alias("_first"),
+        F.min(F.struct("row_id", *attrs)).alias("_first"),
         zero_sum("amount").alias("total_paid"),
     ]
     if mode == "count":

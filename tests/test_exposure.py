@@ -55,3 +55,10 @@ def test_align_levels_unseen_to_null(spark):  # T10
     got = sorted([tuple(r) for r in align_levels(test, lv, ["risk_tier", "coverage"]).collect()],
                  key=str)
     assert got == [("A", "x"), (None, None)]
+
+
+def test_equal_row_ids_give_the_least_attributes_whatever_the_order(spark):
+    rows = [dict(row_id=1, risk_tier="B", greek="N", amount=1.0), dict(row_id=1, risk_tier="A", greek="Y", amount=2.0), dict(row_id=1, risk_tier="A", greek=None, amount=4.0)]
+    for order in (rows, rows[::-1]):
+        r = exposure_rollup(claims(spark, order).repartition(3)).collect()[0]
+        assert (r.risk_tier, r.greek, r.total_paid) == ("A", None, 7.0)
