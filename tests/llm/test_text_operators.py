@@ -90,7 +90,7 @@ def test_links_are_all_pairs_within_the_distance(spark):
         for _ in range(4):
             fps.add(x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))))
     fps = [x - (1 << 64) if x >> 63 else x for x in fps]
-    for bits in (1, 3, 5):
+    for bits in (1, 2, 3, 4, 5):
         got = {tuple(sorted(x)) for x in popcount_simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), bits).collect()}
         want = {tuple(sorted((a, b))) for k, a in enumerate(fps) for b in fps[:k] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits}
         assert got == want
@@ -102,7 +102,8 @@ def test_simhash_edges(spark, docs):
     zero = {g.doc_id for g in got if g.fingerprint == "0" * 16}
     assert {0, 1, 2} <= zero
     kept = popcount_simhash.keep_first(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
+    # of the two rows with null ids one has the text of a document with an id, which stands first
+    assert kept.columns == docs.columns and [r.text for r in kept.where("doc_id is null").collect()] == ["only null id"]
     assert popcount_simhash.near_duplicates(empty(spark)).count() == 0
 
 
