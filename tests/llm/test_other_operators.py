@@ -179,3 +179,46 @@ def test_license_headers_wrapped_and_inside_lines(spark):
     got = {g.id: g for g in license_tfidf.scan(spark.createDataFrame(given, "id long, path string, text string")).collect()}
     assert [got[i].license for i in range(len(files))] == [k for k, _ in files]
     assert all(got[i].how == "header" for i, (k, _) in enumerate(files) if k) and not any(got[100 + i].license for i in range(40))
+
+
+def test_licenses_are_told_from_their_neighbours(spark):
+    """Each notice gives its own licence, whatever the counts of words elsewhere; near misses and denials give none."""
+    wanted = [(name, notice) for name, notices in license_tfidf.TEMPLATES.items() for notice in notices]
+    bsd = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    head, tail = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+    clause = "3. Neither the name of Foo Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    wanted += [
+        ("BSD-2-Clause", head + bsd + tail), ("BSD-3-Clause", head + bsd + clause + tail), (None, head),
+        ("MIT", "# This file is part of Foo, released under the MIT License - see the file LICENSE"), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later"), (None, "SPDX-License-Identifier: Zlib"),
+        (None, "This is not licensed under the MIT License"), (None, "This was never\nlicensed under the MIT License."), (None, "Licensed under CC BY 2.0."),
+        (None, "This work is licensed under a Creative Commons Attribution 2.5 Generic License."), (None, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
+        (None, "This work is licensed under the GNU Lesser General Public License, version 2."), (None, "Licensed under the Apache License, Version 1.1."), (None, "the mit license was discussed under the bridge"),
+        ("GPL-2.0", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ]
+    filler = [f"plain number{i} words about the public source of a free library by its version" for i in range(60)]
+    for extra in ([], filler):
+        rows = [(i, f"d{i}/x.py", f"import os\n\n{t}\n\ncode = {i}") for i, (_, t) in enumerate(wanted)] + [(1000 + i, f"e{i}/y.txt", t) for i, t in enumerate(extra)]
+        got = {g.id: g.license for g in license_tfidf.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+        assert [(got[i], t) for i, (_, t) in enumerate(wanted)] == wanted
+        assert not any(got[1000 + i] for i in range(len(extra)))
+
+
+def test_license_windows_equal_all_windows():
+    """The bounded search finds the best cosine of all windows as long as a template."""
+    r = random.Random(12)
+    vocab = sorted(license_tfidf.vocabulary())
+    idf = {w: r.uniform(1, 6) for w in vocab}
+    match = license_tfidf.Matcher(idf, 7.0)
+    notices = [n for v in license_tfidf.TEMPLATES.values() for n in v]
+    hits = 0
+    for _ in range(25):
+        flow = [r.choice(vocab) for _ in range(20)] + license_tfidf.words(r.choice(notices)) + [r.choice(vocab) for _ in range(20)]
+        for _ in range(r.randint(0, 4)):
+            flow[r.randrange(len(flow))] = "other"
+        line = " ".join(flow)
+        got = match.windows([line], [flow], 0.8)
+        want = max((found[1] for size in set(match.sizes) for a in range(len(flow) - size + 1)
+                    if (found := match.best(flow[a:a + size]))[0] and license_tfidf.DENIALS.isdisjoint(flow[max(0, a - 3):a])), default=0.0)
+        assert abs(got[1] - want) < 1e-9 if want >= 0.8 else got[0] is None
+        hits += want >= 0.8
+    assert hits > 5
