@@ -5,11 +5,16 @@ type and its normal form, so mentions of one entity stay mentions of one
 surrogate. Surrogates that meet another entity's surrogate or any real entity
 are dealt anew until none is left. Digits stay digits, letters keep their case
 and script, card numbers pass their check digit again, names keep their gender.
+
+A title shows a person; other mentions of that person's names in the same
+document, with or without a title, are mentions of the same entities.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,42 +29,86 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"),
     "n": ("Dr", "Prof"),
 }
-_TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
-_NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+"
+#: Particles within surnames; they stay as they are (fixed values).
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu", "bin", "al", "el")
+#: Capitalised words that are no names: words that begin sentences, days, and what follows Miss in pageants (fixed values).
+NO_NAMES = (
+    "The", "This", "That", "He", "She", "It", "We", "You", "They", "On", "In", "At", "And", "But", "For", "From", "To", "As", "If", "When", "Der", "Die", "Das", "Er", "Sie", "Es", "Und", "Im", "Am",
+    "Les", "Il", "Elle", "El", "Los", "Las", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+    "Universe", "World", "Earth", "International", "America", "USA",
+)
+#: Prefixes of access tokens, and the words before passwords and telephone numbers (fixed values).
+TOKENS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "glpat-")
+SECRETS = ("password", "passwd", "token", "secret", "api_key")
+CALLS = ("phone", "Phone", "tel", "Tel", "telephone", "Telephone", "Telefon", "mobile", "Mobile", "call", "Call", "fax", "Fax")
+
+
+def _any(names) -> str:
+    return "|".join(re.escape(x) for x in sorted(names, key=len, reverse=True))
+
+
+_TITLE = _any(t for v in TITLES.values() for t in v)
+_LETTERS = r"(?:[^\W\d_][\u0300-\u036f]*)"
+_UPPER = r"[^\W\d_a-zа-яß-öø-ÿ][\u0300-\u036f]*"
+_PART = rf"(?:[A-Z]['’])?{_UPPER}{_LETTERS}+"
+_NAME = rf"(?!(?:{_any(NO_NAMES)})\b){_PART}(?:-{_PART})*"
+_SMALL = rf"(?:(?:{_any(PARTICLES)}) )"
+_INITIAL = r"(?:[A-ZÀ-ÖØ-Þ]\. ?)"
 #: One alternative a type; the first that matches at a place counts. Runs without a bound are of one class of
 #: characters that the next part can't start with, so the search stays linear.
 PATTERN = "|".join([
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
+    r"(?P<email>(?<![\w.+-])[^\W_][\w.+-]*@[^\W_][\w-]*(?:\.[^\W_][\w-]*)+)",
     r"(?P<aws_key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)",
-    r"""(?P<secret>\b(?:password|passwd|token|secret|api_key)[ \t]{0,3}[=:][ \t]{0,3}["']?(?P<value>[A-Za-z0-9_+/.-]{6,}))""",
+    rf"(?P<token>\b(?:{_any(TOKENS)})[A-Za-z0-9_-]{{16,}})",
+    rf"""(?P<secret>\b(?:{_any(SECRETS)})[ \t]{{0,3}}[=:][ \t]{{0,3}}["']?(?P<value>[^\s"'<>,;(){{}}\[\]]{{5,}}[^\s"'<>,;(){{}}\[\].:?]))""",
     r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
+    r"(?P<ipv6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,8}(?![\w:]))",
     r"(?P<ipv4>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))",
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
     r"(?P<card>(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?(?:\d{4}[ -]?\d{1,3}|\d{1,4})(?![\d-]))",
     r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d))",
-    rf"(?P<person>\b(?P<title>{_TITLE})\.? (?P<names>{_NAME}(?: {_NAME})*))",
+    r"(?P<abroad>(?<![\w+])\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,12})){1,5}(?!\d))",
+    rf"(?P<call>\b(?:{_any(CALLS)})\b[.:]{{0,2}} {{0,3}}(?P<number>\d{{7,15}})(?![\d.]))",
+    rf"(?P<person>\b(?P<title>{_TITLE})\.? (?P<names>{_INITIAL}*{_SMALL}*{_NAME}(?: {_INITIAL}*{_SMALL}*{_NAME})*))",
 ])
-
+#: The body of a private key; it spans lines.
+PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*(?:[A-Za-z-]+: [^\n]*\s+)*(?P<body>(?:[A-Za-z0-9+/=]{32,}\s+)*(?:[A-Za-z0-9+/=]{32,}|[A-Za-z0-9+/=]{4,}(?=\s*-----END)))")
+SPLIT_NAME = re.compile(rf"(?<![\w'’-]){_NAME}(?![\w])")
 
 #: A card of up to 16 digits, where the numbers after it aren't part of it.
 SHORT_CARD = r"(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?![\d-]))"
 
-#: Every entity has one of these characters or strings, and none spans lines.
+#: Every entity but a private key has one of these characters or strings, and spans no lines.
 _CHARS = r"[\d@=:]"
-_STRINGS = ("AKIA", "ASIA", *(t for v in TITLES.values() for t in v))
+_STRINGS = ("AKIA", "ASIA", *TOKENS, *(t for v in TITLES.values() for t in v))
+
+
+def is_ipv6(found: str) -> bool:
+    """An address with a digit; times and names of namespaces aren't, nor is the loopback."""
+    try:
+        return ipaddress.IPv6Address(found) is not None and any(c.isdigit() for c in found)
+    except ValueError:
+        return False
+
+
+def is_kind(m) -> bool:
+    """Whether a match passes its type's check."""
+    kind = next((k for k in ("card", "ipv6", "abroad") if m.re.groupindex.get(k) and m[k]), None)
+    return {"card": lambda: is_card(m[0]), "ipv6": lambda: is_ipv6(m[0]), "abroad": lambda: 8 <= sum(c.isdigit() for c in m[0]) <= 15}.get(kind, lambda: True)()
 
 
 def finder():
-    """Matches of the pattern over the lines that can hold an entity; cards only with a right check digit."""
+    """Matches of the pattern over the lines that can hold an entity; cards only with a right check digit, addresses only if they are some."""
     search, short, some = re.compile(PATTERN).search, re.compile(SHORT_CARD).match, re.compile(_CHARS).search
 
     def matches(text, at, end):
         while m := search(text, at, end):
-            if m.lastgroup == "card" and not is_card(m["card"]):
+            if m.lastgroup == "card" and not is_kind(m):
                 m = short(text, m.start(), end) or m
-            if m.lastgroup != "card" or is_card(m["card"]):
+            ok = is_kind(m)
+            if ok:
                 yield m
-            at = m.end()
+            at = m.end() if ok or m.lastgroup == "card" else m.start() + 1  # the rest of a refused match, at most 80 characters, may hold others
 
     def find(text):
         if not (some(text) or any(x in text for x in _STRINGS)):
@@ -84,29 +133,98 @@ def is_card(found: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits)
 
 
+def name_form(name: str) -> str:
+    return unicodedata.normalize("NFC", name).replace("’", "'").casefold()
+
+
+def titled_names(m) -> list[tuple[int, int, str, str]]:
+    """The names after a title: the last is a surname, those before it given names with the title's gender."""
+    gender = next(g for g, v in TITLES.items() if m["title"] in v)
+    found = [(m.start("names") + x.start(), m.start("names") + x.end(), name_form(x[0])) for x in SPLIT_NAME.finditer(m["names"])]
+    return [(a, b, "surname" if i == len(found) - 1 else f"given_{gender}", n) for i, (a, b, n) in enumerate(found)]
+
+
+class People:
+    """The persons that a document names with a title."""
+
+    def __init__(self, persons: list[list[tuple[int, int, str, str]]]):
+        self.whole, self.single, stated = {}, {}, {}
+        for person in persons:
+            for _, _, kind, norm in person:
+                if kind in ("given_m", "given_f"):
+                    stated.setdefault(norm, kind)
+        for person in persons:
+            kinds = [(stated.get(n, k) if k == "given_n" else k, n) for _, _, k, n in person]
+            self.whole.setdefault(tuple(n for _, n in kinds), [k for k, _ in kinds])
+            for k, n in kinds:
+                self.single.setdefault(n, []).append(k)
+
+    def kinds(self, norms: list[str]) -> list[str]:
+        """The types of adjacent names: those of the person of just these names, else each name's first type, a given name before others."""
+        if tuple(norms) in self.whole:
+            return self.whole[tuple(norms)]
+        out = []
+        for i, norm in enumerate(norms):
+            given = [k for k in self.single[norm] if k != "surname"] if i + 1 < len(norms) else []
+            out.append((given or self.single[norm])[0])
+        return out
+
+
+def mentions(text: str, people: People, a: int, b: int) -> list[tuple[int, int, str, str]]:
+    """Untitled mentions of known names within text[a:b]; names with a space or an initial between them are one person's."""
+    runs = []
+    for m in SPLIT_NAME.finditer(text, a, b):
+        norm = name_form(m[0])
+        if norm in people.single and not m[0][0].islower():
+            if runs and re.fullmatch(rf" {_INITIAL}*{_SMALL}*", text[runs[-1][-1][1]:m.start()]):
+                runs[-1].append((m.start(), m.end(), norm))
+            else:
+                runs.append([(m.start(), m.end(), norm)])
+    return [(x, y, k, n) for run in runs for (x, y, n), k in zip(run, people.kinds([n for _, _, n in run]))]
+
+
 def detect(text: str, find) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of each entity, left to right, none overlapping.
 
     A person's names are one entity each: the last is a surname, those before
-    it given names with the title's gender; a lone name is a surname.
+    it given names with the title's gender; a lone name is a surname. A name
+    that a title shows is found all over the document as a whole word with a
+    capital, before the title too, so a name that is a word besides is replaced
+    where it stands as one with a capital. A given name after a neutral title
+    takes the gender that another title of the document states. Initials and
+    particles stay.
     """
-    out = []
+    out, persons, closed = [], [], []
+    if "PRIVATE KEY-----" in text:
+        closed = [m.span("body") for m in PRIVATE_KEY.finditer(text)]
+        out += [(a, b, "private_key", "".join(text[a:b].split())) for a, b in closed]
     for m in find(text):
-        kind = m.lastgroup if m.lastgroup not in ("value", "title", "names") else next(k for k in ("secret", "person") if m[k])
+        if any(a < m.end() and m.start() < b for a, b in closed):
+            continue
+        kind = next(k for k in ("secret", "person", "call", "email", "aws_key", "token", "iban", "ipv6", "ipv4", "ssn", "card", "phone", "abroad") if m.re.groupindex.get(k) and m[k])
         if kind == "person":
-            gender = next(g for g, v in TITLES.items() if m["title"] in v)
-            at, names = m.start("names"), m["names"].split(" ")
-            for i, name in enumerate(names):
-                out.append((at, at + len(name), "surname" if i == len(names) - 1 else f"given_{gender}", name.casefold()))
-                at += len(name) + 1
+            persons.append(titled_names(m))
         elif kind == "secret":
             out.append((m.start("value"), m.end("value"), "secret", m["value"]))
+        elif kind == "call":
+            out.append((m.start("number"), m.end("number"), "phone", m["number"]))
         else:
             found = m[kind]
             digits = re.sub(r"\D", "", found)
-            norm = {"email": found.lower(), "phone": digits, "card": digits, "ssn": digits, "iban": found.replace(" ", "")}.get(kind, found)
-            out.append((m.start(kind), m.end(kind), kind, norm))
-    return out
+            norm = {"email": found.lower(), "phone": digits, "abroad": digits, "card": digits, "ssn": digits, "iban": found.replace(" ", "")}.get(kind, found)
+            norm = str(ipaddress.IPv6Address(found)) if kind == "ipv6" else norm
+            out.append((m.start(kind), m.end(kind), "phone" if kind == "abroad" else kind, norm))
+    if persons:
+        people = People(persons)
+        for person in persons:
+            out += [(a, b, k, n) for (a, b, _, n), k in zip(person, people.kinds([n for _, _, _, n in person]))]
+        out.sort()
+        at, more = 0, []
+        for a, b in [*((x[0], x[1]) for x in out), (len(text), len(text))]:
+            more += mentions(text, people, at, a)
+            at = b
+        out += more
+    return sorted(out)
 
 
 def _stream(key: bytes, *parts):
@@ -132,6 +250,10 @@ SYLLABLES = {
 ENDINGS = {"latin": {"m": "o", "f": "a", "n": "e"}, "cyrillic": {"m": "ил", "f": "ина", "n": "ен"}, "greek": {"m": "ος", "f": "ια", "n": "ι"}}
 
 
+#: Ranges of letters, and the first letter and number of those that stand for them (fixed values).
+LETTERS = (("A", "Z", 0x41, 26), ("a", "z", 0x61, 26), ("А", "Я", 0x410, 32), ("а", "я", 0x430, 32), ("Α", "Ρ", 0x391, 17), ("α", "ρ", 0x3B1, 17), ("一", "鿿", 0x4E00, 20000))
+
+
 def script_of(word: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", word) else "greek" if re.search("[Ͱ-Ͽ]", word) else "latin"
 
@@ -145,13 +267,30 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
         out = []
         for c in s:
             n = next(draw)
-            out.append(str(n % 10) if c.isdigit() else chr(97 + n % 26) if "a" <= c <= "z" else chr(65 + n % 26) if "A" <= c <= "Z" else c)
+            if c.isdigit():
+                out.append(str(n % 10))
+            elif c.isalpha():
+                first, size = next(((chr(a), b) for low, high, a, b in LETTERS if low <= c <= high), ("a", 26))
+                out.append(chr(ord(first) + n % size))
+            else:
+                out.append(c)
         return "".join(out)
 
     if kind.startswith("given") or kind == "surname":
-        script = script_of(norm)
-        name = "".join(SYLLABLES[script][next(draw) % 16] for _ in range(2 + len(norm) // 6 + longer))
-        return name + (ENDINGS[script][kind[-1]] if kind != "surname" else "")
+        script, out = script_of(norm), []
+        for part in norm.split("-"):  # each part of a compound name is a name
+            name = "".join(SYLLABLES[script][next(draw) % 16] for _ in range(2 + len(part) // 6 + longer))
+            out.append(name + (ENDINGS[script][kind[-1]] if kind != "surname" else ""))
+        return "-".join(out)
+    if kind == "ipv6":
+        groups = []
+        for g in norm.split(":"):
+            size = 4 if g and longer else len(g)
+            groups.append(g if g in ("", "0") else "123456789abcdef"[next(draw) % 15] + "".join("0123456789abcdef"[next(draw) % 16] for _ in range(size - 1)))
+        return ":".join(groups)
+    if kind == "token":
+        start = next(x for x in TOKENS if norm.startswith(x))
+        return start + like(norm[len(start):] + "0" * longer)
     if kind == "email":
         local, _, domain = norm.partition("@")
         labels = domain.split(".")
@@ -176,10 +315,12 @@ def surrogate(kind: str, norm: str, attempt: int, key: bytes) -> str:
 def render(kind: str, norm: str, shown: str) -> str:
     """A normal form in the format of the mention it replaces."""
     if kind.startswith("given") or kind == "surname":
-        return norm.upper() if shown.isupper() and len(shown) > 1 else norm.capitalize()
-    if kind in ("phone", "card", "ssn", "iban"):
+        return norm.upper() if shown.isupper() and len(shown) > 1 else "-".join(x.capitalize() for x in norm.split("-"))
+    if kind == "ipv6":
+        return norm.upper() if shown.isupper() else norm
+    if kind in ("phone", "card", "ssn", "iban", "private_key"):
         rest = iter(norm)
-        out = "".join(next(rest, "") if (c.isalnum()) else c for c in shown)
+        out = "".join(c if c.isspace() or (kind != "private_key" and not c.isalnum()) else next(rest, "") for c in shown)
         return out + "".join(rest)
     if kind == "email" and shown != shown.lower():
         return norm.upper() if shown.isupper() else "".join(b.upper() if a.isupper() else b for a, b in zip(shown.ljust(len(norm)), norm))

@@ -222,3 +222,71 @@ def test_license_windows_equal_all_windows():
         assert abs(got[1] - want) < 1e-9 if want >= 0.8 else got[0] is None
         hits += want >= 0.8
     assert hits > 5
+
+
+def replaced(texts, key=b"k"):
+    """Texts with surrogates, without Spark: what detection and the surrogates of single entities give."""
+    find, out = pii_surrogates.finder(), []
+    for t in texts:
+        parts, at = [], 0
+        for a, b, kind, norm in pii_surrogates.detect(t, find):
+            parts += [t[at:a], pii_surrogates.render(kind, pii_surrogates.surrogate(kind, norm, 0, key), t[a:b])]
+            at = b
+        out.append("".join([*parts, t[at:]]))
+    return out
+
+
+def test_names_without_titles_are_the_same_persons(spark):
+    texts = ["Mr John Smith wrote. Later Smith and John Smith agreed. SMITH's, but Smithson and smith", "Frau Anna Müller-Lüdenscheidt kam. Anna ging, Müller-Lüdenscheidt nicht.",
+             "Dr O'Brien, Mr. van Gogh and Mr John F. Kennedy. Kennedy, O’Brien and Gogh", "Miss Universe Final", "Mr Smith On Monday", "Smith and John here, no person is named", "John said: Mr John Smith"]
+    got = [g.text for g in pii_surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr (\w+o) (\w+) wrote\. Later (\w+) and (\w+) (\w+) agreed\. (\w+)'s, but Smithson and smith", got[0])
+    assert m and m[2] == m[3] == m[5] == m[6].capitalize() and m[1] == m[4] and m[6].isupper() and not {"John", "Smith"} & set(m.groups())
+    m = re.fullmatch(r"Frau (\w+a) (\w+-\w+) kam\. (\w+) ging, (\w+-\w+) nicht\.", got[1])
+    assert m and m[1] == m[3] and m[2] == m[4] and "Müller" not in got[1] and "Lüdenscheidt" not in got[1]
+    m = re.fullmatch(r"Dr (\w+), Mr\. van (\w+) and Mr (\w+o) F\. (\w+)\. (\w+), (\w+) and (\w+)", got[2])
+    assert m and m[1] == m[6] and m[2] == m[7] and m[4] == m[5] and len({m[1], m[2], m[4]}) == 3
+    assert got[3] == texts[3] and got[5] == texts[5] and re.fullmatch(r"Mr \w+ On Monday", got[4]) and "Smith" not in got[4]
+    m = re.fullmatch(r"(\w+) said: Mr (\w+) (\w+)", got[6])
+    assert m and m[1] == m[2] != "John" and m[3] != "Smith"
+
+
+def test_names_match_brute_force():
+    """Every word of a document that is a name after one of its titles, and no other, is replaced, each name alike throughout."""
+    r = random.Random(4)
+    names = ["Ada", "Bo-Lin", "O'Neil", "Čapek", "Émile", "Иванов", "Zhou"]
+    for _ in range(200):
+        persons = [r.sample(names, r.randint(1, 3)) for _ in range(r.randint(0, 3))]
+        pieces = [r.choice(["Mr ", "Frau ", "Dr. "]) + " ".join(p) for p in persons] + [r.choice([*names, "word", "wide Table", "3 of"]) for _ in range(10)]
+        r.shuffle(pieces)
+        text = " , ".join(pieces)
+        known = {n for p in persons for n in p}
+        out, = replaced([text])
+        before, after = re.split(r"[ ,]+", text), re.split(r"[ ,]+", out)
+        assert len(before) == len(after)
+        for a, b in zip(before, after):
+            assert (a != b) == (a in known), (text, out)
+        for p in persons:  # a lone name is a surname; within a person the types follow the place
+            shown = {b for a, b in zip(before, after) if a == p[0]}
+            assert 1 <= len(shown) <= 4
+
+
+def test_more_kinds_of_entities():
+    body = "A1b2" * 16 + "\n" + "Zz09" * 16 + "\nabcd=="
+    texts = ["at 2001:db8::1 and 2001:DB8:0:0:0:0:0:1 time 12:30:45 std::vector ::1 a::b::c 12:30:45:10", "+49-171-2345678 or +491712345678 tel 01712345678 and 1234567890",
+             "mail jürgen@müller.de иван@почта.рф", "password: p@ss!word12, token=abcdef!", f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\nrest of it",
+             "ghp_" + "a1B2" * 9 + " xoxb-123456789012-abcdefABCDEF", "+12 4111 1111 1111 1111", ":" * 5000 + "+1" * 5000]
+    got = replaced(texts)
+    m = re.fullmatch(r"at (\S+) and (\S+) time 12:30:45 std::vector ::1 a::b::c 12:30:45:10", got[0])
+    assert m and m[1] == m[2].lower() != "2001:db8::1" and m[1].count(":") == 3
+    m = re.fullmatch(r"\+(\d\d-\d{3}-\d{7}) or \+(\d{12}) tel (\d{11}) and 1234567890", got[1])
+    assert m and m[1].replace("-", "") == m[2] != "491712345678" and m[3] != "01712345678"
+    m = re.fullmatch(r"mail (\w{6})@(\w{6})\.de ([а-я]{4})@([а-я]{5})\.рф", got[2])
+    assert m and not {"jürgen", "müller", "иван", "почта"} & set(m.groups())
+    m = re.fullmatch(r"password: (\w@\w\w!\w{4}\d\d), token=(\w{6}!)", got[3])
+    assert m and m[1] != "p@ss!word12" and m[2] != "abcdef!"
+    m = re.fullmatch(r"-----BEGIN RSA PRIVATE KEY-----\n(\w{64}\n\w{64}\n\w{4}==)\n-----END RSA PRIVATE KEY-----\nrest of it", got[4])
+    assert m and not set(m[1].split()) & set(body.split())
+    m = re.fullmatch(r"ghp_(\w{36}) xoxb-(\d{12})-(\w{12})", got[5])
+    assert m and m[1] != "a1B2" * 9
+    assert "4111" not in got[6] and got[7] == texts[7]
