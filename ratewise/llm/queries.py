@@ -92,9 +92,17 @@ def op10_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"))
 
 
-@register("op1_warc_chunks")
+@register("op1_warc_chunks", """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1)::BIGINT, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d JOIN f USING (h)
+""")
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_chunks.revisit_table(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc_chunks.revisit_table(table(spark, sf_dir, "pages"), min_bytes=0).drop("target_uri")
 
 
 #: (host, path, verdict)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, shuffle_partitions, text_bytes
+from .common import bit_filter, materialize, scratch_dir, shuffle_partitions, text_bytes, with_bit
 
 #: Of a payload; Arrow batches of 10,000 chunks then stay under 160 MB.
 CHUNK_BYTES = 1 << 14
@@ -97,13 +97,23 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write a record per row and return the list of archives: path, bytes, records.
 
     Null payloads are empty payloads; null urls leave out the target. An empty
-    table writes nothing. Other columns are ignored.
+    table writes nothing. Other columns are ignored. Rows that are surely no
+    revisits are written chunk by chunk where they are read; only those that may
+    be (bit filter of at most 16 MB) meet the list of revisits, as chunks.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), text_bytes(payload_col).alias("payload"))
     plan = materialize(decide(materialize(digests(rows, chunk_bytes), "digests"), min_bytes), "records")
-    p = plan.select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "payload_bytes", "refers_to")
-    records = rows.withColumn("sha1", F.sha1("payload")).join(p, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")))
-    records = records.select("page_id", "url", "sha1", "payload_bytes", "refers_to", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"))
+    revisits = materialize(plan.where("refers_to is not null").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "refers_to"), "revisits")
+    named = lambda i, h: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit(" ")), h)
+    told = rows.withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("_h", named("page_id", "sha1"))
+    told = with_bit(told, "_h", bit_filter(revisits.select(named("_id", "_sha1").alias("_h")), "_h")).drop("_h")
+    cols = ["page_id", "url", "sha1", "payload_bytes", "refers_to", "chunk_no", "last", "chunk"]
+    responses = chunk_rows(told.where("not _maybe").drop("_maybe"), chunk_bytes).withColumn("refers_to", F.lit(None).cast(plan.schema["refers_to"].dataType))
+    # chunks of a record come from one task, so the sort by its number brings them together whatever Spark joins by
+    others = chunk_rows(told.where("_maybe").drop("_maybe").withColumn("_rid", F.monotonically_increasing_id()), chunk_bytes)
+    others = others.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left").where("refers_to is null or chunk_no = 0")
+    others = others.withColumn("chunk", F.when(F.col("refers_to").isNull(), F.col("chunk")).otherwise(F.lit(b""))).withColumn("last", F.col("last") | F.col("refers_to").isNotNull())
+    records = responses.select(*cols).unionByName(others.sortWithinPartitions("_rid", "chunk_no").select(*cols))
 
     def run(batches):
         import uuid
@@ -142,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append(held)
         yield pa.RecordBatch.from_arrays([pa.array([f"{base}/{x[2]}" for x in done], pa.string()), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], ["path", "bytes", "records"])
 
-    return materialize(chunk_rows(records, chunk_bytes).mapInArrow(run, "path string, bytes long, records long"), "archives")
+    return materialize(records.mapInArrow(run, "path string, bytes long, records long"), "archives")
 
 
 class Reader:
