@@ -1,12 +1,16 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 Vectors are dealt to overlapping cluster shards (the centroids come from a
-bounded sample). Each shard builds its graph: nearest candidates by blocks,
+bounded sample; shards that are still large are divided by centroids of their
+own, level by level). Each shard builds its graph: nearest candidates by blocks,
 thinned by robust pruning, with edges both ways. A vector's adjacency lists of
 its shards are united. A search starts at a shard's medoid (and at the query's
 own node), walks greedily with a beam, then expands its range: every node near
-the query is expanded until no near node is left. Nodes that lie in other
-shards send the query on to those shards, round by round, until none is new.
+the query is expanded until no near node is left. Neighbours of those nodes
+that lie in other shards send the query on to them, round by round, until none
+is new, but only where the angles between query, node and neighbour allow the
+neighbour to be near too (triangle inequality): a vector without near ones asks
+one shard, however many shards there are.
 Links are cosines in double precision. An audit holds a bounded sample of
 queries against all vectors, in blocks, and widens the search if recall is low.
 """
@@ -138,7 +142,7 @@ def robust_prune(x, p: Params):
 
 
 def build(shard: pd.DataFrame, p: Params) -> pd.DataFrame:
-    """Edges (id, neighbour) of a shard's graph, both ways.
+    """Edges (id, neighbour, cosine) of a shard's graph, both ways.
 
     A node keeps its nearest 2 x degree, and the way back from each node to
     which it is the nearest, so that every node can be reached.
@@ -155,10 +159,56 @@ def build(shard: pd.DataFrame, p: Params) -> pd.DataFrame:
     nearest = near[b, 0] == a
     sims = np.concatenate([np.einsum("ed,ed->e", x[a[k:k + 65536]], x[b[k:k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)])
     order = np.lexsort((-sims, a))
-    a, b, nearest = a[order], b[order], nearest[order]
+    a, b, nearest, sims = a[order], b[order], nearest[order], sims[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
     keep = (place < 2 * p.degree) | nearest
-    return pd.DataFrame({"id": ids[a[keep]], "near": ids[b[keep]]})
+    return pd.DataFrame({"id": ids[a[keep]], "near": ids[b[keep]], "cosine": sims[keep]})
+
+
+def divide(rows: DataFrame, p: Params) -> DataFrame:
+    """``rows`` (id, embedding, mult, shard, home) with a column cluster: shards of over four times the size wanted are
+    divided by centroids of a bounded sample of their own, and their parts again, until all are small.
+
+    A home row goes on to ``overlap`` parts, of which one is its home, another
+    row to one. A part that keeps over three quarters of its rows isn't divided
+    further.
+    """
+    def own_centroids(rows):
+        x, k = unit(rows["embedding"]), int(rows["k"].iloc[0])
+        c = centroids(x, min(k, len(x)))
+        return pd.DataFrame({"cluster": rows["cluster"].iloc[0], "place": range(len(c)), "centroid": list(c)})
+
+    def choose(rows, cents):
+        import numpy as np
+
+        if not len(rows) or not len(cents):  # no centroid was drawn
+            return rows.assign(was=rows["n"])[cols]
+        c = np.stack(cents.sort_values("place")["centroid"].to_numpy())
+        near = np.argsort(-(unit(rows["embedding"]) @ c.T), axis=1, kind="stable")[:, : p.overlap]
+        home, out = rows["home"].to_numpy(bool), []
+        for j in range(near.shape[1]):
+            part = rows.assign(cluster=rows["cluster"] + "." + near[:, j].astype(str), home=home & (j == 0), was=rows["n"])
+            out.append(part if j == 0 else part[home])
+        return pd.concat(out)[cols]
+
+    cols = ["id", "embedding", "mult", "home", "cluster", "was"]
+    schema = f"id long, embedding {rows.schema['embedding'].dataType.simpleString()}, mult long, home boolean, cluster string, was long"
+    left, done, level, limit = rows.withColumn("cluster", F.col("shard").cast("string")).withColumn("was", F.lit(None).cast("long")).select(*cols), None, 0, 4 * p.shard_rows
+    while True:
+        sizes = left.groupBy("cluster").agg(F.count("*").alias("n"), F.min("was").alias("_was"))
+        sizes = materialize(sizes.select("cluster", "n", ((F.col("n") > limit) & F.coalesce(F.col("n") <= 0.75 * F.col("_was"), F.lit(True))).alias("large")), "cluster-sizes")
+        if sizes.where("large").isEmpty():
+            return left.drop("was") if done is None else done.unionByName(left.drop("was"))
+        small = left.join(sizes.where("not large").select("cluster"), "cluster", "left_semi").drop("was")
+        done = small if done is None else done.unionByName(small)
+        large = left.drop("was").join(sizes.where("large").select("cluster", "n"), "cluster")
+        k = F.least(F.ceil(F.col("n") / p.shard_rows), F.lit(max(2, p.sample // 4))).cast("long")
+        drawn = large.withColumn("k", k).where(F.pmod(F.xxhash64(F.lit(f"divide{level}"), "id"), F.col("n")) < 4 * F.col("k"))
+        cents = materialize(drawn.select("cluster", "k", "embedding").groupBy("cluster").applyInPandas(own_centroids, "cluster string, place int, centroid array<double>"), "own-centroids")
+        dealt, counts = blocks(large, "cluster", limit)
+        spread = cents.join(counts, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))).drop("_blocks")
+        left = materialize(dealt.groupBy("cluster", "block").cogroup(spread.groupBy("cluster", "block")).applyInPandas(choose, schema), "divided")
+        level += 1
 
 
 def search(nodes: pd.DataFrame, queries: pd.DataFrame, p: Params) -> pd.DataFrame:
@@ -174,12 +224,17 @@ def search(nodes: pd.DataFrame, queries: pd.DataFrame, p: Params) -> pd.DataFram
     local = lambda v: np.where(ids[order[np.minimum(np.searchsorted(ids, v, sorter=order), m - 1)]] == v, order[np.minimum(np.searchsorted(ids, v, sorter=order), m - 1)], -1)
     lists = [np.array([], np.int64) if v is None else np.asarray(v, np.int64) for v in nodes["near"]]
     homes = [np.array([], np.int64) if v is None else np.asarray(v, np.int64) for v in nodes["near_home"]]
+    angles = [np.array([]) if v is None else np.arccos(np.clip(np.asarray(v, np.float64), -1, 1)) for v in nodes["near_cosine"]]
     adj = np.full((m, max([1, *map(len, lists)])), -1, np.int64)
-    away: list = []
-    for i, (v, h) in enumerate(zip(lists, homes)):
+    away, turn = [], []  # shards of neighbours elsewhere, and the angles to the nearest of them
+    for i, (v, h, w) in enumerate(zip(lists, homes, angles)):
         at = local(v) if len(v) else v
         adj[i, : len(v)] = at
-        away.append(np.unique(h[(at < 0) & (h != here)]) if len(v) else v)
+        out_of = (at < 0) & (h != here) if len(v) else np.zeros(0, bool)
+        order_ = np.argsort(w[out_of], kind="stable")
+        shards, first_ = np.unique(h[out_of][order_], return_index=True)
+        away.append(shards)
+        turn.append(w[out_of][order_][first_])
     at_home = nodes["home_shard"].to_numpy()
     medoid = int((x @ x.mean(axis=0)).argmax())
     out = []
@@ -259,7 +314,8 @@ def search(nodes: pd.DataFrame, queries: pd.DataFrame, p: Params) -> pd.DataFram
         lone = np.array([len(v) for v in away])
         rep = np.repeat(np.arange(len(fn)), lone[fn])
         if len(rep):
-            gone.append((fq[rep], np.concatenate([away[i] for i in fn]), ids[fn[rep]]))
+            reachable = np.concatenate([turn[i] for i in fn]) <= np.arccos(np.clip(fs[rep], -1, 1)) + np.arccos(edge) + 1e-6
+            gone.append((fq[rep][reachable], np.concatenate([away[i] for i in fn])[reachable], ids[fn[rep]][reachable]))
         gq, gs, gn = (np.concatenate(v) for v in zip(*gone))
         far = pd.DataFrame({"q": q[gq], "kind": "x", "other": gs, "weight": gn})[gs != here]
         out.append(far.drop_duplicates(["q", "other"]))
@@ -275,24 +331,22 @@ def blocks(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, DataFrame]:
 
 def link_counts(reps: DataFrame, n: int, p: Params) -> tuple[DataFrame, DataFrame]:
     """((id, links), (u, v)) for reps (id, embedding, mult): weighted link counts, and edges that span the components."""
-    held, _ = blocks(materialize(deal(reps, shard_plan(reps, n, p), p), "dealt"), "shard", 4 * p.shard_rows)
-    # a shard beyond four times its size is split; every query of it then visits each part
-    part = F.concat_ws(".", F.col("shard").cast("string"), F.col("block").cast("string"))
-    held = materialize(held.withColumn("part", part).drop("block"), "held")
-    names = number_sorted(held.select("part", "shard").distinct().sortWithinPartitions("part"), "pid", "parts")
+    held, _ = blocks(divide(materialize(deal(reps, shard_plan(reps, n, p), p), "dealt"), p), "cluster", 4 * p.shard_rows)
+    # a cluster that centroids don't divide is split by a hash; every query of it then visits each part
+    held = materialize(held.withColumn("part", F.concat_ws("/", "cluster", F.col("block").cast("string"))).drop("block"), "held")
+    names = number_sorted(held.select("part", "cluster").distinct().sortWithinPartitions("part"), "pid", "parts")
     names = materialize(names, "part-names")
     held = held.join(names.select("part", "pid"), "part")
-    held = materialize(held.select("id", "embedding", "mult", "home", F.col("shard").alias("cluster"), F.col("pid").alias("shard")), "parted")
-    edges = held.select("shard", "id", "embedding").groupBy("shard").applyInPandas(lambda s: build(s, p), "id long, near long")
+    held = materialize(held.select("id", "embedding", "mult", "home", "cluster", F.col("pid").alias("shard")), "parted")
+    edges = held.select("shard", "id", "embedding").groupBy("shard").applyInPandas(lambda s: build(s, p), "id long, near long, cosine double")
     home = held.where("home").select("id", F.col("shard").alias("home_shard"))
-    lists = materialize(edges.distinct(), "edges").join(home.select(F.col("id").alias("near"), F.col("home_shard").alias("near_home")), "near")
-    lists = lists.groupBy("id").agg(F.collect_list(F.struct("near", "near_home")).alias("l"))
+    lists = materialize(edges.groupBy("id", "near").agg(F.max("cosine").alias("cosine")), "edges").join(home.select(F.col("id").alias("near"), F.col("home_shard").alias("near_home")), "near")
+    lists = lists.groupBy("id").agg(F.collect_list(F.struct("near", "near_home", "cosine")).alias("l"))
     nodes = held.join(home, "id").join(lists, "id", "left").select(
-        "shard", "id", "embedding", "mult", "home", "home_shard", F.col("l.near").alias("near"), F.col("l.near_home").alias("near_home"))
+        "shard", "id", "embedding", "mult", "home", "home_shard", F.col("l.near").alias("near"), F.col("l.near_home").alias("near_home"), F.col("l.cosine").alias("near_cosine"))
     nodes = materialize(nodes, "nodes")
     vectors = nodes.where("home").select(F.col("id").alias("q"), F.col("embedding").alias("vector"))
-    parts = names.select("shard", F.col("pid")).alias("a")
-    sent = held.where("home").select(F.col("id").alias("q"), "cluster").join(parts, F.col("cluster") == F.col("a.shard")).select("q", F.col("pid").alias("shard"), F.col("q").alias("entry"))
+    sent = held.where("home").select(F.col("id").alias("q"), "cluster").join(names.select("cluster", "pid"), "cluster").select("q", F.col("pid").alias("shard"), F.col("q").alias("entry"))
     sent = materialize(sent, "sent")
     gone, found = None, []
     while not sent.isEmpty():
