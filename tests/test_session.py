@@ -41,3 +41,12 @@ def test_small_marks_and_does_not_recount(spark):
     assert S.small(a) is a
     big = S.small(spark.range(50), max_rows=5)
     assert big._rw_rows == 50
+
+
+def test_dealt_tasks_grow_with_the_rows_not_a_task(spark, monkeypatch):
+    df = spark.range(4000).repartition(1)
+    assert S.dealt(df, 4000, "id") is df  # few rows: left to the planner
+    monkeypatch.setattr(S, "TASK_ROWS", 100)
+    for n in (2000, 4000):
+        parts = S.dealt(df.filter(f"id < {n}"), n, "id").rdd.glom().map(len).collect()
+        assert len(parts) == n // 100 and max(parts) < 200 and sum(parts) == n
