@@ -60,7 +60,8 @@ def _with_fingerprint(rows: DataFrame, text: str, shingle: int) -> DataFrame:
             return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
         for batch in batches:
-            fp = pa.array([fingerprint(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+            texts = batch.column(batch.num_columns - 1)
+            fp = pa.array([fingerprint(x) for at in range(0, len(texts), 64) for x in texts.slice(at, 64).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*batch.schema.names[:-1], "fp"])
 
     rows = rows.withColumn("_text", F.col(text).cast("string"))

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 #: Longest piece, in bytes, that is merged in a batch of trees.
 SHORT = 64
-#: Bytes of pieces and their ids that a Python worker remembers before it starts anew, and the longest piece remembered.
-REMEMBER, LONGEST = 8 << 20, 64
+#: Bytes of memory for the pieces that a Python worker remembers before it starts anew, what a piece takes besides
+#: its bytes and those of its ids (two objects and a place in the table), and the longest piece remembered.
+REMEMBER, OBJECTS, LONGEST = 16 << 20, 180, 64
+#: Trees that are merged together.
+TREES = 4096
 #: Characters of texts that are encoded together (a longer text is encoded alone).
 CHARS = 1_000_000
 
@@ -107,8 +110,8 @@ class Merges:
         size = 2
         while size <= SHORT:
             rows = np.flatnonzero((length <= size) & (length > (size // 2 if size > 2 else 0)))
-            for at in range(0, len(rows), 8192):
-                self._batch(pieces, rows[at:at + 8192], length, size, out)
+            for at in range(0, len(rows), TREES):
+                self._batch(pieces, rows[at:at + TREES], length, size, out)
             size *= 2
         return out
 
@@ -199,7 +202,7 @@ class Codec:
         coded = dict(zip(new, self.merges.encode_pieces([p.encode() for p in new])))
         short = {p: x for p, x in coded.items() if len(p) <= LONGEST}
         self.seen |= short
-        self.held += sum(len(p) + len(x) for p, x in short.items())
+        self.held += sum(len(p) + len(x) + OBJECTS for p, x in short.items())
         long = coded if len(short) < len(coded) else {}
         find = self.seen.get
         return [b"".join([find(p) or long[p] for p in pieces]) for pieces in split]
@@ -239,10 +242,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         codec = _codec(shared.value, pattern)
         for batch in batches:
-            cut = [0, *(np.flatnonzero(np.diff(np.cumsum([len(x or "") + 1 for x in batch.column(1).to_pylist()]) // CHARS)) + 1).tolist(), batch.num_rows]
+            chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = [0, *(np.flatnonzero(np.diff(np.cumsum(chars + 1) // CHARS)) + 1).tolist(), batch.num_rows]
             for at, end in zip(cut, cut[1:]):
                 part = batch.slice(at, end - at)
                 coded = codec.encode_all([x or "" for x in part.column(1).to_pylist()])
